@@ -218,12 +218,13 @@ def _cycle_sql(forms: list[str]) -> str:
 
 
 _REL_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_RELATIONS.items()) + " END"
-EVENT_SQL = f"""
+EV_SQL = f"""
 ev0 AS (SELECT user_id AS res_id, event_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
                CAST(floor(value) AS BIGINT) % 100 AS v FROM events),
 ev AS (SELECT *, {_cycle_sql(PREFIXES)} || 'Item ' || k || {_cycle_sql(SUFFIXES)} AS src,
               {_cycle_sql(PREFIXES)} || 'Item ' || v || {_cycle_sql(SUFFIXES)} AS dst, {_REL_CASE} AS relation
-       FROM ev0),
+       FROM ev0)"""
+EVENT_SQL = f"""{EV_SQL},
 raw_nodes AS (
   SELECT res_id, 'S' || event_id AS id, src AS text, event_type AS type, 'value ' || v AS evidence,
          event_id * 2 AS ord FROM ev

@@ -108,10 +108,10 @@ def _find_sql(compat: bool) -> str:
             return f"regexp_extract(substr(text, 1, {start}), '(?s)^.*{marker}', 1)"
     return f"""
 hits AS (SELECT *, regexp_extract(text, '{rx}') AS m,
-                length(regexp_extract(text, '(?s)^(.*?)(?:{rx})', 1)) + 1 AS at, {term} AS term, {term_at} AS term_at
+                length(regexp_extract(text, '(?s)^(.*?)(?:{rx})', 1)) + 1 AS m_at, {term} AS term, {term_at} AS term_at
          FROM parts),
 found AS (SELECT res_id, part, CASE WHEN m <> '' THEN trim(regexp_replace(m, '\\s+', ' ', 'g')) ELSE term END AS evidence,
-                 CASE WHEN m <> '' THEN {turn('at', 'length(m)', 70)}
+                 CASE WHEN m <> '' THEN {turn('m_at', 'length(m)', 70)}
                       ELSE {turn('term_at', 'length(term)', 60)} END AS turn_id,
                  CASE WHEN m <> '' THEN 'pattern' ELSE 'fallback' END AS via
           FROM hits WHERE m <> '' OR term IS NOT NULL)"""

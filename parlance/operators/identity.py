@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import canonicalize_text, norm_key, seq_id, strip_ws
 from parlance.operators.filters import grounding_filter, valid_type_filter
-from parlance.runtime import first_wins, running_counts
+from parlance.runtime import first_wins, running_counts, stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 
@@ -88,7 +88,10 @@ def validate_graph(
     nodes: DataFrame, edges: DataFrame, transcripts: DataFrame, aliases: dict[str, str] | None = None,
     node_types: list[str] = NODE_TYPES, edge_types: list[str] = EDGE_TYPES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Known types, canonical text, grounded evidence, unique nodes and edges."""
+    """Known types, canonical text, grounded evidence, unique nodes and edges.
+
+    Grounding reads the transcripts, so its results are stored and read from there on.
+    """
     return renumber_graph(
-        grounding_filter(nodes, transcripts), grounding_filter(edges, transcripts),
+        stored(grounding_filter(nodes, transcripts)), stored(grounding_filter(edges, transcripts)),
         aliases, node_types, edge_types)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from parlance.functions.text import strip_ws
 from parlance.functions.vectors import unit_rows
-from parlance.runtime import checkpointed
+from parlance.runtime import stored
 
 # Vectors per block of a blocked comparison: two blocks and their product fit in one task.
 BLOCK_ROWS = 4096
@@ -170,25 +170,25 @@ def er_leader_cluster(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     In order, an unassigned text leads and takes every later unassigned neighbour; not
     connected components. Parallel rounds give the same result: a text without an undecided
     smaller neighbour leads, and its neighbours are members. Every round drops the decided
-    pairs and is checkpointed. Returns (type, ord, leader, cosine), cosine null for leaders.
+    pairs and is written out. Returns (type, ord, leader, cosine), cosine null for leaders.
     """
     spark = pairs.sparkSession
     key = ["type", "node"]
     lo, hi = F.col("lo").alias("node"), F.col("hi").alias("node")
-    pairs = checkpointed(pairs)
+    pairs = stored(pairs)
     active = pairs.select("type", "lo", "hi")
     member_rounds: list[DataFrame] = []
     while not active.isEmpty():
         blocked = active.select("type", hi).distinct()
         leaders = active.select("type", lo).distinct().join(blocked, key, "left_anti")
-        members = checkpointed(active.withColumn("node", F.col("lo")).join(
+        members = stored(active.withColumn("node", F.col("lo")).join(
             leaders, key, "left_semi").select("type", hi).distinct())
         member_rounds.append(members)
         # Pairs of a member are settled from both sides; so are pairs of a leader.
         rest = active
         for side in ("lo", "hi"):
             rest = rest.join(members.withColumnRenamed("node", side), ["type", side], "left_anti")
-        active = checkpointed(rest)
+        active = stored(rest)
     kind = texts.schema["type"]
     decided = spark.createDataFrame([], T.StructType([kind, T.StructField("node", T.LongType())]))
     for members in member_rounds:

@@ -9,6 +9,7 @@ from parlance.operators.filters import low_value_filter
 from parlance.operators.identity import renumber_graph
 from parlance.operators.linking import add_inferred_edges, infer_edges
 from parlance.rules import clinical
+from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 
@@ -18,9 +19,15 @@ def enrich_graph(
     aliases: dict[str, str] | None = clinical.ALIASES, low_value: str = clinical.LOW_VALUE_REGEX,
     node_types: list[str] = NODE_TYPES, edge_types: list[str] = EDGE_TYPES, compat: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Drop low-value denials, add what patterns prove, then what the relation rules imply."""
-    kept = low_value_filter(nodes, low_value, aliases)
+    """Drop low-value denials, add what patterns prove, then what the relation rules imply.
+
+    The nodes are used by several branches, so they are stored after each of the two steps
+    that cost most: extraction and renumbering.
+    """
+    kept = stored(low_value_filter(nodes, low_value, aliases))
     found = pattern_extract(transcripts, patterns, kept, aliases, compat).select(*nodes.columns)
-    new_nodes, new_edges = renumber_graph(kept.unionByName(found), edges, aliases, node_types, edge_types)
+    grown = stored(kept.unionByName(found))
+    new_nodes, new_edges = renumber_graph(grown, edges, aliases, node_types, edge_types)
+    new_nodes = stored(new_nodes)
     inferred = infer_edges(new_nodes, clinical.relation_rules() if rules is None else rules, aliases=aliases)
     return new_nodes, add_inferred_edges(new_edges, inferred)

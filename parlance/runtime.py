@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,20 +44,25 @@ def running_counts(
 
     ``counts`` maps an output column to a condition (None counts every row, which gives
     ``row_number``). A key is cut into slots of ``ord_col`` so that a hot key is sorted by
-    many tasks; slot totals, one row per slot, then give each slot its starting offset.
+    many tasks; slot totals, one row per slot, then give each slot its starting offset. Rows
+    without a key or an order are dropped.
     """
-    slot = F.floor(F.col(ord_col) / F.lit(slot_rows))
+    rest = [F.col(c) for c in df.columns if c not in keys]
     within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumn("_slot", slot)
+    local = df.withColumn("_slot", F.expr(f"`{ord_col}` div {slot_rows}"))
+    for c in (*keys, "_slot"):
+        local = local.filter(F.col(c).isNotNull())
     for name, cond in counts.items():
         one = F.lit(1) if cond is None else F.when(cond, 1).otherwise(0)
         local = local.withColumn(name, F.sum(one.cast("bigint")).over(within))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy(*keys, "_slot").agg(*[F.max(n).alias(f"_t_{n}") for n in counts])
-    starts = totals.select(
+    # The last row of a slot holds its totals. Whole rows are compared, so that this branch reads
+    # the same columns as the other and both share one shuffle of the input.
+    last = F.max(F.struct(*[F.col(n) for n in counts], *rest)).alias("_last")
+    starts = local.groupBy(*keys, "_slot").agg(last).select(
         *keys, "_slot",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in counts])
+        *[F.coalesce(F.sum(f"_last.{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in counts])
     joined = local.join(starts, [*keys, "_slot"])
     out = {n: F.col(n) + F.col(f"_s_{n}") for n in counts}
     return joined.withColumns(out).drop("_slot", *[f"_s_{n}" for n in counts])
@@ -82,6 +88,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For results that several branches of a plan use: they are computed once, survive lost
+    executors, keep column pruning, and bring exact sizes for the joins that follow.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
