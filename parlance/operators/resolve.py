@@ -23,7 +23,8 @@ BROADCAST_LABELS = 50_000
 def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_features: int = 1 << 12) -> DataFrame:
     """Hashed character-trigram TF-IDF of unit length; swap in any other encoder's column."""
     padded = F.concat(F.lit("  "), F.lower(F.coalesce(col, F.lit(""))), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
+    # A look-ahead matches at every position, which lists overlapping trigrams in one pass.
+    grams = F.regexp_extract_all(padded, F.lit("(?s)(?=(...))"), F.lit(1))
     rows = df.withColumn("_grams", grams)
     counts = HashingTF(numFeatures=n_features, inputCol="_grams", outputCol="_tf").transform(rows)
     weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
@@ -33,14 +34,20 @@ def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_feat
 
 def _best_rows(nodes: pd.DataFrame, labels: list[str], ords: np.ndarray, units: np.ndarray) -> pd.DataFrame:
     """Best label per node row: highest cosine above 0, smallest ord on a tie."""
-    sims = unit_rows(nodes["embedding"]) @ units.T
-    at = sims.argmax(axis=1)  # labels come sorted by ord, so the first maximum is the right one
-    best = sims[np.arange(len(at)), at]
+    at, best = [], []
+    for i in range(0, len(nodes), BLOCK_ROWS):
+        sims = unit_rows(nodes["embedding"].iloc[i:i + BLOCK_ROWS]) @ units.T
+        # Labels come sorted by ord, so the first maximum is the right one.
+        at.append(sims.argmax(axis=1))
+        best.append(sims[np.arange(len(sims)), at[-1]])
+    at, best = np.concatenate(at), np.concatenate(best)
+    hit = best > 0
+    names = pd.Series([labels[i] for i in at[hit]], dtype=object)
     return pd.DataFrame({
-        "id": nodes["id"].to_numpy(), "label": [labels[i] for i in at],
-        "label_ord": ords[at], "cosine": best})[best > 0]
+        "id": nodes["id"].to_numpy()[hit], "label": names, "label_ord": ords[at[hit]], "cosine": best[hit]})
 
 
+_NO_ROWS = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "label", "label_ord", "cosine")})
 _BEST = "id {id}, label string, label_ord bigint, cosine double"
 
 
@@ -78,12 +85,11 @@ def nearest_label(nodes: DataFrame, vocab: DataFrame, broadcast_labels: int = BR
 
         def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame({"id": [], "label": [], "label_ord": [], "cosine": []})
+                return _NO_ROWS
             right = right.sort_values("ord", kind="stable")
             units = unit_rows(right["embedding"])
             labels, ords = right["label"].tolist(), right["ord"].to_numpy(dtype="int64")
-            return pd.concat([_best_rows(left.iloc[i:i + BLOCK_ROWS], labels, ords, units)
-                              for i in range(0, len(left), BLOCK_ROWS)])
+            return _best_rows(left, labels, ords, units)
 
         partial = n.groupBy("type", "nb", "vb").cogroup(v.groupBy("type", "nb", "vb")).applyInPandas(compare, schema)
         best = partial.groupBy("id").agg(F.max(F.struct(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.similarity import levenshtein_similarity, seq_ratio
 from parlance.functions.text import norm_key
+from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 QUANTITY_CAP = 1.5
@@ -19,32 +20,41 @@ def _texts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.select(*keys, norm_key(F.col("text")).alias("text")).filter(F.col("text") != "").distinct()
 
 
-def _signatures(texts: DataFrame, keys: list[str], frequencies: DataFrame, threshold: float) -> DataFrame:
-    """Texts with the rarest part of their character multiset, one row per part.
+def _budget(la: Column, lb: Column, metric: str, threshold: float) -> Column:
+    """Most edits two similar texts of these lengths can differ by."""
+    if metric == "levenshtein":
+        return F.floor(F.greatest(la, lb) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    # Matching blocks form a common subsequence: all other characters are inserts or deletes.
+    return (la + lb - 2 * F.ceil((la + lb) * F.lit(threshold / 2) - F.lit(1e-9))).cast("int")
 
-    Both measures bound the share of common characters: for length n, partners share at
-    least n·t/(2-t) of them, so two partners must agree on one of the n - that + 1 rarest.
-    """
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    counted = F.transform(F.array_distinct(chars), lambda c: F.struct(
-        c.alias("ch"), F.size(F.filter(chars, lambda x: x == c)).alias("times")))
-    marks = F.flatten(F.transform(counted, lambda c: F.transform(
-        F.sequence(F.lit(1), c["times"]), lambda k: F.concat(c["ch"], k.cast("string")))))
-    n = F.length("text")
-    needed = F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9))
-    exploded = texts.select(*keys, "text", F.explode(marks).alias("mark")).join(frequencies, "mark")
-    ranked = exploded.groupBy(*keys, "text").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "mark"))).alias("_marks"))
-    prefix = F.transform(F.slice("_marks", 1, (n - needed + 1).cast("int")), lambda m: m["mark"])
-    return ranked.select(*keys, "text", prefix.alias("prefix")).select("*", F.explode("prefix").alias("mark"))
 
+def _segments(texts: DataFrame, keys: list[str], metric: str, threshold: float, whole: bool) -> DataFrame:
+    """Rows (keys, text, la, lb, i, seg) on which two similar texts must agree.
 
-def mark_frequencies(texts: DataFrame) -> DataFrame:
-    chars = texts.select("text", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch"))
-    return chars.groupBy("text", "ch").count().select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")),
-                              lambda k: F.concat("ch", k.cast("string")))).alias("mark")
-    ).groupBy("mark").agg(F.count(F.lit(1)).alias("freq"))
+    A text of length lb is cut into budget + 1 pieces; as each edit spoils at most one, some
+    piece i occurs unchanged in its partner of length la, shifted by no more than the edits
+    left and right of it allow. ``whole`` lists the pieces, otherwise the places to look.
+    """
+    ratio = threshold if metric == "levenshtein" else threshold / (2 - threshold)
+    n = F.length("text")
+    partner = F.explode(F.sequence(
+        F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int"), F.floor(n / F.lit(ratio) + F.lit(1e-9)).cast("int")))
+    mine, other = ("lb", "la") if whole else ("la", "lb")
+    sized = texts.select(*keys, "text", n.alias(mine), partner.alias(other)).withColumn(
+        "d", _budget(F.col("la"), F.col("lb"), metric, threshold)).filter(F.col("d") >= F.abs(F.col("la") - F.col("lb")))
+    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).withColumns({
+        "at": F.floor(F.col("i") * F.col("lb") / (F.col("d") + 1)).cast("int"),
+        "end": F.floor((F.col("i") + 1) * F.col("lb") / (F.col("d") + 1)).cast("int")})
+    if whole:
+        start = F.col("at")
+    else:
+        shift = F.col("la") - F.col("lb")
+        pieces = pieces.select("*", F.explode(F.sequence(
+            F.ceil((shift - F.col("d")) / 2).cast("int"), F.floor((shift + F.col("d")) / 2).cast("int"))).alias("s"))
+        start = F.col("at") + F.col("s")
+        pieces = pieces.filter((start >= 0) & (F.col("end") + F.col("s") <= F.col("la")))
+    return pieces.select(*keys, "text", "la", "lb", "d", "i",
+                         F.substr(F.col("text"), start + 1, F.col("end") - F.col("at")).alias("seg"))
 
 
 def fuzzy_pairs(
@@ -53,35 +63,21 @@ def fuzzy_pairs(
 ) -> DataFrame:
     """(keys, student_text, baseline_text, similarity) with similarity >= threshold.
 
-    Exact: candidates come from an equality join on the rarest characters of each text, are
-    judged inside that join's own stage and never shuffled; a pair is judged only at the
-    first character it shares, so nothing needs deduplicating. Both inputs must have
-    distinct texts. ``metric`` is 'seq_ratio' or 'levenshtein'.
+    Exact, by an equality join on unchanged pieces of text; candidates are judged inside the
+    stage of that join, so only true pairs are shuffled, to drop repeats. ``metric`` is
+    'seq_ratio' or 'levenshtein'.
     """
     keys = list(keys)
-    s_all, b_all = _texts(student, keys), _texts(baseline, keys)
-    freq = mark_frequencies(s_all.select("text").unionByName(b_all.select("text")))
-    s = _signatures(s_all, keys, freq, threshold).select(
-        *keys, "mark", F.col("text").alias("student_text"), F.col("prefix").alias("_sp"))
-    b = _signatures(b_all, keys, freq, threshold).select(
-        *keys, "mark", F.col("text").alias("baseline_text"), F.col("prefix").alias("_bp"))
-    la, lb = F.length("student_text"), F.length("baseline_text")
-    shortest, longest = F.least(la, lb), F.greatest(la, lb)
-    bound = threshold if metric == "levenshtein" else threshold / (2 - threshold)
-    pairs = s.join(b, [*keys, "mark"]).filter(
-        (shortest >= longest * F.lit(bound) - F.lit(1e-9))
-        & (F.try_element_at(F.array_intersect("_sp", "_bp"), F.lit(1)) == F.col("mark")))
+    s = _segments(_texts(student, keys), keys, metric, threshold, False).withColumnRenamed("text", "student_text")
+    b = _segments(_texts(baseline, keys), keys, metric, threshold, True).drop("d").withColumnRenamed("text", "baseline_text")
+    met = s.join(b, [*keys, "la", "lb", "i", "seg"])
+    edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), F.col("d"))
+    close = met.filter(edits >= 0).select(*keys, "student_text", "baseline_text").distinct()
     if metric == "levenshtein":
-        allowed = F.floor(longest * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-        close = pairs.filter(F.levenshtein("student_text", "baseline_text") <= allowed)
         similarity: Column = levenshtein_similarity(F.col("student_text"), F.col("baseline_text"))
-        return close.select(*keys, "student_text", "baseline_text", similarity.alias("similarity"))
-    # Matching blocks form a common subsequence, so edits are bounded too: a cheap JVM check first.
-    edits = F.floor((la + lb) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    likely = pairs.filter(F.levenshtein("student_text", "baseline_text") <= edits)
-    scored = likely.withColumn("similarity", seq_ratio("student_text", "baseline_text"))
-    return scored.filter(F.col("similarity") >= threshold).select(
-        *keys, "student_text", "baseline_text", "similarity")
+        return close.withColumn("similarity", similarity)
+    return close.withColumn("similarity", seq_ratio("student_text", "baseline_text")).filter(
+        F.col("similarity") >= threshold)
 
 
 def matched_texts(
@@ -89,12 +85,13 @@ def matched_texts(
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct student and baseline texts, each with a ``matched`` flag."""
     keys = list(keys)
-    s, b = _texts(student, keys), _texts(baseline, keys)
+    # Distinct texts are few beside the mentions they come from, and are read several times.
+    s, b = stored(_texts(student, keys)), stored(_texts(baseline, keys))
     if metric == "exact":
         pairs = s.join(b, [*keys, "text"]).select(
             *keys, F.col("text").alias("student_text"), F.col("text").alias("baseline_text"))
     else:
-        pairs = fuzzy_pairs(student, baseline, metric, threshold, tuple(keys))
+        pairs = stored(fuzzy_pairs(s, b, metric, threshold, tuple(keys)))
 
     def flagged(texts: DataFrame, col: str) -> DataFrame:
         hit = pairs.select(*keys, F.col(col).alias("text")).distinct().withColumn("_hit", F.lit(True))

@@ -135,7 +135,7 @@ def retry_stats(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
     calls = tagged.groupBy("call_id").agg(
         F.min(F.when(F.col("ok"), F.col("attempt"))).alias("won"),
         *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    won = F.least(F.col("won"), F.lit(max_attempts))
+    won = F.when(F.col("won") < max_attempts, F.col("won")).when(F.col("won").isNotNull(), max_attempts)
     recovered = F.coalesce(F.col("won") > 1, F.lit(False))
     return calls.agg(
         F.count(F.lit(1)).alias("total_calls"),
