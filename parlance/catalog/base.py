@@ -16,7 +16,7 @@ from parlance.operators.extract import lexicon_extract
 from parlance.operators.identity import merge_nodes
 from parlance.operators.turns import dialogue_to_turns, render_transcript
 from parlance.functions.text import word_tokens
-from parlance.runtime import rule_table
+from parlance.runtime import rule_table, spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,8 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# Tables whose queries do heavy work per row.
+TEXT_TABLES = {"documents", "conversations", "pages", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def values_sql(rows: list[tuple], names: list[str]) -> str:

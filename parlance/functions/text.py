@@ -17,6 +17,11 @@ PATTERN_FLAGS = "(?iUd)"
 MARKER = r"\[([DP]-\d+)\]"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -46,13 +51,18 @@ def canonicalize_text(c: Column, aliases: Mapping[str, str] | None = None) -> Co
     """
     plain = F.btrim(
         F.regexp_replace(normalize_ws(F.coalesce(c, F.lit(""))), "^(?:the|a|an) +", ""), F.lit(" .,:;"))
-    head = F.regexp_extract(plain, "^(?:absent (?:(?:the|a|an) )?[ .,:;]*)*", 0)
-    leaf = F.substr(plain, F.length(head) + F.lit(1))
-    dashed = F.when(leaf.startswith("non "), F.concat(F.lit("non-"), F.substr(leaf, F.lit(5)))).otherwise(leaf)
-    known = alias_lookup(dashed, aliases)
-    final = F.when(leaf.startswith("no "), leaf).otherwise(known)
-    depth = F.regexp_count(head, F.lit("absent "))
-    return F.when(leaf == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit("absent "), depth), final))
+    def finish(parts: Column) -> Column:
+        head, leaf = parts["head"], parts["leaf"]
+        dashed = F.when(leaf.startswith("non "), F.concat(F.lit("non-"), F.substr(leaf, F.lit(5)))).otherwise(leaf)
+        final = F.when(leaf.startswith("no "), leaf).otherwise(alias_lookup(dashed, aliases))
+        depth = F.regexp_count(head, F.lit("absent "))
+        return F.when(leaf == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit("absent "), depth), final))
+
+    def peel(text: Column) -> Column:
+        head = F.regexp_extract(text, "^(?:absent (?:(?:the|a|an) )?[ .,:;]*)*", 0)
+        return F.struct(head.alias("head"), F.substr(text, F.length(head) + F.lit(1)).alias("leaf"))
+
+    return _let(_let(plain, peel), finish)
 
 
 def alias_lookup(c: Column, aliases: Mapping[str, str] | None) -> Column:
@@ -84,11 +94,6 @@ def evidence_supported(evidence: Column, transcript: Column, min_share: float =
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def quote_in_turn(quote: Column, turn: Column) -> Column:
     """Does a turn contain the quote, case and spacing aside, outer punctuation dropped?"""
     needle = collapse_ws(F.btrim(strip_ws(F.lower(quote)), F.lit(".,!?\"'")))
@@ -131,11 +136,16 @@ def find_evidence(
             return F.position(F.lower(term), lowered)
         return F.regexp_instr(lowered, term_regex(F.lower(term)))
 
-    term = F.try_element_at(F.filter(terms, lambda t: term_at(t) > 0), F.lit(1))
-    return (
-        F.when(at > 0, hit(F.trim(collapse_ws(raw)), turn_near(at, F.length(raw), win[0]), "pattern"))
-        .when(term.isNotNull(), hit(term, turn_near(term_at(term), F.length(term), win[1]), "fallback"))
-    )
+    def of_term(term: Column) -> Column:
+        return F.when(term.isNotNull(), hit(term, turn_near(term_at(term), F.length(term), win[1]), "fallback"))
+
+    def of_match(m: Column) -> Column:
+        term = F.try_element_at(F.filter(terms, lambda t: term_at(t) > 0), F.lit(1))
+        return F.when(m["at"] > 0, hit(
+            F.trim(collapse_ws(m["raw"])), turn_near(m["at"], F.length(m["raw"]), win[0]), "pattern")
+        ).otherwise(_let(term, of_term))
+
+    return _let(F.struct(at.alias("at"), raw.alias("raw")), of_match)
 
 
 def seq_id(rank: Column, prefix: str = "N_") -> Column:

@@ -41,18 +41,17 @@ def grounding_filter(
         "res_id", "_ev", F.coalesce(F.contains("_tr", "_ev"), F.lit(False)).alias("_verbatim"),
         word_tokens(F.col("_ev")).alias("_words"))
     easy = F.col("_verbatim") | (F.size("_words") <= short)
+    # Settled quotes travel on as one row without a word, so the texts are read in one branch.
+    counted = judged.select("res_id", "_ev", easy.alias("_easy"), F.explode_outer(
+        F.when(~easy, F.col("_words"))).alias("_word")).groupBy("res_id", "_ev", "_easy", "_word").count()
     words = texts.select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word"))
-    shares = (
-        judged.filter(~easy).select("res_id", "_ev", F.explode("_words").alias("_word"))
-        .groupBy("res_id", "_ev", "_word").count()
-        .join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left")
-        .groupBy("res_id", "_ev")
-        .agg((F.sum(F.col("count") * F.coalesce("_known", F.lit(0))) / F.sum("count")).alias("_share"))
-        .filter(F.col("_share") >= min_share).select("res_id", "_ev"))
-    supported = judged.filter(easy).select("res_id", "_ev").unionByName(shares)
+    share = F.sum(F.col("count") * F.coalesce("_known", F.lit(0))) / F.sum("count")
+    supported = counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy(
+        "res_id", "_ev", "_easy").agg(share.alias("_share")).filter(
+        F.col("_easy") | (F.col("_share") >= min_share)).select("res_id", "_ev", F.lit(True).alias("_ok"))
     tagged = df.withColumn("_ev", F.coalesce(normalize_ws(F.col("evidence")), F.lit("")))
-    grounded = tagged.filter(F.col("_ev") != "").join(supported, ["res_id", "_ev"], "left_semi")
-    return grounded.select(*df.columns).unionByName(tagged.filter(F.col("_ev") == "").select(*df.columns))
+    return tagged.join(supported, ["res_id", "_ev"], "left").filter(
+        (F.col("_ev") == "") | F.col("_ok")).select(*df.columns)
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:

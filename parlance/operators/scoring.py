@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.similarity import levenshtein_similarity, seq_ratio
+from parlance.functions.similarity import levenshtein_similarity, seq_ratio_from
 from parlance.functions.text import norm_key
 from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
@@ -70,14 +70,16 @@ def fuzzy_pairs(
     keys = list(keys)
     s = _segments(_texts(student, keys), keys, metric, threshold, False).withColumnRenamed("text", "student_text")
     b = _segments(_texts(baseline, keys), keys, metric, threshold, True).drop("d").withColumnRenamed("text", "baseline_text")
-    met = s.join(b, [*keys, "la", "lb", "i", "seg"])
+    # Pieces far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
+    # and splits skewed keys rather than a broadcast chosen from the size of the texts.
+    met = s.join(b.hint("merge"), [*keys, "la", "lb", "i", "seg"])
     edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), F.col("d"))
     close = met.filter(edits >= 0).select(*keys, "student_text", "baseline_text").distinct()
     if metric == "levenshtein":
         similarity: Column = levenshtein_similarity(F.col("student_text"), F.col("baseline_text"))
         return close.withColumn("similarity", similarity)
-    return close.withColumn("similarity", seq_ratio("student_text", "baseline_text")).filter(
-        F.col("similarity") >= threshold)
+    ratio = seq_ratio_from(threshold)("student_text", "baseline_text")
+    return close.withColumn("similarity", ratio).filter(F.col("similarity").isNotNull())
 
 
 def matched_texts(

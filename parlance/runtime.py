@@ -36,6 +36,16 @@ def literal_array(rows: list[tuple], names: list[str]) -> Column:
     return F.array(*[F.struct(*[lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
 
 
+def spread_small(df: DataFrame, floor: int = 1 << 20, per_core: int = 16 << 20) -> DataFrame:
+    """Deal out an input that is too small to be read by every core, before heavy text work.
+
+    Spark's size estimate decides: an input of ordinary size is left as its files split it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if floor <= size < cores * per_core else df
+
+
 def running_counts(
     df: DataFrame, keys: list[str], order: list[str], ord_col: str,
     counts: dict[str, Column | None], slot_rows: int = SLOT_ROWS,
