@@ -1,7 +1,7 @@
 """Every operator as a runnable query over the shared tables, with equivalent SQL."""
 
 from parlance.catalog import base
-from parlance.catalog import extraction, graph, scoring, sources, stats, text, vectors  # noqa: F401
+from parlance.catalog import extraction, graph, scoring, sources, stats, streaming, text, vectors  # noqa: F401
 
 
 def queries():

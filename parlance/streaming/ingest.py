@@ -9,25 +9,28 @@ from parlance.operators.extract import lexicon_extract
 from parlance.operators.turns import segment_marked_turns
 
 
-def incremental_ingest_stream(
-    spark: SparkSession, in_path: str, out_path: str, checkpoint: str, vocab: DataFrame, max_n: int = 4,
-    max_files: int = 10_000,
-):
-    """Start a file stream of transcripts that appends mentions to parquet under ``out_path``.
-
-    The checkpoint remembers which files were read, which is what skip-if-exists did; each
-    batch overwrites its own ``batch=<id>`` folder, so a retried batch leaves no duplicates.
-    """
+def transcript_stream(spark: SparkSession, in_path: str, max_files: int = 10_000) -> DataFrame:
+    """A stream of the text files below a folder, as (res_id, text)."""
     files = (spark.readStream.format("text").option("wholetext", True)
              .option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.txt").load(in_path))
-    transcripts = files.select(
+    return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("res_id"),
         F.col("value").alias("text"))
 
+
+def incremental_ingest_stream(
+    transcripts: DataFrame, vocab: DataFrame, out_path: str, checkpoint: str, max_n: int = 4,
+    keys: tuple[str, ...] = ("res_id",),
+):
+    """Start a query that appends the mentions of new transcripts to parquet under ``out_path``.
+
+    The checkpoint remembers what was read, which replaces skipping by output file. Each
+    batch overwrites its own ``batch=<id>`` folder, so a retried batch leaves no duplicates.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        turns = segment_marked_turns(batch)
-        mentions = lexicon_extract(turns, vocab, ["res_id", "turn_id"], max_n)
+        turns = segment_marked_turns(batch, keys)
+        mentions = lexicon_extract(turns, vocab, [*keys, "turn_id"], max_n)
         mentions.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (transcripts.writeStream.foreachBatch(sink)
