@@ -45,7 +45,7 @@ def nearest_label(spark, sf):
 @query("nearest_label_blocked", f"WITH {NEAREST_SQL} SELECT id, type, label, round(cosine, 6) AS cosine, has_labels FROM canon")
 def nearest_label_blocked(spark, sf):
     """The plan for vocabularies too large to broadcast."""
-    return er.nearest_label(vec_nodes(spark, sf), vec_vocab(spark, sf), broadcast_labels=0).select(
+    return er.nearest_label(vec_nodes(spark, sf), vec_vocab(spark, sf), broadcast_values=0).select(
         "id", "type", "label", F.round("cosine", 6).alias("cosine"), "has_labels")
 
 
@@ -121,6 +121,11 @@ def er_leader_cluster(spark, sf):
     return vec_clusters(spark, sf).select("type", "ord", "leader", "text")
 
 
+@query("er_leader_cluster_dense", f"WITH RECURSIVE {CLUSTER_SQL} SELECT type, ord, leader FROM clusters")
+def er_leader_cluster_dense(spark, sf):
+    return er.er_leader_cluster_dense(vec_texts(spark, sf), PAIR_T).select("type", "ord", "leader")
+
+
 @query("er_canonical_name", f"WITH RECURSIVE {CLUSTER_SQL} SELECT type, leader, canonical_name, size FROM names")
 def er_canonical_name(spark, sf):
     return er.er_canonical_name(vec_clusters(spark, sf))

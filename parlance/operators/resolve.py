@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,8 @@ from parlance.runtime import stored
 
 # Vectors per block of a blocked comparison: two blocks and their product fit in one task.
 BLOCK_ROWS = 4096
-# Vocabularies up to this many labels travel to every task; larger ones are joined in blocks.
-BROADCAST_LABELS = 50_000
+# A vocabulary of at most this many numbers (64 MB) is sent to every task; a larger one is joined in blocks.
+BROADCAST_VALUES = 8 << 20
 
 
 def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_features: int = 1 << 12) -> DataFrame:
@@ -48,55 +48,67 @@ def _best_rows(nodes: pd.DataFrame, labels: list[str], ords: np.ndarray, units:
 
 
 _NO_ROWS = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "label", "label_ord", "cosine")})
-_BEST = "id {id}, label string, label_ord bigint, cosine double"
 
 
-def nearest_label(nodes: DataFrame, vocab: DataFrame, broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
-    """Best label of the same type per node: adds label, cosine (null without any).
+def nearest_label(nodes: DataFrame, vocab: DataFrame, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """Best label of the same type per node: adds label, cosine (null without any), has_labels.
 
-    ``nodes``: id, type, embedding, ...; ``vocab``: label, type, ord, embedding. A vocabulary
-    of checked size is sent to every task, which scans its nodes once with a matrix product
-    per type. A larger one is cut into blocks, and every node block meets every block of its
-    type's labels in a task of bounded size; the best of the blocks is then taken.
+    ``nodes``: id, type, embedding, ...; ``vocab``: label, type, ord, embedding. The size of the
+    vocabulary is measured first. A small one is sent to every task and nodes are scored in
+    place, without a shuffle. A larger one is cut into blocks, and every node block meets
+    every block of its type's labels in a task of bounded size; the best of the blocks wins.
     """
-    size = vocab.count()
-    slim = nodes.select("id", "type", "embedding")
-    schema = _BEST.format(id=nodes.schema["id"].dataType.simpleString())
-    if size <= broadcast_labels:
-        table = vocab.select("type", "label", "ord", "embedding").toPandas().sort_values("ord", kind="stable")
-        by_type = {t: (g["label"].tolist(), g["ord"].to_numpy(dtype="int64"), unit_rows(g["embedding"]))
-                   for t, g in table.groupby("type")}
-        shared = nodes.sparkSession.sparkContext.broadcast(by_type)
-
-        def scan(batches):
-            for batch in batches:
-                for kind, group in batch.groupby("type"):
-                    if kind in shared.value:
-                        yield _best_rows(group, *shared.value[kind])
-
-        best = slim.mapInPandas(scan, schema)
-    else:
-        blocks = -(-size // BLOCK_ROWS)
-        node_blocks = max(1, -(-nodes.count() // (16 * BLOCK_ROWS)))
-        v = vocab.withColumn("vb", F.pmod(F.xxhash64("label"), F.lit(blocks))).withColumn(
-            "nb", F.explode(F.sequence(F.lit(0), F.lit(node_blocks - 1))))
-        n = slim.withColumn("nb", F.pmod(F.xxhash64("id"), F.lit(node_blocks))).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return _NO_ROWS
-            right = right.sort_values("ord", kind="stable")
-            units = unit_rows(right["embedding"])
-            labels, ords = right["label"].tolist(), right["ord"].to_numpy(dtype="int64")
-            return _best_rows(left, labels, ords, units)
-
-        partial = n.groupBy("type", "nb", "vb").cogroup(v.groupBy("type", "nb", "vb")).applyInPandas(compare, schema)
-        best = partial.groupBy("id").agg(F.max(F.struct(
-            "cosine", (-F.col("label_ord")).alias("o"), "label"))["label"].alias("label"),
-            F.max("cosine").alias("cosine"))
+    rows, dims = vocab.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if rows * (dims or 1) <= broadcast_values:
+        return _nearest_in_place(nodes, vocab)
+    return _nearest_in_blocks(nodes, vocab, rows)
+
+
+def _nearest_in_place(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
+    table = vocab.select("type", "label", "ord", "embedding").toPandas().sort_values("ord", kind="stable")
+    by_type = {t: (g["label"].tolist(), g["ord"].to_numpy(dtype="int64"), unit_rows(g["embedding"]))
+               for t, g in table.groupby("type")}
+    shared = nodes.sparkSession.sparkContext.broadcast(by_type)
+
+    def score(kind: pd.Series, embedding: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"label": pd.Series([None] * len(kind), dtype=object),
+                            "cosine": np.full(len(kind), np.nan), "has_labels": kind.isin(list(shared.value)).to_numpy()})
+        batch = pd.DataFrame({"id": np.arange(len(kind)), "embedding": embedding.to_numpy()})
+        for t, group in batch.groupby(kind.to_numpy()):
+            if t in shared.value:
+                best = _best_rows(group, *shared.value[t])
+                out.loc[best["id"], "label"] = best["label"].to_numpy()
+                out.loc[best["id"], "cosine"] = best["cosine"].to_numpy()
+        return out
+
+    score.__annotations__ = {"kind": pd.Series, "embedding": pd.Series, "return": pd.DataFrame}
+    # Non-deterministic only so that Spark evaluates it once for its three fields.
+    udf = F.pandas_udf(score, "label string, cosine double, has_labels boolean").asNondeterministic()
+    return nodes.withColumn("_best", udf("type", "embedding")).select(
+        *nodes.columns, "_best.label", F.nanvl("_best.cosine", F.lit(None)).alias("cosine"), "_best.has_labels")
+
+
+def _nearest_in_blocks(nodes: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
+    blocks = -(-size // BLOCK_ROWS)
+    node_blocks = max(1, -(-nodes.count() // (16 * BLOCK_ROWS)))
+    v = vocab.withColumn("vb", F.pmod(F.xxhash64("label"), F.lit(blocks))).withColumn(
+        "nb", F.explode(F.sequence(F.lit(0), F.lit(node_blocks - 1))))
+    n = nodes.select("id", "type", "embedding").withColumn("nb", F.pmod(F.xxhash64("id"), F.lit(node_blocks))).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return _NO_ROWS
+        right = right.sort_values("ord", kind="stable")
+        return _best_rows(left, right["label"].tolist(), right["ord"].to_numpy(dtype="int64"), unit_rows(right["embedding"]))
+
+    kind = nodes.schema["id"].dataType.simpleString()
+    best = n.groupBy("type", "nb", "vb").cogroup(v.groupBy("type", "nb", "vb")).applyInPandas(
+        compare, f"id {kind}, label string, label_ord bigint, cosine double").groupBy("id").agg(
+        F.max(F.struct("cosine", (-F.col("label_ord")).alias("o"), "label")).alias("_b")).select(
+        "id", "_b.label", "_b.cosine")
     known = vocab.select("type").distinct().withColumn("has_labels", F.lit(True))
-    return nodes.join(best.select("id", "label", "cosine"), "id", "left").join(known, "type", "left").withColumn(
+    return nodes.join(best, "id", "left").join(known, "type", "left").withColumn(
         "has_labels", F.coalesce("has_labels", F.lit(False)))
 
 
@@ -207,6 +219,66 @@ def er_leader_cluster(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "leader", F.coalesce("leader", "ord"))
 
 
+def er_leader_cluster_dense(texts: DataFrame, threshold: float = 0.85, front_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The same clusters straight from ``texts`` (type, ord, embedding), without any pairs.
+
+    For data in which many texts are alike, where the pairs alone would be quadratic. Each
+    round settles the first ``front_rows`` undecided texts of every type in one small task,
+    then lets their leaders absorb the rest, in bounded blocks. Rounds grow with the number
+    of leaders per type.
+    """
+    kind = texts.schema["type"].dataType.simpleString()
+
+    def settle(front: pd.DataFrame) -> pd.DataFrame:
+        front = front.sort_values("ord")
+        units, ords = unit_rows(front["embedding"]), front["ord"].to_numpy()
+        sims = units @ units.T
+        leader, cosine = np.full(len(ords), -1), np.full(len(ords), np.nan)
+        for i in range(len(ords)):
+            if leader[i] < 0:
+                free = (leader < 0) & (sims[i] >= threshold)
+                free[i] = False
+                leader[free], cosine[free], leader[i] = i, sims[i][free], i
+        return pd.DataFrame({"type": front["type"], "ord": ords, "leader": ords[leader], "cosine": cosine,
+                             "embedding": front["embedding"]})
+
+    def absorb(rest: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leader, cosine = np.full(len(rest), -1), np.full(len(rest), np.nan)
+        if len(rest) and len(leaders):
+            leaders = leaders.sort_values("ord")
+            sims = unit_rows(rest["embedding"]) @ unit_rows(leaders["embedding"]).T
+            first = (sims >= threshold).argmax(axis=1)
+            value = sims[np.arange(len(rest)), first]
+            hit = value >= threshold
+            leader[hit], cosine[hit] = leaders["ord"].to_numpy()[first[hit]], value[hit]
+        return pd.DataFrame({"type": rest["type"], "ord": rest["ord"], "leader": leader, "cosine": cosine,
+                             "embedding": rest["embedding"]})
+
+    shape = f"type {kind}, ord bigint, leader bigint, cosine double, embedding array<float>"
+    undecided = texts.select("type", "ord", "embedding")
+    rounds: list[DataFrame] = []
+    while not undecided.isEmpty():
+        # Whole ranges of ord, counted first: at least one range and at most front_rows texts.
+        ranged = undecided.withColumn("_range", F.expr(f"ord div {front_rows}"))
+        upto = F.sum("count").over(Window.partitionBy("type").orderBy("_range"))
+        near = ranged.groupBy("type", "_range").count().withColumn("_upto", upto).filter(
+            (F.col("_upto") <= front_rows) | (F.col("_upto") == F.col("count")))
+        front = ranged.join(near.select("type", "_range"), ["type", "_range"], "left_semi").drop("_range")
+        settled = stored(front.groupBy("type").applyInPandas(settle, shape))
+        rest = undecided.join(settled.select("type", "ord"), ["type", "ord"], "left_anti")
+        salts = max(1, -(-rest.count() // front_rows))
+        salted = rest.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(salts)))
+        leaders = settled.filter(F.col("leader") == F.col("ord")).select("type", "ord", "embedding").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        judged = stored(salted.groupBy("type", "_salt").cogroup(leaders.groupBy("type", "_salt")).applyInPandas(absorb, shape))
+        rounds += [settled, judged.filter(F.col("leader") >= 0)]
+        undecided = judged.filter(F.col("leader") < 0).select("type", "ord", "embedding")
+    done = texts.select("type", "ord").limit(0).select("*", F.lit(0).cast("bigint").alias("leader"), F.lit(0.0).alias("cosine"))
+    for part in rounds:
+        done = done.unionByName(part.select("type", "ord", "leader", F.nanvl("cosine", F.lit(None)).alias("cosine")))
+    return done
+
+
 def er_canonical_name(clusters: DataFrame) -> DataFrame:
     """Per cluster (type, leader, text, ...): shortest text, then the first alphabetically."""
     return clusters.groupBy("type", "leader").agg(

@@ -49,6 +49,8 @@ def test_leader_clusters_equal_greedy(spark):
         df = spark.createDataFrame(rows, ROW)
         got = {r.ord: r.leader for r in er.er_leader_cluster(er.similar_pairs(df, t), df).collect()}
         assert got == greedy(rows, t)
+        dense = {r.ord: r.leader for r in er.er_leader_cluster_dense(df, t, front_rows=4).collect()}
+        assert dense == got
 
 
 def test_a_chain_is_not_a_connected_component(spark):
@@ -75,7 +77,7 @@ def test_nearest_label_both_plans(spark):
     nodes = spark.createDataFrame([(i, f"t{i % 4}", t, v) for _, i, t, v in rows], "id bigint, type string, text string, embedding array<float>")
     vocab = spark.createDataFrame(texts(spark, 50, seed=9), ROW).withColumnRenamed("text", "label")
     small = {r.id: (r.label, r.cosine) for r in er.nearest_label(nodes, vocab).collect()}
-    large = {r.id: (r.label, r.cosine) for r in er.nearest_label(nodes, vocab, broadcast_labels=0).collect()}
+    large = {r.id: (r.label, r.cosine) for r in er.nearest_label(nodes, vocab, broadcast_values=0).collect()}
     assert {k: v[0] for k, v in small.items()} == {k: v[0] for k, v in large.items()}
     assert small[3] == (None, None)  # type t3 has no labels
 
