@@ -12,6 +12,7 @@ from parlance.catalog.graph import DEMO_RULES
 from parlance.operators import extract as ex
 from parlance.operators.linking import infer_edges
 from parlance.plans.enrich import enrich_graph
+from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES
 
 # (type, name, regex, fallback terms); regexes both engines read alike.
@@ -231,7 +232,7 @@ WITH {ENRICH_SQL}
 SELECT res_id, 'node' AS kind, id AS a, text AS b, type, evidence FROM fnodes
 UNION ALL SELECT res_id, 'edge', source_id, target_id, type, evidence FROM fedges""")
 def enrich_graph_query(spark, sf):
-    nodes = conversation_nodes(spark, sf)
+    nodes = stored(conversation_nodes(spark, sf))
     # The graph starts with the edges one rule set finds; the others are added by the plan.
     given = infer_edges(nodes, DEMO_RULES, ["confirms"], DEMO_ALIASES)
     texts = transcripts(spark, sf).select("res_id", "text")

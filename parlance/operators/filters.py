@@ -31,7 +31,7 @@ def grounding_filter(
 ) -> DataFrame:
     """Drop rows whose non-empty evidence the transcript does not support.
 
-    Every distinct (transcript, quote) is judged once. Quotes that are not verbatim are
+    Every distinct (transcript, quote) is judged once; a transcript may come in parts. Quotes that are not verbatim are
     compared word by word through an equality join, so no text is scanned per word.
     """
     quotes = df.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(
@@ -44,10 +44,10 @@ def grounding_filter(
     # Settled quotes travel on as one row without a word, so the texts are read in one branch.
     counted = judged.select("res_id", "_ev", easy.alias("_easy"), F.explode_outer(
         F.when(~easy, F.col("_words"))).alias("_word")).groupBy("res_id", "_ev", "_easy", "_word").count()
-    words = texts.select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word"))
+    words = texts.select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word")).distinct()
     share = F.sum(F.col("count") * F.coalesce("_known", F.lit(0))) / F.sum("count")
     supported = counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy(
-        "res_id", "_ev", "_easy").agg(share.alias("_share")).filter(
+        "res_id", "_ev").agg(share.alias("_share"), F.bool_or("_easy").alias("_easy")).filter(
         F.col("_easy") | (F.col("_share") >= min_share)).select("res_id", "_ev", F.lit(True).alias("_ok"))
     tagged = df.withColumn("_ev", F.coalesce(normalize_ws(F.col("evidence")), F.lit("")))
     return tagged.join(supported, ["res_id", "_ev"], "left").filter(

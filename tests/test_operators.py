@@ -99,6 +99,13 @@ def test_validate_graph_grounds_nodes(spark):
     assert rows(idt.validate_graph(n, edges(spark, ("a", "b", "INDICATES"), ("a", "c", "CAUSES")), t)[1], "type") == [("CAUSES",)]
 
 
+def test_grounding_reads_transcripts_in_parts(spark):
+    t = spark.createDataFrame([("r", "one two three four"), ("r", "five six seven two")], "res_id string, text string")
+    n = nodes(spark, ("a", "x", "SYMPTOM", "six SEVEN"), ("b", "x", "SYMPTOM", "one five two nine six"),
+              ("c", "x", "SYMPTOM", "one nine eight ten two"), ("d", "x", "SYMPTOM", None))
+    assert rows(fl.grounding_filter(n, t), "id") == [("a",), ("b",), ("d",)]
+
+
 def test_resolve_endpoints_prefers_allowed_types_in_order(spark):
     n = nodes(spark, ("n1", "Asthma", "LOCATION", ""), ("n2", "asthma", "DIAGNOSIS", ""), ("n3", "pets", "TREATMENT", ""),
               ("n4", "pets", "LAB_RESULT", ""))
