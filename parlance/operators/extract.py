@@ -44,7 +44,15 @@ def lexicon_extract(
                     F.least(g["start"], F.lit(context))).alias("before"),
             F.slice(tokens, g["start"] + g["n"] + 1, context).alias("after")))).alias("_g"))
     else:
-        spans = rows.select(*keys, F.explode(_grams(tokens, max_n)).alias("_g"))
+        # Each word beside its followers: one generated row per word, grams by plain concatenation.
+        shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))).alias(f"w{k}") for k in range(max_n)]
+        words = rows.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("start", "_w"))
+        grams, gram = [], None
+        for k in range(max_n):
+            word = F.col(f"_w.w{k}")
+            gram = word if gram is None else F.concat(gram, F.lit(" "), word)
+            grams.append(F.struct(F.col("start"), F.lit(k + 1).alias("n"), gram.alias("gram")))
+        spans = words.select(*keys, F.explode(F.array(*grams)).alias("_g"))
     extra = ["before", "after"] if context else []
     return spans.select(*keys, "_g.*").join(labels, "gram").select(
         *keys, "start", "n", "label", "type", F.col("gram").alias("quote"), *extra)
