@@ -52,7 +52,9 @@ def _segments(texts: DataFrame, keys: list[str], metric: str, threshold: float,
         pieces = pieces.select("*", F.explode(F.sequence(
             F.ceil((shift - F.col("d")) / 2).cast("int"), F.floor((shift + F.col("d")) / 2).cast("int"))).alias("s"))
         start = F.col("at") + F.col("s")
-        pieces = pieces.filter((start >= 0) & (F.col("end") + F.col("s") <= F.col("la")))
+        # Taking the first unspoiled piece, each of the i before it has cost an edit already.
+        spent = F.greatest(F.col("i"), F.abs(F.col("s"))) + F.abs(shift - F.col("s"))
+        pieces = pieces.filter((start >= 0) & (F.col("end") + F.col("s") <= F.col("la")) & (spent <= F.col("d")))
     return pieces.select(*keys, "text", "la", "lb", "d", "i",
                          F.substr(F.col("text"), start + 1, F.col("end") - F.col("at")).alias("seg"))
 
