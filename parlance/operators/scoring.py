@@ -40,7 +40,7 @@ def _segments(texts: DataFrame, keys: list[str], metric: str, threshold: float,
     partner = F.explode(F.sequence(
         F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int"), F.floor(n / F.lit(ratio) + F.lit(1e-9)).cast("int")))
     mine, other = ("lb", "la") if whole else ("la", "lb")
-    sized = texts.select(*keys, "text", n.alias(mine), partner.alias(other)).withColumn(
+    sized = texts.select(*keys, "text", "settled", n.alias(mine), partner.alias(other)).withColumn(
         "d", _budget(F.col("la"), F.col("lb"), metric, threshold)).filter(F.col("d") >= F.abs(F.col("la") - F.col("lb")))
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).withColumns({
         "at": F.floor(F.col("i") * F.col("lb") / (F.col("d") + 1)).cast("int"),
@@ -55,7 +55,7 @@ def _segments(texts: DataFrame, keys: list[str], metric: str, threshold: float,
         # Taking the first unspoiled piece, each of the i before it has cost an edit already.
         spent = F.greatest(F.col("i"), F.abs(F.col("s"))) + F.abs(shift - F.col("s"))
         pieces = pieces.filter((start >= 0) & (F.col("end") + F.col("s") <= F.col("la")) & (spent <= F.col("d")))
-    return pieces.select(*keys, "text", "la", "lb", "d", "i",
+    return pieces.select(*keys, "text", "settled", "la", "lb", "d", "i",
                          F.substr(F.col("text"), start + 1, F.col("end") - F.col("at")).alias("seg"))
 
 
@@ -70,13 +70,23 @@ def fuzzy_pairs(
     'seq_ratio' or 'levenshtein'.
     """
     keys = list(keys)
-    s = _segments(_texts(student, keys), keys, metric, threshold, False).withColumnRenamed("text", "student_text")
-    b = _segments(_texts(baseline, keys), keys, metric, threshold, True).drop("d").withColumnRenamed("text", "baseline_text")
+    unsettled = F.lit(False).alias("settled")
+    return _near(_texts(student, keys).select("*", unsettled), _texts(baseline, keys).select("*", unsettled),
+                 keys, metric, threshold)
+
+
+def _near(student: DataFrame, baseline: DataFrame, keys: list[str], metric: str, threshold: float) -> DataFrame:
+    """Pairs of distinct texts, but for those in which both sides are settled already."""
+    s = _segments(student, keys, metric, threshold, False).withColumnsRenamed(
+        {"text": "student_text", "settled": "_ss"})
+    b = _segments(baseline, keys, metric, threshold, True).drop("d").withColumnsRenamed(
+        {"text": "baseline_text", "settled": "_bs"})
     # Pieces far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
     # and splits skewed keys rather than a broadcast chosen from the size of the texts.
     met = s.join(b.hint("merge"), [*keys, "la", "lb", "i", "seg"])
     edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), F.col("d"))
-    close = met.filter(edits >= 0).select(*keys, "student_text", "baseline_text").distinct()
+    close = met.filter(~(F.col("_ss") & F.col("_bs")) & (edits >= 0)).select(
+        *keys, "student_text", "baseline_text").distinct()
     if metric == "levenshtein":
         similarity: Column = levenshtein_similarity(F.col("student_text"), F.col("baseline_text"))
         return close.withColumn("similarity", similarity)
@@ -91,16 +101,20 @@ def matched_texts(
     keys = list(keys)
     # Distinct texts are few beside the mentions they come from, and are read several times.
     s, b = stored(_texts(student, keys)), stored(_texts(baseline, keys))
+    same = s.join(b, [*keys, "text"], "left_semi").withColumn("settled", F.lit(True))
+
+    def settled(texts: DataFrame) -> DataFrame:
+        return texts.join(same, [*keys, "text"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+
     if metric == "exact":
-        pairs = s.join(b, [*keys, "text"]).select(
-            *keys, F.col("text").alias("student_text"), F.col("text").alias("baseline_text"))
-    else:
-        pairs = stored(fuzzy_pairs(s, b, metric, threshold, tuple(keys)))
+        return settled(s).withColumnRenamed("settled", "matched"), settled(b).withColumnRenamed("settled", "matched")
+    # A text found verbatim on the other side is matched; it is compared with unmatched texts only.
+    pairs = stored(_near(settled(s), settled(b), keys, metric, threshold))
 
     def flagged(texts: DataFrame, col: str) -> DataFrame:
         hit = pairs.select(*keys, F.col(col).alias("text")).distinct().withColumn("_hit", F.lit(True))
-        return texts.join(hit, [*keys, "text"], "left").withColumn(
-            "matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+        return settled(texts).join(hit, [*keys, "text"], "left").withColumn(
+            "matched", F.col("settled") | F.coalesce("_hit", F.lit(False))).drop("_hit", "settled")
 
     return flagged(s, "student_text"), flagged(b, "baseline_text")
 
