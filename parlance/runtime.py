@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -98,12 +99,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
+_WRITTEN: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     For results that several branches of a plan use: they are computed once, survive lost
-    executors, keep column pruning, and bring exact sizes for the joins that follow.
+    executors, keep column pruning, and bring exact sizes for the joins that follow. The folder
+    stays until ``drop_stored`` or the end of the driver.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    if not _WRITTEN:
+        atexit.register(drop_all_stored)
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=compression)
+    _WRITTEN[path] = spark.sparkContext.applicationId
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        for path in [p for p in _WRITTEN if any(p in f for f in df.inputFiles())]:
+            _delete(df.sparkSession, path)
+            del _WRITTEN[path]
+
+
+def drop_all_stored() -> None:
+    """Delete every folder that ``stored`` wrote in this application; results that read them are void then."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path, app in list(_WRITTEN.items()):
+        if app == spark.sparkContext.applicationId:
+            _delete(spark, path)
+            del _WRITTEN[path]
