@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from parlance.llm import ensemble, packing, rules, simhash, winnow  # noqa: F401
+from parlance.llm import ensemble, packing, pii, rules, simhash, winnow  # noqa: F401
 from parlance.llm.common import ORACLE, QUERIES
 
 
