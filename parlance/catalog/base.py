@@ -91,7 +91,8 @@ def mentions(spark: SparkSession, sf_dir: str, context: int = 0) -> DataFrame:
 
 
 def mention_ord():
-    return F.col("seq") * 1_000_000 + F.col("start") * 8 + F.col("n")
+    """The place of a mention: its turn, its first word, its length."""
+    return F.struct("seq", "start", "n")
 
 
 def raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +143,7 @@ turns AS (SELECT res_id, pos, speaker, text,
 def parts_sql(bracketed: bool = True) -> str:
     line = "'[' || turn_id || '] ' || speaker || ': ' || text" if bracketed else "turn_id || ': ' || text"
     return f"""{TURNS_SQL},
-parts AS (SELECT res_id, (seq - 1) // 4096 AS part, string_agg({line}, chr(10) ORDER BY seq) AS text
-          FROM turns GROUP BY 1, 2)"""
+parts AS (SELECT res_id, string_agg({line}, chr(10) ORDER BY seq) AS text FROM turns GROUP BY 1)"""
 
 
 def grams_sql(source: str, keys: str, max_n: int, text: str = "text") -> str:
@@ -160,7 +160,7 @@ VOCAB_SQL = values_sql(DEMO_VOCAB, ["label", "type"])
 MENTIONS_SQL = f"""{TURNS_SQL}, {grams_sql('turns', 'res_id, seq, turn_id, speaker', MAX_N)},
 vocab AS {VOCAB_SQL},
 mentions AS (SELECT res_id, seq, turn_id, speaker, start, n, label, type, gram AS quote, tk,
-                    seq * 1000000 + start * 8 + n AS ord
+                    {{'seq': seq, 'start': start, 'n': n}} AS ord
              FROM grams JOIN vocab ON gram = label)"""
 CONV_NODES_SQL = f"""{MENTIONS_SQL},
 canon AS (SELECT res_id, {canon_sql('label', DEMO_ALIASES)} AS text, type, quote AS evidence, turn_id, ord

@@ -26,7 +26,7 @@ DEMO_PATTERNS = [
 ]
 
 
-def _pattern_sql(patterns: list[tuple], compat: bool = False) -> str:
+def _pattern_sql(patterns: list[tuple], bracketed: bool = True) -> str:
     """CTE phits over parts: one row per (transcript, pattern) hit."""
     branches = []
     for i, (kind, name, rx, terms) in enumerate(patterns):
@@ -39,15 +39,16 @@ def _pattern_sql(patterns: list[tuple], compat: bool = False) -> str:
         term = "CASE " + " ".join(f"WHEN {p} > 0 THEN '{t}'" for t, p in at.items()) + " END"
         term_at = "CASE " + " ".join(f"WHEN {p} > 0 THEN {p}" for p in at.values()) + " END"
         branches.append(f"""
-SELECT res_id, part, {i} AS rule, '{kind}' AS type, {canon_sql(f"'{name}'", DEMO_ALIASES)} AS text,
+SELECT res_id, {i} AS rule, '{kind}' AS type, {canon_sql(f"'{name}'", DEMO_ALIASES)} AS text,
        regexp_extract(text, '{rx}') AS m, length(regexp_extract(text, '(?s)^(.*?)(?:{rx})', 1)) + 1 AS m_at,
        {term} AS term, {term_at} AS term_at, text AS body FROM parts""")
+    last = r"(?s)^.*\[([DP]-\d+)\]" if bracketed else r"(?s)^(?:.*\n)?([DP]-\d+):"
     return f"""
 praw AS ({' UNION ALL '.join(branches)}),
-phits AS (SELECT res_id, part, rule, type, text,
+phits AS (SELECT res_id, rule, type, text,
                  CASE WHEN m <> '' THEN trim(regexp_replace(m, '\\s+', ' ', 'g')) ELSE term END AS evidence,
                  regexp_extract(substr(body, 1, CASE WHEN m <> '' THEN m_at ELSE term_at END),
-                                '(?s)^.*\\[([DP]-\\d+)\\]', 1) AS turn_id,
+                                '{last}', 1) AS turn_id,
                  CASE WHEN m <> '' THEN 'pattern' ELSE 'fallback' END AS via
           FROM praw WHERE m <> '' OR term IS NOT NULL)"""
 
@@ -57,16 +58,24 @@ PATTERN_SQL = f"{parts_sql()}, {_pattern_sql(DEMO_PATTERNS)}"
 
 @query("pattern_extract", f"""
 WITH {CONV_NODES_SQL}, {PATTERN_SQL.replace(TURNS_SQL + ',', '', 1)}
-SELECT h.res_id, h.part, h.type, h.text, h.evidence, h.turn_id, h.via FROM phits h
+SELECT h.res_id, h.type, h.text, h.evidence, h.turn_id, h.via FROM phits h
 LEFT JOIN nodes n ON n.res_id = h.res_id AND n.text = h.text AND n.type = h.type WHERE n.id IS NULL""")
 def pattern_extract(spark, sf):
     return ex.pattern_extract(
-        transcripts(spark, sf), DEMO_PATTERNS, conversation_nodes(spark, sf), DEMO_ALIASES, keys=("res_id", "part")
-    ).select("res_id", "part", "type", "text", "evidence", "turn_id", "via")
+        transcripts(spark, sf), DEMO_PATTERNS, conversation_nodes(spark, sf), DEMO_ALIASES
+    ).select("res_id", "type", "text", "evidence", "turn_id", "via")
+
+
+@query("pattern_extract_plain", f"""
+WITH {parts_sql(False)}, {_pattern_sql(DEMO_PATTERNS, False)}
+SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
+def pattern_extract_plain(spark, sf):
+    return ex.pattern_extract(transcripts(spark, sf, bracketed=False), DEMO_PATTERNS, aliases=DEMO_ALIASES).select(
+        "res_id", "type", "text", "evidence", "turn_id", "via")
 
 
 @query("pattern_extract_documents", f"""
-WITH parts AS (SELECT doc_id AS res_id, 0 AS part, text FROM documents), {_pattern_sql(DEMO_PATTERNS)}
+WITH parts AS (SELECT doc_id AS res_id, text FROM documents), {_pattern_sql(DEMO_PATTERNS)}
 SELECT res_id, type, text, evidence, via FROM phits""")
 def pattern_extract_documents(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("res_id"), "text")
@@ -80,7 +89,7 @@ SELECT type, text, count(*) AS hits, count(*) FILTER (via = 'fallback') AS fallb
        round(count(*) FILTER (via = 'fallback') / count(*), 4) AS fallback_share FROM phits GROUP BY 1, 2""")
 def fallback_audit(spark, sf):
     return ex.fallback_audit(ex.pattern_extract(
-        transcripts(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES, keys=("res_id", "part")))
+        transcripts(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES))
 
 
 @query("lexicon_extract", f"""
@@ -209,8 +218,8 @@ _ENRICH_ENDS = [(o, e, side, DEMO_ALIASES.get(text, text), t, i)
 ENRICH_LOW_VALUE = r"^(absent|no)\s+(travel|pets?)$|^by$"
 ENRICH_SQL = f"""{CONV_NODES_SQL}, {PATTERN_SQL.replace(TURNS_SQL + ',', '', 1)},
 kept AS (SELECT * FROM nodes WHERE NOT regexp_matches(text, '^(absent|no)\\s+(travel|pets?)$|^by$')),
-grown AS (SELECT res_id, text, type, evidence, turn_id, ord FROM kept
-          UNION ALL SELECT h.res_id, h.text, h.type, h.evidence, h.turn_id, 1099511627776 + h.rule FROM phits h
+grown AS (SELECT res_id, text, type, evidence, turn_id, {{'source': 0, 'at': ord}} AS ord FROM kept
+          UNION ALL SELECT h.res_id, h.text, h.type, h.evidence, h.turn_id, {{'source': 1, 'at': h.rule}} FROM phits h
           LEFT JOIN kept k ON k.res_id = h.res_id AND k.text = h.text AND k.type = h.type WHERE k.id IS NULL),
 grown2 AS (SELECT res_id, {canon_sql('text', DEMO_ALIASES)} AS text, type, evidence, turn_id, ord FROM grown
            QUALIFY row_number() OVER (PARTITION BY res_id, {canon_sql('text', DEMO_ALIASES)}, type ORDER BY ord) = 1),

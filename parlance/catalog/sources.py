@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from parlance.catalog.base import (
@@ -11,6 +15,7 @@ from parlance.catalog.base import (
 from parlance.functions import text as tx
 from parlance.operators import responses as rs
 from parlance.operators import turns as tn
+from parlance.runtime import checkpoint_dir
 from parlance.schema import BUCKET_ITEM
 from parlance.sources import kgdocs, vocab
 from parlance.sources import transcripts as src
@@ -19,12 +24,30 @@ from pyspark.sql import types as T
 EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
 
 
+def _written(files, kind: str) -> str:
+    """Files (path, text) under a new folder of the shared one, written by the tasks; returns the folder."""
+    root = f"{checkpoint_dir(files.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+
+    def write(rows) -> None:
+        fs, base = pafs.FileSystem.from_uri(re.sub("^file:/+", "/", root))
+        for row in rows:
+            fs.create_dir(f"{base}/{row['path']}".rpartition("/")[0])
+            with fs.open_output_stream(f"{base}/{row['path']}") as out:
+                out.write(row["text"].encode())
+
+    files.select("path", "text").foreachPartition(write)
+    return root
+
+
 @query("scan_transcripts", f"""
-WITH {parts_sql()}
-SELECT res_id, part, length(text) AS chars, md5(text) AS text_md5 FROM parts""")
+WITH {parts_sql()} SELECT 'RES' || res_id AS res_id, text FROM parts""")
 def scan_transcripts(spark, sf):
-    return transcripts(spark, sf).select(
-        "res_id", "part", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+    """Every conversation as a file of its own, read by the operator; a note beside it is not a transcript."""
+    name = F.concat(F.lit("RES"), F.col("res_id").cast("string"))
+    files = transcripts(spark, sf).select(F.concat_ws("/", name, name).alias("stem"), "text").select(
+        F.explode(F.array(F.struct(F.concat("stem", F.lit(".txt")).alias("path"), "text"),
+                          F.struct(F.concat("stem", F.lit("_note.txt")).alias("path"), F.lit("a note").alias("text")))).alias("f"))
+    return src.scan_transcripts(spark, _written(files.select("f.*"), "transcripts"))
 
 
 @query("subset_filter", """
@@ -49,7 +72,7 @@ def _event_docs(spark, sf):
     schema = kgdocs.KG_DOC
     return event_items(spark, sf).select(
         event_id.alias("res_id"), F.from_json(doc, schema).alias("d")).select(
-        "res_id", F.lit(0).alias("part"), "d.nodes", "d.edges")
+        "res_id", "d.nodes", "d.edges")
 
 
 @query("explode_kg", f"""
@@ -113,8 +136,7 @@ def union_splits_last_wins(spark, sf):
         "o_custkey", F.year("o_orderdate").alias("split_year"), "o_orderkey")
     # Inside a split ids are unique, as encounter ids are.
     unique = orders.groupBy("o_custkey", "split_year").agg(F.min("o_orderkey").alias("o_orderkey"))
-    splits = [unique.filter(F.col("split_year") == y) for y in range(1995, 2002)]
-    return src.union_splits_last_wins(splits, "o_custkey")
+    return src.last_split_wins(unique, "o_custkey", "split_year")
 
 
 @query("missing_wanted", """
@@ -195,7 +217,7 @@ def transcript_meta(spark, sf):
 WITH {parts_sql()}
 SELECT res_id, turn_id, speaker, text FROM turns""")
 def segment_marked_turns(spark, sf):
-    return tn.segment_marked_turns(transcripts(spark, sf), ("res_id", "part")).select(
+    return tn.segment_marked_turns(transcripts(spark, sf)).select(
         "res_id", "turn_id", "speaker", "text")
 
 
@@ -203,7 +225,7 @@ def segment_marked_turns(spark, sf):
 WITH {parts_sql(False)}
 SELECT res_id, turn_id, speaker, text FROM turns""")
 def segment_plain_turns(spark, sf):
-    return tn.segment_marked_turns(transcripts(spark, sf, bracketed=False), ("res_id", "part")).select(
+    return tn.segment_marked_turns(transcripts(spark, sf, bracketed=False)).select(
         "res_id", "turn_id", "speaker", "text")
 
 
@@ -229,12 +251,12 @@ def split_dialogue(spark, sf):
 
 @query("count_turns", f"""
 WITH {parts_sql()}
-SELECT res_id, part, len(regexp_extract_all(text, '\\[[DP]-\\d+\\]')) AS n_turns FROM parts""")
+SELECT res_id, len(regexp_extract_all(text, '\\[[DP]-\\d+\\]')) AS n_turns FROM parts""")
 def count_turns(spark, sf):
-    return transcripts(spark, sf).select("res_id", "part", tx.count_turns(F.col("text")).alias("n_turns"))
+    return transcripts(spark, sf).select("res_id", tx.count_turns(F.col("text")).alias("n_turns"))
 
 
-@query("render_transcript", f"WITH {parts_sql(False)} SELECT res_id, part, text FROM parts")
+@query("render_transcript", f"WITH {parts_sql(False)} SELECT res_id, text FROM parts")
 def render_transcript(spark, sf):
     return transcripts(spark, sf, bracketed=False)
 
@@ -250,27 +272,25 @@ TEMPLATES = [
 
 @query("prompt_fanout", f"""
 WITH {CONV_NODES_SQL},
-parts AS (SELECT res_id, (seq - 1) // 4096 AS part,
-                 string_agg('[' || turn_id || '] ' || speaker || ': ' || text, chr(10) ORDER BY seq) AS text
-          FROM turns GROUP BY 1, 2),
+parts AS (SELECT res_id, string_agg('[' || turn_id || '] ' || speaker || ': ' || text, chr(10) ORDER BY seq) AS text
+          FROM turns GROUP BY 1),
 lists AS (SELECT res_id, string_agg('  ' || ord || '. "' || text || '" (' || type || ', turn ' || turn_id || ')',
                                     chr(10) ORDER BY ord) AS entities FROM nodes GROUP BY 1),
 bullets AS (SELECT type AS category, string_agg('- ' || label, chr(10) ORDER BY label) AS labels
             FROM (SELECT DISTINCT type, label FROM vocab) GROUP BY 1),
 prompts AS (
-  SELECT res_id, part, b.category, 'Find ' || b.category || '.' || chr(10) || labels || chr(10) || '---' || chr(10)
+  SELECT res_id, b.category, 'Find ' || b.category || '.' || chr(10) || labels || chr(10) || '---' || chr(10)
          || text AS prompt FROM parts, bullets b
   UNION ALL
-  SELECT res_id, part, c.category, 'Relate ' || c.category || '.' || chr(10) || coalesce(entities, '(none)') || chr(10)
+  SELECT res_id, c.category, 'Relate ' || c.category || '.' || chr(10) || coalesce(entities, '(none)') || chr(10)
          || '---' || chr(10) || text
   FROM parts LEFT JOIN lists USING (res_id),
        (VALUES ('INDICATES'), ('CAUSES'), ('LOCATED_AT'), ('RULES_OUT'), ('TAKEN_FOR'), ('CONFIRMS')) c(category))
-SELECT res_id, part, category, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM prompts""")
+SELECT res_id, category, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM prompts""")
 def prompt_fanout(spark, sf):
-    nodes = conversation_nodes(spark, sf).withColumn("part", F.lit(0).cast("bigint"))
     return src.prompt_fanout(
-        transcripts(spark, sf), TEMPLATES, demo_vocab(spark), nodes, ("res_id", "part")
-    ).select("res_id", "part", "category", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))
+        transcripts(spark, sf), TEMPLATES, demo_vocab(spark), conversation_nodes(spark, sf)
+    ).select("res_id", "category", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 # Answers of an imagined model: the event's JSON, wrapped in five kinds of noise.
@@ -311,20 +331,29 @@ def parse_noisy_json(spark, sf):
 
 
 @query("parse_noisy_json_largest", """
-SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+SELECT event_id, CASE WHEN event_id % 6 < 4 OR event_id % 12 = 5 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       event_id % 12 = 5 AS is_array FROM events""")
 def parse_noisy_json_largest(spark, sf):
-    schema = T.StructType([T.StructField("k", T.LongType())])
-    # The largest-object reading does not repair commas inside prose, so that noise is left out here.
-    clean = _answers(spark, sf).withColumn("content", F.replace("content", F.lit(", }"), F.lit("}")))
-    return rs.parse_noisy_json(clean, schema, "largest").select("event_id", "parsed.k")
+    """All noise, and a fenced array of two objects where the cascade's answers are empty."""
+    props = table(spark, sf, "events").select(F.col("event_id").alias("_id"), "props")
+    array = F.concat(F.lit("So:\n```json\n[{\"a\": 1}, "), F.col("props"), F.lit("]\n```"))
+    answers = _answers(spark, sf).join(props, F.col("event_id") == F.col("_id")).withColumn(
+        "content", F.when(F.col("event_id") % 12 == 5, array).otherwise(F.col("content")))
+    found = rs.parse_noisy_json(answers, mode="largest")
+    return found.select(
+        "event_id", F.coalesce(F.get_json_object("json", "$.k"), F.get_json_object("json", "$[1].k")).cast("bigint").alias("k"),
+        F.coalesce(F.col("json").startswith("["), F.lit(False)).alias("is_array"))
 
 
 @query("parse_status", f"""
 WITH {ANSWERS_SQL}
 SELECT event_id, CASE WHEN content = '' THEN 'LLM_FAIL' WHEN json IS NULL THEN 'PARSE_FAIL' ELSE 'OK' END AS status,
-       CASE WHEN content = '' THEN 'LLM_FAIL' ELSE 'PARSE_FAIL' END AS edge_status FROM found""")
+       CASE WHEN content = '' THEN 'LLM_FAIL' WHEN json IS NULL OR event_id % 5 > 0 THEN 'PARSE_FAIL' ELSE 'OK' END AS edge_status
+FROM found""")
 def parse_status(spark, sf):
-    found = rs.parse_noisy_json(_answers(spark, sf))
+    """Every fifth answer holds a bucket, as an edge answer must."""
+    found = rs.parse_noisy_json(_answers(spark, sf)).withColumn("json", F.when(
+        F.col("event_id") % 5 == 0, F.concat(F.lit('{"matched": ['), F.col("json"), F.lit("]}"))).otherwise(F.col("json")))
     return found.select(
         "event_id", rs.parse_status(F.col("content"), F.col("json")).alias("status"),
         rs.parse_status(F.col("content"), F.col("json"), F.lit(True)).alias("edge_status"))
@@ -374,10 +403,19 @@ def flatten_buckets(spark, sf):
 
 @query("read_category_results", f"""
 WITH {ITEMS_SQL}
-SELECT res_id, category, bucket, count(*) AS n FROM items GROUP BY 1, 2, 3""")
+SELECT 'R_' || res_id % 40 AS res_id, category, bucket, CASE WHEN bucket = 'matched' THEN text END AS label,
+       CASE WHEN bucket = 'matched' THEN '' ELSE text END AS text, src, dst, 'value ' || v AS quote FROM items""")
 def read_category_results(spark, sf):
-    return rs.bucket_items(event_results(spark, sf), ["res_id", "category"]).groupBy(
-        "res_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """The answers of each group of users and category as a file, read by the operator."""
+    names = ["matched", "other", "fine_grained"]
+    one = event_results(spark, sf).withColumn("res_id", F.concat(F.lit("R_"), (F.col("res_id") % 40).cast("string")))
+    docs = one.groupBy("res_id", "category").agg(*[F.flatten(F.collect_list(b)).alias(b) for b in names])
+    files = docs.select(
+        F.concat("res_id", F.lit("/"), "res_id", F.lit("_"), "category", F.lit(".json")).alias("path"),
+        F.to_json(F.struct(*names)).alias("text"))
+    results = kgdocs.read_category_results(spark, _written(files, "answers"))
+    return rs.bucket_items(results, ["res_id", "category"]).select(
+        "res_id", "category", "bucket", "label", "text", "src", "dst", "quote")
 
 
 @query("review_listing", f"""
@@ -385,28 +423,39 @@ WITH {ITEMS_SQL}
 SELECT event_id AS ord, category, bucket, item_pos, text AS label, src || ' → ' || dst AS edge_label,
        '?' AS turn_id, substr('value ' || v, 1, 7) AS quote FROM items""")
 def review_listing(spark, sf):
-    items = rs.bucket_items(event_results(spark, sf), ["category", "ord"])
-    nodes = rs.review_listing(items, width=7)
-    edges = F.concat(F.col("src"), F.lit(" → "), F.col("dst"))
-    return nodes.select("ord", "category", "bucket", "item_pos", "label", edges.alias("edge_label"), "turn_id", "quote")
+    items = rs.bucket_items(event_results(spark, sf), ["category", "ord"]).withColumn("_label", F.col("label"))
+    edges = rs.review_listing(items, is_edge=True).withColumnRenamed("label", "edge_label").withColumn("label", F.col("_label"))
+    return rs.review_listing(edges, width=7).select(
+        "ord", "category", "bucket", "item_pos", "label", "edge_label", "turn_id", "quote")
 
 
 @query("edge_passthrough", f"""
 WITH {ITEMS_SQL}
-SELECT category, count(*) FILTER (bucket = 'matched') AS matched, count(*) FILTER (bucket = 'other') AS other,
-       count(*) FILTER (bucket = 'fine_grained') AS fine_grained FROM items WHERE src <> dst GROUP BY 1""")
+SELECT event_id AS ord, category AS type, bucket, item_pos, src, dst, 'value ' || v AS quote FROM items WHERE src <> dst""")
 def edge_passthrough(spark, sf):
-    return rs.bucket_counts(rs.edge_passthrough(rs.bucket_items(event_results(spark, sf), ["category", "ord"])))
+    return rs.edge_passthrough(rs.bucket_items(event_results(spark, sf), ["category", "ord"])).select(
+        "ord", "type", "bucket", "item_pos", "src", "dst", "quote")
+
+
+@query("bucket_counts", f"""
+WITH {ITEMS_SQL}
+SELECT category, count(*) FILTER (bucket = 'matched') AS matched, count(*) FILTER (bucket = 'other') AS other,
+       count(*) FILTER (bucket = 'fine_grained') AS fine_grained FROM items GROUP BY 1""")
+def bucket_counts(spark, sf):
+    return rs.bucket_counts(rs.bucket_items(event_results(spark, sf), ["category", "ord"]))
 
 
 @query("write_kg", f"""
-WITH {EVENT_SQL},
-docs AS (SELECT CAST(res_id AS VARCHAR) AS res_id, ord // 100000 AS part, 1 AS n, 0 AS e FROM raw_nodes
-         UNION ALL SELECT CAST(res_id AS VARCHAR), ord // 100000, 0, 1 FROM raw_edges)
-SELECT res_id, part, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(e) AS BIGINT) AS edges FROM docs GROUP BY 1, 2""")
+WITH {EVENT_SQL}
+SELECT 'R_' || res_id AS res_id, 'node' AS kind, id AS a, text AS b, type, evidence FROM raw_nodes
+UNION ALL SELECT 'R_' || res_id, 'edge', source_id, target_id, type, evidence FROM raw_edges""")
 def write_kg(spark, sf):
-    """The documents that write_kg stores; tests do the round trip through files."""
-    nodes = event_nodes(spark, sf).withColumn("res_id", F.col("res_id").cast("string"))
-    edges = event_edges(spark, sf).withColumn("res_id", F.col("res_id").cast("string"))
-    return kgdocs.pack_kg(nodes, edges).select(
-        "res_id", "part", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
+    """Graphs written as documents, one per user, and read back."""
+    named = lambda df: df.withColumn("res_id", F.concat(F.lit("R_"), F.col("res_id").cast("string")))
+    root = f"{checkpoint_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    kgdocs.write_kg(named(event_nodes(spark, sf)), named(event_edges(spark, sf)), root)
+    nodes, edges = kgdocs.explode_kg(kgdocs.read_kg(spark, root))
+    return nodes.select("res_id", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("text").alias("b"), "type",
+                        "evidence").unionByName(
+        edges.select("res_id", F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"),
+                     "type", "evidence"))

@@ -88,7 +88,7 @@ FIND_REGEX = r"(?:of|in) that\W{1,3}\w{2,6} (?:the|and)"
 FIND_TERMS = ["whble", "thwas", "edan"]
 
 
-def _find_sql(compat: bool) -> str:
+def _find_sql(compat: bool, bracketed: bool = True) -> str:
     rx = r"(?i)(?:of|in) that\W{1,3}\w{2,6} (?:the|and)"
     if compat:
         at = {t: f"strpos(lower(text), '{t}')" for t in FIND_TERMS}
@@ -105,23 +105,24 @@ def _find_sql(compat: bool) -> str:
                     f"greatest({start} - {width}, 1)), '{marker}', 1)")
     else:
         def turn(start, size, width):
-            return f"regexp_extract(substr(text, 1, {start}), '(?s)^.*{marker}', 1)"
+            last = f"(?s)^.*{marker}" if bracketed else r"(?s)^(?:.*\n)?([DP]-\d+):"
+            return f"regexp_extract(substr(text, 1, {start}), '{last}', 1)"
     return f"""
 hits AS (SELECT *, regexp_extract(text, '{rx}') AS m,
                 length(regexp_extract(text, '(?s)^(.*?)(?:{rx})', 1)) + 1 AS m_at, {term} AS term, {term_at} AS term_at
          FROM parts),
-found AS (SELECT res_id, part, CASE WHEN m <> '' THEN trim(regexp_replace(m, '\\s+', ' ', 'g')) ELSE term END AS evidence,
+found AS (SELECT res_id, CASE WHEN m <> '' THEN trim(regexp_replace(m, '\\s+', ' ', 'g')) ELSE term END AS evidence,
                  CASE WHEN m <> '' THEN {turn('m_at', 'length(m)', 70)}
                       ELSE {turn('term_at', 'length(term)', 60)} END AS turn_id,
                  CASE WHEN m <> '' THEN 'pattern' ELSE 'fallback' END AS via
           FROM hits WHERE m <> '' OR term IS NOT NULL)"""
 
 
-def _find(spark, sf, compat):
+def _find(spark, sf, compat, bracketed=True):
     hit = tx.find_evidence(
         F.col("text"), F.lit(FIND_REGEX), F.array(*[F.lit(t) for t in FIND_TERMS]), compat=compat)
-    return transcripts(spark, sf).select("res_id", "part", hit.alias("h")).filter(
-        F.col("h").isNotNull()).select("res_id", "part", "h.*")
+    return transcripts(spark, sf, bracketed).select("res_id", hit.alias("h")).filter(
+        F.col("h").isNotNull()).select("res_id", "h.*")
 
 
 @query("find_evidence", f"WITH {parts_sql()}, {_find_sql(False)} SELECT * FROM found")
@@ -129,6 +130,11 @@ def find_evidence(spark, sf):
     return _find(spark, sf, False)
 
 
+@query("find_evidence_plain", f"WITH {parts_sql(False)}, {_find_sql(False, False)} SELECT * FROM found")
+def find_evidence_plain(spark, sf):
+    return _find(spark, sf, False, False)
+
+
 @query("find_evidence_compat", f"WITH {parts_sql()}, {_find_sql(True)} SELECT * FROM found")
 def find_evidence_compat(spark, sf):
     return _find(spark, sf, True)

@@ -28,30 +28,43 @@ def is_json(c: Column) -> Column:
     return (c != "") & F.try_parse_json(c).isNotNull()
 
 
-def _largest_object(text: str | None) -> str | None:
-    if not text:
-        return None
-    decoder = json.JSONDecoder()
-    best, best_len = None, -1
-    at = text.find("{")
-    while at >= 0:
-        try:
-            value, end = decoder.raw_decode(text, at)
-            if end - at > best_len:
-                best, best_len = value, end - at
-            # Whatever starts inside a decoded object is shorter than it.
-            at = text.find("{", end)
-        except json.JSONDecodeError:
-            at = text.find("{", at + 1)
-    if best is None:
+# Strings stand behind a structural sign; quotes in prose do not, and open nothing.
+_BRACES = re.compile(r'(?<=[{\[,:])\s*"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+
+
+def _decoded(text: str):
+    """The value of a JSON text, commas before a closing bracket forgiven; None for anything else."""
+    for attempt in (text, re.sub(TRAILING_COMMA, r"\1", text)):
         try:
-            best = json.loads(re.sub(TRAILING_COMMA, r"\1", text.strip()))
-        except json.JSONDecodeError:
-            return None
-    return json.dumps(best, ensure_ascii=False)
+            return json.loads(attempt)
+        except ValueError:
+            continue
+    return None
+
+
+def _objects(text: str) -> list[str]:
+    """Texts between matching braces, the longest first: one pass with a stack of open ones."""
+    opened, spans = [], []
+    for token in _BRACES.finditer(text):
+        if token[0] == "{":
+            opened.append(token.start())
+        elif token[0] == "}" and opened:
+            start = opened.pop()
+            spans.append((start - token.end(), start, token.end()))
+    return [text[a:b] for _, a, b in sorted(spans)]
+
+
+def _largest_value(text: str | None) -> str | None:
+    """All of a text or its fenced block, if that is an object or array; else its longest object that decodes."""
+    text = (text or "").strip()
+    whole = [text, *(m.strip() for m in re.findall(FENCE, text)[:1])]
+    for found in map(_decoded, [*whole, *_objects(text)]):
+        if isinstance(found, (dict, list)):
+            return json.dumps(found, ensure_ascii=False)
+    return None
 
 
 @F.pandas_udf(T.StringType())
 def largest_json(content: pd.Series) -> pd.Series:
-    """The largest decodable object in a text, for answers with prose on both sides."""
-    return content.map(_largest_object)
+    """The whole answer if it is JSON, else the largest object in it, for prose on both sides."""
+    return content.map(_largest_value)

@@ -14,7 +14,8 @@ NOT_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
 NOT_WORD_AFTER = r"(?![\p{L}\p{N}_])"
 # Case-insensitive, Unicode classes, '.' stopping at newlines only.
 PATTERN_FLAGS = "(?iUd)"
-MARKER = r"\[([DP]-\d+)\]"
+# A turn marker of either layout: "[D-1]" anywhere, "D-1:" at the start of a line.
+MARKER = r"((?<=\[)[DP]-\d+(?=\])|(?<![^\n])[DP]-\d+(?=:))"
 
 
 def _let(value: Column, body) -> Column:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from parlance.functions.text import canonicalize_text, find_evidence, norm_key, normalize_ws, word_tokens
 from parlance.runtime import literal_array
 
-# Pattern hits come after given nodes: their order starts beyond any node position.
-PATTERN_ORD = 1 << 40
-
 
 def _grams(tokens: Column, max_n: int) -> Column:
     """All 1..max_n-grams of a token array as struct(start, n, gram); start counts from 0."""
@@ -95,7 +92,7 @@ def pattern_extract(
     ).filter(F.col("hit.evidence") != "")
     nodes = hits.select(
         *keys, F.concat(F.lit("X_"), F.col("rule").cast("string")).alias("id"), F.col("name").alias("text"), "type",
-        "hit.evidence", "hit.turn_id", "hit.via", (F.col("rule") + F.lit(PATTERN_ORD)).alias("ord"))
+        "hit.evidence", "hit.turn_id", "hit.via", F.col("rule").cast("bigint").alias("ord"))
     if present is None:
         return nodes
     have = present.select("res_id", canonicalize_text(F.col("text"), aliases).alias("text"),

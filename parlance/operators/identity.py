@@ -12,9 +12,17 @@ from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 
 def numbered_survivors(keyed: DataFrame, keys: tuple[str, ...] = ("res_id", "text", "type")) -> DataFrame:
-    """First row per key with a gapless ``rank`` and ``id`` per transcript."""
+    """First row per key with a gapless ``rank`` and ``id`` per transcript.
+
+    ``ord`` is a number or a struct of numbers; a struct that begins with ``source`` puts one source
+    behind another.
+    """
     survivors = first_wins(keyed, list(keys), ["ord"])
-    ranked = running_counts(survivors, ["res_id"], ["ord", "text", "type"], "ord", {"rank": None})
+    kind = keyed.schema["ord"].dataType
+    place = [f"ord.{f}" for f in kind.fieldNames()] if hasattr(kind, "fieldNames") else ["ord"]
+    # The first number of the order that leads on from constants cuts a hot transcript into slots.
+    lead = place[:2] if len(place) > 1 and kind.fieldNames()[0] == "source" else place[:1]
+    ranked = running_counts(survivors, ["res_id"], [*place, "text", "type"], lead, {"rank": None})
     return ranked.withColumn("id", seq_id(F.col("rank"))).withColumn("ord", F.col("rank")).drop("rank")
 
 

@@ -59,10 +59,8 @@ def flatten_buckets(results: DataFrame, categories: list[str]) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
     ok = results.filter((F.col("status") == "OK") & F.col("category").isin(categories))
     items = bucket_items(ok, ["res_id", "category", "ord"]).withColumn("cat_rank", rank)
-    # Category and answer order folded into one integer, which also cuts hot transcripts into slots.
-    items = items.withColumn("_ord", F.col("cat_rank") * F.lit(1 << 44) + F.col("ord"))
     numbered = running_counts(
-        items, ["res_id"], ["_ord", "bucket_rank", "item_pos"], "_ord", {"rank": None})
+        items, ["res_id"], ["cat_rank", "ord", "bucket_rank", "item_pos"], ["cat_rank", "ord"], {"rank": None})
     return numbered.select(
         "res_id", seq_id(F.col("rank")).alias("id"), entry_text(F.col("label"), F.col("text")).alias("text"),
         F.col("category").alias("type"), F.coalesce("quote", F.lit("")).alias("evidence"), "turn_id", "bucket",

@@ -13,8 +13,6 @@ from parlance.runtime import running_counts
 # A turn starts at "[D-1]" (with an optional "D:") anywhere, or at "D-1:" on a new line.
 _START = r"(?:\[([DP]-\d+)\]\s*(?:[DP]:\s*)?|(?m:^)([DP]-\d+):[ \t]*)"
 _SEP, _END = "\x1e", "\x1f"
-# Turns per rendered text, so that no conversation is gathered whole.
-PART_TURNS = 4096
 
 
 def segment_marked_turns(transcripts: DataFrame, keys: tuple[str, ...] = ("res_id",)) -> DataFrame:
@@ -61,14 +59,17 @@ def split_dialogue(dialogues: DataFrame, role_names: list[str]) -> DataFrame:
         F.substring_index("_piece", _END, 1).alias("role"), F.substring_index("_piece", _END, -1).alias("text"))
 
 
-def render_transcript(turns: DataFrame, bracketed: bool = False, part_turns: int = PART_TURNS) -> DataFrame:
-    """(res_id, part, text): turns joined by newlines, at most ``part_turns`` per part."""
+def render_transcript(turns: DataFrame, bracketed: bool = False) -> DataFrame:
+    """(res_id, text): a transcript's turns joined by newlines, as one text.
+
+    A transcript is one value here as it is one file elsewhere; work on turns as rows where one
+    conversation may be too large for a value.
+    """
     if bracketed:
         line = F.concat(F.lit("["), "turn_id", F.lit("] "), "speaker", F.lit(": "), "text")
     else:
         line = F.concat_ws(": ", "turn_id", "text")
-    part = F.floor((F.col("seq") - 1) / part_turns).alias("part")
-    return turns.groupBy("res_id", part).agg(
+    return turns.groupBy("res_id").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n"
         ).alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parlance.operators.extract import pattern_extract
 from parlance.operators.filters import low_value_filter
@@ -26,7 +27,10 @@ def enrich_graph(
     """
     kept = stored(low_value_filter(nodes, low_value, aliases))
     found = pattern_extract(transcripts, patterns, kept, aliases, compat).select(*nodes.columns)
-    grown = stored(kept.unionByName(found))
+    # What patterns find comes after the given nodes.
+    placed = [df.withColumn("ord", F.struct(F.lit(i).alias("source"), F.col("ord").cast("bigint").alias("at")))
+              for i, df in enumerate((kept, found))]
+    grown = stored(placed[0].unionByName(placed[1]))
     new_nodes, new_edges = renumber_graph(grown, edges, aliases, node_types, edge_types)
     new_nodes = stored(new_nodes)
     inferred = infer_edges(new_nodes, clinical.relation_rules() if rules is None else rules, aliases=aliases)

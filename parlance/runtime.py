@@ -37,33 +37,38 @@ def literal_array(rows: list[tuple], names: list[str]) -> Column:
     return F.array(*[F.struct(*[lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
 
 
-def spread_small(df: DataFrame, floor: int = 1 << 20, per_core: int = 16 << 20) -> DataFrame:
-    """Deal out an input that is too small to be read by every core, before heavy text work.
+def spread_small(df: DataFrame, floor: int = 1 << 20, limit: int = 256 << 20) -> DataFrame:
+    """Deal out a small input that its files do not split, before heavy text work.
 
-    Spark's size estimate decides: an input of ordinary size is left as its files split it.
+    Only an input of at most ``limit`` bytes, whatever the cluster, is ever shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if floor <= size < cores * per_core else df
+    return df.repartition(cores) if floor <= size <= limit else df
 
 
 def running_counts(
-    df: DataFrame, keys: list[str], order: list[str], ord_col: str,
+    df: DataFrame, keys: list[str], order: list[str], ord_col: str | list[str],
     counts: dict[str, Column | None], slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Add, per key, running counts of the rows up to and including each row.
 
     ``counts`` maps an output column to a condition (None counts every row, which gives
     ``row_number``). A key is cut into slots of ``ord_col`` so that a hot key is sorted by
-    many tasks; slot totals, one row per slot, then give each slot its starting offset. Rows
-    without a key or an order are dropped.
+    many tasks; slot totals, one row per slot, then give each slot its starting offset. Where
+    ``ord_col`` is a list, its last column is cut and those before it lead, as they do in ``order``.
+    Rows without an order come last; a null key is an error.
     """
+    *lead, last_ord = [ord_col] if isinstance(ord_col, str) else ord_col
     rest = [F.col(c) for c in df.columns if c not in keys]
-    within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(
+    within = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumn("_slot", F.expr(f"`{ord_col}` div {slot_rows}"))
-    for c in (*keys, "_slot"):
-        local = local.filter(F.col(c).isNotNull())
+    # Nulls are the last slot of their column; no other slot is as large.
+    cut = F.coalesce(F.expr(f"{last_ord} div {slot_rows}"), F.lit((1 << 63) - 1))
+    first = [F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(f"_{i}") for i, c in enumerate(lead)]
+    local = df.withColumn("_slot", F.struct(*first, cut.alias("cut")))
+    for c in keys:
+        local = local.withColumn(c, F.coalesce(c, F.raise_error(f"a null {c}").cast(df.schema[c].dataType)))
     for name, cond in counts.items():
         one = F.lit(1) if cond is None else F.when(cond, 1).otherwise(0)
         local = local.withColumn(name, F.sum(one.cast("bigint")).over(within))
@@ -74,7 +79,11 @@ def running_counts(
     starts = local.groupBy(*keys, "_slot").agg(last).select(
         *keys, "_slot",
         *[F.coalesce(F.sum(f"_last.{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in counts])
-    joined = local.join(starts, [*keys, "_slot"])
+    starts = starts.withColumnRenamed("_slot", "_slot_").withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    met = local["_slot"].eqNullSafe(starts["_slot_"])
+    for k in keys:
+        met = met & (local[k] == starts[f"_k_{k}"])
+    joined = local.join(starts, met).drop("_slot_", *[f"_k_{k}" for k in keys])
     out = {n: F.col(n) + F.col(f"_s_{n}") for n in counts}
     return joined.withColumns(out).drop("_slot", *[f"_s_{n}" for n in counts])
 

@@ -37,7 +37,6 @@ USAGE = T.StructType([
 ])
 KG_DOC = T.StructType([
     T.StructField("res_id", T.StringType()),
-    T.StructField("part", T.LongType()),
     T.StructField("nodes", T.ArrayType(NODE)),
     T.StructField("edges", T.ArrayType(EDGE)),
     T.StructField("_usage", USAGE),

@@ -9,44 +9,43 @@ from parlance.functions.text import id_from_stem, sanitize_id
 from parlance.schema import BUCKET_DOC, KG_DOC
 from parlance.sources.transcripts import file_stem
 
-# Rows per written document; a larger graph is written as several parts.
-DOC_ROWS = 100_000
-
 
 def read_kg(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Graph documents; the id comes from the document, else from the file name."""
     docs = spark.read.schema(KG_DOC).json(path, multiLine=multi_line)
     name = id_from_stem(file_stem(F.col("_metadata.file_path")))
-    return docs.withColumn("res_id", F.coalesce("res_id", name)).withColumn("part", F.coalesce("part", F.lit(0)))
+    return docs.withColumn("res_id", F.coalesce("res_id", name))
 
 
 def explode_kg(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of documents, list positions kept as ``ord``."""
     def rows(field: str) -> DataFrame:
-        part = F.coalesce("part", F.lit(0)).alias("_part")
-        return docs.select("res_id", part, F.posexplode(field)).select(
-            "res_id", "col.*", (F.col("_part") * DOC_ROWS + F.col("pos")).alias("ord"))
+        return docs.select("res_id", F.posexplode(field)).select("res_id", "col.*", F.col("pos").cast("bigint").alias("ord"))
     return rows("nodes"), rows("edges")
 
 
 def pack_kg(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Documents of bounded size: part k of a transcript holds its k-th block of ``ord``."""
+    """One document per transcript, its lists in the order of ``ord``."""
     def packed(df: DataFrame, field: str, names: list[str]) -> DataFrame:
         item = F.struct("ord", *names)
-        return df.groupBy("res_id", F.floor(F.col("ord") / DOC_ROWS).alias("part")).agg(
+        return df.groupBy("res_id").agg(
             F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*[x[n].alias(n) for n in names]))
             .alias(field))
     n = packed(nodes, "nodes", ["id", "text", "type", "evidence", "turn_id"])
     e = packed(edges, "edges", ["source_id", "target_id", "type", "evidence", "turn_id"])
-    return n.join(e, ["res_id", "part"], "full").withColumns({
+    return n.join(e, "res_id", "full").withColumns({
         "nodes": F.coalesce("nodes", F.array().cast(KG_DOC["nodes"].dataType)),
         "edges": F.coalesce("edges", F.array().cast(KG_DOC["edges"].dataType)),
     })
 
 
 def write_kg(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write documents, ids sanitised; Spark's commit protocol makes the write atomic."""
-    docs = pack_kg(nodes, edges).withColumn("res_id", sanitize_id(F.col("res_id").cast("string")))
+    """Write documents under their own ids; Spark's commit protocol makes the write atomic.
+
+    ``file_id`` is the sanitised id, for those who name files after it; two ids may share one.
+    """
+    docs = pack_kg(nodes, edges).withColumn("res_id", F.col("res_id").cast("string")).withColumn(
+        "file_id", sanitize_id(F.col("res_id")))
     docs.write.mode("overwrite").format(fmt).save(path)
 
 

@@ -31,6 +31,11 @@ def subset_filter(
     return df if ids is None else df.filter(F.col(id_col).isin(ids))
 
 
+def last_split_wins(rows: DataFrame, key: str, rank: str) -> DataFrame:
+    """The same for splits in one table: the row of the highest ``rank`` of each key, in one pass."""
+    return first_wins(rows.withColumn("_rank", -F.col(rank)), [key], ["_rank"]).drop("_rank")
+
+
 def union_splits_last_wins(splits: list[DataFrame], key: str) -> DataFrame:
     """One row per key out of several splits; a later split overwrites an earlier one."""
     ranked = [s.withColumn("_rank", F.lit(-i)) for i, s in enumerate(splits)]
@@ -91,7 +96,6 @@ def prompt_fanout(
 
     ``{labels}`` becomes the bulleted vocabulary of the category, ``{entities}`` the numbered
     node list of the transcript, ``{transcript}`` its text; an empty list reads "(none)".
-    ``keys`` may hold a part number, which bounds what is gathered into one prompt.
     """
     keys = list(keys)
     base = transcripts.select(*keys, "text")

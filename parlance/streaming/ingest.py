@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.extract import lexicon_extract
 from parlance.operators.turns import segment_marked_turns
+from parlance.runtime import drop_stored, stored
 
 
 def transcript_stream(spark: SparkSession, in_path: str, max_files: int = 10_000) -> DataFrame:
@@ -25,13 +26,26 @@ def incremental_ingest_stream(
 ):
     """Start a query that appends the mentions of new transcripts to parquet under ``out_path``.
 
-    The checkpoint remembers what was read, which replaces skipping by output file. Each
-    batch overwrites its own ``batch=<id>`` folder, so a retried batch leaves no duplicates.
+    The checkpoint remembers which files were read; ``<out_path>_seen`` remembers the transcripts, so one that
+    is delivered again, in whatever file, adds nothing. Each batch overwrites its own ``batch=<id>`` folders,
+    and looks only at what other batches saw, so a retried batch leaves no duplicates and loses nothing. Of a
+    transcript that a batch holds twice one text is read.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        turns = segment_marked_turns(batch, keys)
+        spark = batch.sparkSession
+        schema = ", ".join(f"`{k}` {batch.schema[k].dataType.simpleString()}" for k in keys)
+        seen_path = f"{out_path}_seen"
+        new = batch.dropDuplicates(list(keys))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(seen_path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            seen = spark.read.schema(f"{schema}, batch bigint").parquet(seen_path).filter(F.col("batch") != batch_id)
+            new = new.join(seen.select(*keys), list(keys), "left_anti")
+        new = stored(new)
+        turns = segment_marked_turns(new, keys)
         mentions = lexicon_extract(turns, vocab, [*keys, "turn_id"], max_n)
         mentions.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        new.select(*keys).write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        drop_stored(new)
 
     return (transcripts.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -62,7 +62,6 @@ def test_dialogue_to_turns(spark):
     got = tn.dialogue_to_turns(tn.split_dialogue(df, ["doctor", "patient", "dragon"]), {"doctor": "D", "patient": "P"})
     assert rows(got, "turn_id", "text", "seq") == [("D-1", "a", 1), ("P-1", "b", 2), ("P-2", "c", 3)]
     assert tn.render_transcript(got).first()["text"] == "D-1: a\nP-1: b\nP-2: c"
-    assert rows(tn.render_transcript(got, part_turns=2), "part", "text") == [(0, "D-1: a\nP-1: b"), (1, "P-2: c")]
 
 
 def test_merge_nodes_first_wins_and_ids_have_no_gaps(spark):

@@ -32,20 +32,19 @@ def test_unknown_category_is_an_error(spark):
 
 
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
-def test_kg_round_trip(spark, tmp_path, fmt, monkeypatch):
-    monkeypatch.setattr(kgdocs, "DOC_ROWS", 2)
-    nodes = spark.createDataFrame([("R_1", f"N_{i}", f"t{i}", "SYMPTOM", "é", "P-1", i) for i in range(5)],
+def test_kg_round_trip(spark, tmp_path, fmt):
+    nodes = spark.createDataFrame([("R_1", f"N_{i}", f"t{i}", "SYMPTOM", "é", "P-1", 9 * i) for i in range(5)] + [("R1", "N_9", "t9", "SYMPTOM", "é", "P-1", 7)],
                                   "res_id string, id string, text string, type string, evidence string, turn_id string, ord bigint")
     edges = spark.createDataFrame([("R_1", "N_0", "N_1", "CAUSES", "", "", 0), ("R_2", "N_0", "N_1", "CAUSES", "", "", 0)],
                                   "res_id string, source_id string, target_id string, type string, evidence string, turn_id string, ord bigint")
     out = str(tmp_path / fmt)
     kgdocs.write_kg(nodes, edges, out, fmt)
     docs = kgdocs.read_kg(spark, out) if fmt == "json" else spark.read.parquet(out)
-    assert docs.filter("res_id = 'R1'").count() == 3  # five nodes, two per document
+    assert docs.count() == 3 and docs.select("file_id").distinct().count() == 2  # R_1 and R1 stay two documents
     back_nodes, back_edges = kgdocs.explode_kg(docs)
     assert sorted((r.res_id, r.id, r.evidence, r.ord) for r in back_nodes.collect()) == [
-        ("R1", f"N_{i}", "é", i) for i in range(5)]
-    assert sorted(r.res_id for r in back_edges.collect()) == ["R1", "R2"]
+        ("R1", "N_9", "é", 0), *(("R_1", f"N_{i}", "é", i) for i in range(5))]
+    assert sorted(r.res_id for r in back_edges.collect()) == ["R_1", "R_2"]
 
 
 def test_read_kg_takes_id_from_file_name(spark, tmp_path):
@@ -97,4 +96,5 @@ def test_stream_reads_each_transcript_once(spark, tmp_path):
     first = run()
     assert first == [("RES1", "P-1", "cough"), ("RES2", "P-1", "chest pain"), ("RES2", "P-1", "cough")]
     put(tmp_path / "in" / "RES3" / "RES3.txt", "D-1: cough?")
+    put(tmp_path / "in" / "again" / "RES1" / "RES1.txt", "[P-1] P: a cough")
     assert run() == first + [("RES3", "D-1", "cough")]
