@@ -253,7 +253,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
     first = stored(classes.filter("doc_id is null or doc_id = component_id")
                    .groupBy(F.col("doc_id").alias("_id")).count())
     packed = docs.select(F.col(key).alias("_id"), whole_row(docs))
-    kept = packed.join(first.filter("_id is not null"), "_id", "left_semi")
+    # Ids grow with the documents: they are hashed by the tasks that get them, at every size, and never broadcast.
+    kept = packed.join(first.filter("_id is not null").hint("shuffle_hash"), "_id", "left_semi")
     if not first.filter("`count` > 1 and _id is not null").isEmpty():
         kept = kept.dropDuplicates(["_id"])
     if not first.filter("_id is null").isEmpty():
