@@ -46,12 +46,6 @@ def fuzzy_pairs(spark, sf):
     return sc.fuzzy_pairs(s, b, "levenshtein", T).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("fuzzy_pairs_seq_ratio")
-def fuzzy_pairs_seq_ratio(spark, sf):
-    (s, _), (b, _) = _sides(spark, sf)
-    return sc.fuzzy_pairs(s, b, "seq_ratio", T).withColumn("similarity", F.round("similarity", 6))
-
-
 _OVERLAP_SELECT = """
 c AS (SELECT (SELECT count(*) FROM st WHERE text IN (SELECT student_text FROM pairs)) AS matched_count,
              (SELECT count(*) FROM st) AS student_total,
@@ -75,12 +69,6 @@ def node_overlap_exact(spark, sf):
     return sc.node_overlap(s, b, "exact", T).drop("f1_exact")
 
 
-@query("node_overlap_seq_ratio")
-def node_overlap_seq_ratio(spark, sf):
-    (s, _), (b, _) = _sides(spark, sf)
-    return sc.node_overlap(s, b, "seq_ratio", T).drop("f1_exact")
-
-
 @query("node_jaccard", f"""
 WITH {TOKEN_SQL}
 SELECT i AS common, u AS union_size, round(i / u, 4) AS node_jaccard FROM

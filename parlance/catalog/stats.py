@@ -195,6 +195,16 @@ def convert_summary(spark, sf):
     return st.convert_summary(order_nodes(spark, sf)[1], resolved_edges(spark, sf))
 
 
+@query("convert_summary_unresolved", f"""
+WITH {RESOLVE_SQL}
+SELECT category, res_id, count(*) FILTER (source_id IS NULL AND target_id IS NOT NULL) AS src,
+       count(*) FILTER (target_id IS NULL AND source_id IS NOT NULL) AS dst,
+       count(*) FILTER (source_id IS NULL AND target_id IS NULL) AS both, count(*) AS total
+FROM resolved WHERE source_id IS NULL OR target_id IS NULL GROUP BY ROLLUP (category, res_id)""")
+def convert_unresolved(spark, sf):
+    return st.convert_unresolved(resolved_edges(spark, sf))
+
+
 _RUNS_SQL = """
 runs AS (SELECT year(o_orderdate) AS y, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY 1)"""
 

@@ -9,7 +9,6 @@ from parlance.catalog.base import (
     turns, words_sql, ws_sql,
 )
 from parlance.functions import text as tx
-from parlance.functions.similarity import seq_ratio
 from parlance.functions.vectors import cosine
 from parlance.operators.linking import alias_join
 from parlance.runtime import rule_table, running_counts
@@ -167,15 +166,6 @@ def cosine_query(spark, sf):
         "vec_id", F.round(cosine(F.col("embedding"), F.col("prior")), 6).alias("cosine"))
 
 
-@query("seq_ratio")
-def seq_ratio_query(spark, sf):
-    """Each part name against the name of the part before it."""
-    part = table(spark, sf, "part").select("p_partkey", "p_name")
-    prior = part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("prior"))
-    return part.join(prior, "p_partkey").select(
-        "p_partkey", F.round(seq_ratio("p_name", "prior"), 6).alias("ratio"))
-
-
 STATUS_SQL = """CASE CAST(floor(value) AS BIGINT) % 7 WHEN 0 THEN 200 WHEN 1 THEN 408 WHEN 2 THEN 429
                 WHEN 3 THEN 503 WHEN 4 THEN 404 WHEN 5 THEN 401 END"""
 

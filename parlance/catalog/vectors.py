@@ -147,9 +147,46 @@ def er_summary(spark, sf):
     return er.er_summary(vec_clusters(spark, sf))
 
 
-@query("encode_text")
+@query("er_apply_graph", f"""
+WITH RECURSIVE {CLUSTER_SQL},
+named AS (SELECT c.ord % 20 AS res_id, c.ord AS id, n.canonical_name AS text, c.type
+          FROM clusters c JOIN names n ON n.type = c.type AND n.leader = c.leader),
+firsts AS (SELECT res_id, text, type, min(id) AS ord FROM named GROUP BY 1, 2, 3),
+ranked AS (SELECT *, printf('N_%03d', row_number() OVER (PARTITION BY res_id ORDER BY ord, text, type)) AS new_id FROM firsts),
+m AS (SELECT res_id, id, new_id FROM named JOIN ranked USING (res_id, text, type)),
+e AS (SELECT DISTINCT a.res_id, a.new_id AS source_id, b.new_id AS target_id
+      FROM m a JOIN m b ON b.id = a.id + 20 WHERE a.new_id <> b.new_id)
+SELECT res_id, 'node' AS kind, new_id AS a, text AS b FROM ranked
+UNION ALL SELECT res_id, 'edge', source_id, target_id FROM e""")
+def er_apply_graph(spark, sf):
+    """Twenty graphs of the vectors, each with a chain of edges."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), "label")
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    nodes = v.select((F.col("n") % 20).alias("res_id"), name(F.col("n")).alias("id"), name(F.col("n")).alias("text"),
+                     F.col("label").alias("type"), F.lit("").alias("evidence"), F.lit("").alias("turn_id"), F.col("n").alias("ord"))
+    edges = v.select((F.col("n") % 20).alias("res_id"), name(F.col("n")).alias("source_id"), name(F.col("n") + 20).alias("target_id"),
+                     F.lit("NEXT").alias("type"), F.lit("").alias("evidence"), F.lit("").alias("turn_id"), F.col("n").alias("ord"))
+    new_nodes, new_edges = er.er_apply_graph(nodes, edges, vec_clusters(spark, sf), ["NEXT"])
+    return new_nodes.select("res_id", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("text").alias("b")).unionByName(
+        new_edges.select("res_id", F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+
+
+@query("encode_text", """
+WITH g AS (SELECT doc_id, '  ' || lower(coalesce(text, '')) || '  ' AS t FROM documents),
+b AS (SELECT doc_id, CAST('0x' || substr(md5(substr(t, i, 3)), 1, 7) AS BIGINT) % 512 AS b
+      FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM g)),
+tf AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY 1, 2),
+idf AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS w FROM tf GROUP BY 1),
+v AS (SELECT doc_id, b, n * w AS x FROM tf JOIN idf USING (b)),
+norms AS (SELECT doc_id, sqrt(sum(x * x)) AS r FROM v GROUP BY 1),
+dots AS (SELECT a.doc_id, sum(a.x * c.x) / (max(na.r) * max(nc.r)) AS x
+         FROM v a JOIN v c ON c.doc_id = a.doc_id - 1 AND c.b = a.b JOIN norms na ON na.doc_id = a.doc_id
+         JOIN norms nc ON nc.doc_id = c.doc_id GROUP BY 1)
+SELECT d.doc_id, round(coalesce(x, 0), 3) AS cosine
+FROM documents d JOIN documents p ON p.doc_id = d.doc_id - 1 LEFT JOIN dots ON dots.doc_id = d.doc_id""")
 def encode_text(spark, sf):
-    """Unit vectors of the documents; the norm shows each is usable for cosine."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    return er.encode_text(docs).select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
+    """The cosine of every document and the one before it."""
+    docs = er.encode_text(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("embedding").alias("before"))
+    dot = F.aggregate(F.zip_with("embedding", "before", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return docs.join(before, "doc_id").select("doc_id", F.round(dot, 3).alias("cosine"))

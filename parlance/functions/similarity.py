@@ -1,55 +1,9 @@
-"""String similarity measures used when graphs are compared."""
+"""String similarity used when graphs are compared."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel row updates."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def seq_ratio_from(threshold: float):
-    """A UDF of the Ratcliff-Obershelp ratio 2M / (len a + len b); null below ``threshold``.
-
-    M counts a common subsequence, so pairs whose longest one is too short are settled by a
-    far cheaper bound. Marked non-deterministic only so that Spark evaluates it once when
-    its result is both filtered and kept.
-    """
-    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        matcher, last, out = SequenceMatcher(None), None, []
-        for x, y in zip(a, b):
-            total = len(x) + len(y)
-            if total and 2 * _common_subsequence(x, y) < threshold * total - 1e-9:
-                out.append(None)
-                continue
-            if y != last:
-                matcher.set_seq2(y)
-                last = y
-            matcher.set_seq1(x)
-            ratio = matcher.ratio()
-            out.append(ratio if ratio >= threshold else None)
-        return pd.Series(out, dtype="float64")
-
-    ratios.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(ratios, T.DoubleType()).asNondeterministic()
-
-
-seq_ratio = seq_ratio_from(0.0)
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import canonicalize_text, normalize_ws, strip_ws, word_tokens
-from parlance.runtime import rule_table
+from parlance.runtime import rule_table, stored
 
 
 def valid_type_filter(df: DataFrame, types: list[str], col: str = "type") -> DataFrame:
@@ -32,26 +32,39 @@ def grounding_filter(
     """Drop rows whose non-empty evidence the transcript does not support.
 
     Every distinct (transcript, quote) is judged once; a transcript may come in parts. Quotes that are not verbatim are
-    compared word by word through an equality join, so no text is scanned per word.
+    compared word by word through an equality join, so no text is scanned per word; only the words of transcripts
+    with such a quote are listed.
     """
-    quotes = df.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(
+    return keep_supported(df, supported_quotes(df.select("res_id", "evidence"), transcripts, min_share, short))
+
+
+def keep_supported(df: DataFrame, supported: DataFrame) -> DataFrame:
+    """The rows without evidence and those whose quote is among ``supported``."""
+    tagged = df.withColumn("_ev", F.coalesce(normalize_ws(F.col("evidence")), F.lit("")))
+    return tagged.join(supported, ["res_id", "_ev"], "left").filter(
+        (F.col("_ev") == "") | F.col("_ok")).select(*df.columns)
+
+
+def supported_quotes(
+    quotes: DataFrame, transcripts: DataFrame, min_share: float = 0.6, short: int = 3,
+) -> DataFrame:
+    """The distinct quotes (res_id, evidence) that their transcript supports, normalised as ``_ev``."""
+    quotes = quotes.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(
         F.col("_ev") != "").distinct()
     texts = transcripts.select("res_id", normalize_ws(F.col("text")).alias("_tr"))
-    judged = quotes.join(texts, "res_id", "left").select(
-        "res_id", "_ev", F.coalesce(F.contains("_tr", "_ev"), F.lit(False)).alias("_verbatim"),
-        word_tokens(F.col("_ev")).alias("_words"))
+    judged = stored(quotes.join(texts, "res_id", "left").groupBy("res_id", "_ev").agg(
+        F.bool_or(F.coalesce(F.contains("_tr", "_ev"), F.lit(False))).alias("_verbatim")).withColumn(
+        "_words", word_tokens(F.col("_ev"))))
     easy = F.col("_verbatim") | (F.size("_words") <= short)
     # Settled quotes travel on as one row without a word, so the texts are read in one branch.
     counted = judged.select("res_id", "_ev", easy.alias("_easy"), F.explode_outer(
         F.when(~easy, F.col("_words"))).alias("_word")).groupBy("res_id", "_ev", "_easy", "_word").count()
-    words = texts.select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word")).distinct()
+    open_ = judged.filter(~easy).select("res_id").distinct()
+    words = texts.join(open_, "res_id", "left_semi").select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word")).distinct()
     share = F.sum(F.col("count") * F.coalesce("_known", F.lit(0))) / F.sum("count")
-    supported = counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy(
+    return counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy(
         "res_id", "_ev").agg(share.alias("_share"), F.bool_or("_easy").alias("_easy")).filter(
         F.col("_easy") | (F.col("_share") >= min_share)).select("res_id", "_ev", F.lit(True).alias("_ok"))
-    tagged = df.withColumn("_ev", F.coalesce(normalize_ws(F.col("evidence")), F.lit("")))
-    return tagged.join(supported, ["res_id", "_ev"], "left").filter(
-        (F.col("_ev") == "") | F.col("_ok")).select(*df.columns)
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:

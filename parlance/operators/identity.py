@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import canonicalize_text, norm_key, seq_id, strip_ws
-from parlance.operators.filters import grounding_filter, valid_type_filter
+from parlance.operators.filters import keep_supported, supported_quotes, valid_type_filter
 from parlance.runtime import first_wins, running_counts, stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
@@ -48,7 +48,7 @@ def dedup_mentions(items: DataFrame, buckets: list[str]) -> DataFrame:
     return first_wins(keyed, ["res_id", "category", "_key"], ["_rank", "ord"]).drop("_key", "_rank")
 
 
-def _remap(keyed: DataFrame, edges: DataFrame, edge_types: list[str]) -> tuple[DataFrame, DataFrame]:
+def merge_and_remap(keyed: DataFrame, edges: DataFrame, edge_types: list[str]) -> tuple[DataFrame, DataFrame]:
     """Merge ``keyed`` nodes and carry edges over; a merged node's edges go to its survivor."""
     survivors = numbered_survivors(keyed)
     moved = keyed.select("res_id", F.col("id").alias("_old"), "text", "type").join(
@@ -76,10 +76,10 @@ def renumber_graph(
     """
     keyed = valid_type_filter(nodes, node_types).withColumn(
         "text", canonicalize_text(F.col("text"), aliases)).filter(F.col("text") != "")
-    return _remap(keyed, edges, edge_types)
+    return merge_and_remap(keyed, edges, edge_types)
 
 
-def rewrite_and_remap(
+def rewrite_andmerge_and_remap(
     nodes: DataFrame, edges: DataFrame, rewrites: DataFrame, aliases: dict[str, str] | None = None,
     edge_types: list[str] = EDGE_TYPES,
 ) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +89,7 @@ def rewrite_and_remap(
     keyed = nodes.join(proposed, ["res_id", "id"], "left").withColumn(
         "text", F.coalesce(new, canonicalize_text(F.col("text"), aliases))
     ).filter(F.col("text") != "").select(*nodes.columns)
-    return _remap(keyed, edges, edge_types)
+    return merge_and_remap(keyed, edges, edge_types)
 
 
 def validate_graph(
@@ -98,8 +98,9 @@ def validate_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Known types, canonical text, grounded evidence, unique nodes and edges.
 
-    Grounding reads the transcripts, so its results are stored and read from there on.
+    The quotes of nodes and edges are judged in one pass over the transcripts.
     """
+    quotes = nodes.select("res_id", "evidence").unionByName(edges.select("res_id", "evidence"))
+    supported = stored(supported_quotes(quotes, transcripts))
     return renumber_graph(
-        stored(grounding_filter(nodes, transcripts)), stored(grounding_filter(edges, transcripts)),
-        aliases, node_types, edge_types)
+        stored(keep_supported(nodes, supported)), stored(keep_supported(edges, supported)), aliases, node_types, edge_types)

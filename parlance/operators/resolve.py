@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions.text import strip_ws
 from parlance.functions.vectors import unit_rows
+from parlance.operators.identity import merge_and_remap
 from parlance.runtime import stored
+from parlance.schema import EDGE_TYPES
 
 # Vectors per block of a blocked comparison: two blocks and their product fit in one task.
 BLOCK_ROWS = 4096
@@ -20,16 +20,30 @@ BLOCK_ROWS = 4096
 BROADCAST_VALUES = 8 << 20
 
 
-def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_features: int = 1 << 12) -> DataFrame:
-    """Hashed character-trigram TF-IDF of unit length; swap in any other encoder's column."""
+def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_features: int = 512) -> DataFrame:
+    """Hashed character-trigram TF-IDF of unit length; swap in any other encoder's column.
+
+    A trigram's bucket is given by the first seven hexadecimal digits of its md5, so that any engine finds the same.
+    """
     padded = F.concat(F.lit("  "), F.lower(F.coalesce(col, F.lit(""))), F.lit("  "))
     # A look-ahead matches at every position, which lists overlapping trigrams in one pass.
     grams = F.regexp_extract_all(padded, F.lit("(?s)(?=(...))"), F.lit(1))
-    rows = df.withColumn("_grams", grams)
-    counts = HashingTF(numFeatures=n_features, inputCol="_grams", outputCol="_tf").transform(rows)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_grams", "_tf", "_idf", "_unit")
+    bucket = F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("bigint") % n_features).cast("int"))
+    rows = stored(df.withColumn("_buckets", bucket))
+    total = rows.count()
+    found = dict(rows.select(F.explode(F.array_distinct("_buckets")).alias("b")).groupBy("b").count().collect())
+    # At most one figure per bucket.
+    idf = np.log((total + 1) / (np.array([found.get(b, 0) for b in range(n_features)]) + 1))
+
+    def weigh(buckets: pd.Series) -> pd.Series:
+        units = []
+        for b in buckets:
+            v = np.bincount(b, minlength=n_features) * idf
+            units.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
+        return pd.Series(units)
+
+    weigh.__annotations__ = {"buckets": pd.Series, "return": pd.Series}
+    return rows.withColumn(out, F.pandas_udf(weigh, "array<float>")("_buckets")).drop("_buckets")
 
 
 def _best_rows(nodes: pd.DataFrame, labels: list[str], ords: np.ndarray, units: np.ndarray) -> pd.DataFrame:
@@ -113,11 +127,14 @@ def _nearest_in_blocks(nodes: DataFrame, vocab: DataFrame, size: int) -> DataFra
 
 
 def canonicalize_to_vocab(nodes: DataFrame, vocab: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """Rewrite a node's text to its nearest label from ``threshold`` on.
+    """Rewrite a node's text to its nearest label from ``threshold`` on; types of text are met in upper case.
 
     Adds text_original and canonical_cosine (null where nothing was rewritten) and
     has_labels. Edges refer to ids and need no change.
     """
+    if isinstance(nodes.schema["type"].dataType, T.StringType):
+        upper = F.upper(strip_ws(F.coalesce("type", F.lit(""))))
+        nodes, vocab = nodes.withColumn("type", upper), vocab.withColumn("type", upper)
     scored = nearest_label(nodes, vocab)
     text = strip_ws(F.col("text"))
     rewritten = F.coalesce(
@@ -293,6 +310,13 @@ def er_apply(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
         "text", F.coalesce("canonical_name", "text")).select(*nodes.columns)
 
 
+def er_apply_graph(
+    nodes: DataFrame, edges: DataFrame, clusters: DataFrame, edge_types: list[str] = EDGE_TYPES,
+) -> tuple[DataFrame, DataFrame]:
+    """The graph after resolution: nodes that share a name now are one, and edges lead to what is left of theirs."""
+    return merge_and_remap(er_apply(nodes, clusters), edges, edge_types)
+
+
 def er_summary(clusters: DataFrame) -> DataFrame:
     """Per type and in total (type null): texts before and after, and merged clusters."""
     return er_canonical_name(clusters).rollup("type").agg(

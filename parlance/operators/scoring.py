@@ -5,93 +5,129 @@ Texts are compared after ``norm_key``; types are ignored by the overlap measures
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.similarity import levenshtein_similarity, seq_ratio_from
+from parlance.functions.similarity import levenshtein_similarity
 from parlance.functions.text import norm_key
 from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 QUANTITY_CAP = 1.5
+# Longest text that is matched by deletions, however lax the threshold.
+MAX_SHORT = 64
 
 
 def _texts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.select(*keys, norm_key(F.col("text")).alias("text")).filter(F.col("text") != "").distinct()
 
 
-def _budget(la: Column, lb: Column, metric: str, threshold: float) -> Column:
-    """Most edits two similar texts of these lengths can differ by."""
-    if metric == "levenshtein":
-        return F.floor(F.greatest(la, lb) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    # Matching blocks form a common subsequence: all other characters are inserts or deletes.
-    return (la + lb - 2 * F.ceil((la + lb) * F.lit(threshold / 2) - F.lit(1e-9))).cast("int")
+def _budget(longest, threshold: float):
+    """Most edits that two similar texts may differ by, the longer one being so long."""
+    return F.floor(longest * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+
 
+def _short_limit(threshold: float) -> int:
+    """The greatest length whose budget is two edits or fewer, and which deletions may handle."""
+    n = 0
+    while n < MAX_SHORT and math.floor((n + 1) * (1 - threshold) + 1e-9) <= 2:
+        n += 1
+    return n
 
-def _segments(texts: DataFrame, keys: list[str], metric: str, threshold: float, whole: bool) -> DataFrame:
-    """Rows (keys, text, la, lb, i, seg) on which two similar texts must agree.
 
-    A text of length lb is cut into budget + 1 pieces; as each edit spoils at most one, some
-    piece i occurs unchanged in its partner of length la, shifted by no more than the edits
-    left and right of it allow. ``whole`` lists the pieces, otherwise the places to look.
+def _deletions(texts: DataFrame, keys: list[str], limit: int, threshold: float) -> DataFrame:
+    """Rows (keys, text, settled, seg): a short text and what is left of it after as many deletions as its budget
+    beside the longest partner allows, two at most.
+
+    Texts within d edits of each other become equal after d deletions or fewer from either.
     """
-    ratio = threshold if metric == "levenshtein" else threshold / (2 - threshold)
+    text, n = F.col("text"), F.length("text")
+    cut = lambda a, b: F.substr(text, a, b - a)  # noqa: E731 - characters a to b - 1, counted from 1
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, n + 1)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+        F.sequence(i + 1, n), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, n + 1)))))
+    depth = _budget(F.least(F.floor(n / F.lit(threshold) + F.lit(1e-9)), F.lit(limit)), threshold)
+    none = F.array().cast("array<string>")
+    left = F.concat(F.array(text), F.when(depth >= 1, one).otherwise(none), F.when((depth >= 2) & (n >= 2), two).otherwise(none))
+    # The length is asked inside the list: a filter beside it might run after the list is made for long texts too.
+    return texts.select(*keys, "text", "settled", F.explode(F.when(n <= limit, F.array_distinct(left)).otherwise(none)).alias("seg"))
+
+
+def _chunk_size(n, threshold: float):
+    """Characters of a chunk: a text of length n has more chunks than any similar text may differ by edits."""
+    most = _budget(F.floor(n / F.lit(threshold) + F.lit(1e-9)), threshold)
+    return F.greatest(F.floor(n / (most + 1)), F.lit(1)).cast("int")
+
+
+def _chunks(texts: DataFrame, keys: list[str], threshold: float, limit: int) -> DataFrame:
+    """Rows (keys, text, settled, q, seg, at): the chunks of q characters a text is cut into."""
     n = F.length("text")
-    partner = F.explode(F.sequence(
-        F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int"), F.floor(n / F.lit(ratio) + F.lit(1e-9)).cast("int")))
-    mine, other = ("lb", "la") if whole else ("la", "lb")
-    sized = texts.select(*keys, "text", "settled", n.alias(mine), partner.alias(other)).withColumn(
-        "d", _budget(F.col("la"), F.col("lb"), metric, threshold)).filter(F.col("d") >= F.abs(F.col("la") - F.col("lb")))
-    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).withColumns({
-        "at": F.floor(F.col("i") * F.col("lb") / (F.col("d") + 1)).cast("int"),
-        "end": F.floor((F.col("i") + 1) * F.col("lb") / (F.col("d") + 1)).cast("int")})
-    if whole:
-        start = F.col("at")
-    else:
-        shift = F.col("la") - F.col("lb")
-        pieces = pieces.select("*", F.explode(F.sequence(
-            F.ceil((shift - F.col("d")) / 2).cast("int"), F.floor((shift + F.col("d")) / 2).cast("int"))).alias("s"))
-        start = F.col("at") + F.col("s")
-        # Taking the first unspoiled piece, each of the i before it has cost an edit already.
-        spent = F.greatest(F.col("i"), F.abs(F.col("s"))) + F.abs(shift - F.col("s"))
-        pieces = pieces.filter((start >= 0) & (F.col("end") + F.col("s") <= F.col("la")) & (spent <= F.col("d")))
-    return pieces.select(*keys, "text", "settled", "la", "lb", "d", "i",
-                         F.substr(F.col("text"), start + 1, F.col("end") - F.col("at")).alias("seg"))
+    sized = texts.filter(n >= threshold * (limit + 1) - 1e-9).withColumn("q", _chunk_size(n, threshold))
+    each = F.transform(F.sequence(F.lit(0), F.floor(n / F.col("q")).cast("int") - 1), lambda i: F.struct(
+        F.substr(F.col("text"), i * F.col("q") + 1, F.col("q")).alias("seg"), (i * F.col("q")).alias("at")))
+    return sized.select(*keys, "text", "settled", "q", F.inline(each))
+
+
+def _windows(texts: DataFrame, keys: list[str], threshold: float, limit: int) -> DataFrame:
+    """Rows (keys, text, settled, q, seg, at): every substring as long as a chunk of some text similar in length."""
+    n = F.length("text")
+    partners = F.sequence(F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int"),
+                          F.floor(n / F.lit(threshold) + F.lit(1e-9)).cast("int"))
+    sizes = F.array_distinct(F.transform(partners, lambda m: _chunk_size(m, threshold)))
+    sized = texts.filter(n >= threshold * (limit + 1) - 1e-9).select(*keys, "text", "settled", F.explode(sizes).alias("q"))
+    each = F.transform(F.sequence(F.lit(0), n - F.col("q")), lambda i: F.struct(
+        F.substr(F.col("text"), i + 1, F.col("q")).alias("seg"), i.alias("at")))
+    return sized.filter(F.col("q") <= n).select(*keys, "text", "settled", "q", F.inline(each))
 
 
 def fuzzy_pairs(
-    student: DataFrame, baseline: DataFrame, metric: str = "seq_ratio", threshold: float = 0.8,
+    student: DataFrame, baseline: DataFrame, metric: str = "levenshtein", threshold: float = 0.8,
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(keys, student_text, baseline_text, similarity) with similarity >= threshold.
+    """(keys, student_text, baseline_text, similarity) with an edit similarity >= threshold.
 
-    Exact, by an equality join on unchanged pieces of text; candidates are judged inside the
-    stage of that join, so only true pairs are shuffled, to drop repeats. ``metric`` is
-    'seq_ratio' or 'levenshtein'.
+    Exact. Texts whose budget is two edits or fewer meet in an equality join on what deletions leave of them,
+    which few other texts share, and are judged inside the stage of that join. Longer ones meet on unchanged
+    chunks, and a pair is compared only if enough of them are met. Rows grow with the length of a text.
     """
     keys = list(keys)
+    if metric != "levenshtein":
+        raise ValueError(f"unknown metric: {metric}")
     unsettled = F.lit(False).alias("settled")
-    return _near(_texts(student, keys).select("*", unsettled), _texts(baseline, keys).select("*", unsettled),
-                 keys, metric, threshold)
-
-
-def _near(student: DataFrame, baseline: DataFrame, keys: list[str], metric: str, threshold: float) -> DataFrame:
-    """Pairs of distinct texts, but for those in which both sides are settled already."""
-    s = _segments(student, keys, metric, threshold, False).withColumnsRenamed(
-        {"text": "student_text", "settled": "_ss"})
-    b = _segments(baseline, keys, metric, threshold, True).drop("d").withColumnsRenamed(
-        {"text": "baseline_text", "settled": "_bs"})
-    # Pieces far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
-    # and splits skewed keys rather than a broadcast chosen from the size of the texts.
-    met = s.join(b.hint("merge"), [*keys, "la", "lb", "i", "seg"])
-    edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), F.col("d"))
-    close = met.filter(~(F.col("_ss") & F.col("_bs")) & (edits >= 0)).select(
-        *keys, "student_text", "baseline_text").distinct()
-    if metric == "levenshtein":
-        similarity: Column = levenshtein_similarity(F.col("student_text"), F.col("baseline_text"))
-        return close.withColumn("similarity", similarity)
-    ratio = seq_ratio_from(threshold)("student_text", "baseline_text")
-    return close.withColumn("similarity", ratio).filter(F.col("similarity").isNotNull())
+    close = _near(_texts(student, keys).select("*", unsettled), _texts(baseline, keys).select("*", unsettled), keys, threshold)
+    return close.distinct().withColumn(
+        "similarity", levenshtein_similarity(F.col("student_text"), F.col("baseline_text")))
+
+
+def _near(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs of similar texts, some more than once, but for those in which both sides are settled already."""
+    if threshold <= 0.5:
+        raise ValueError("the threshold must be above 0.5")
+    limit = _short_limit(threshold)
+    la, lb = F.length("student_text"), F.length("baseline_text")
+    budget = _budget(F.greatest(la, lb), threshold)
+    edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), budget)
+
+    def met(s: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        s = s.withColumnsRenamed({"text": "student_text", "settled": "_ss", "at": "_sat"})
+        b = b.withColumnsRenamed({"text": "baseline_text", "settled": "_bs", "at": "_bat"})
+        # The rows far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
+        # and splits skewed keys rather than a broadcast chosen from the size of the texts.
+        return s.join(b.hint("merge"), [*keys, *on]).filter(~(F.col("_ss") & F.col("_bs")) & (F.abs(la - lb) <= budget))
+
+    pair = [*keys, "student_text", "baseline_text"]
+    short = met(_deletions(student, keys, limit, threshold), _deletions(baseline, keys, limit, threshold), ["seg"]).filter(
+        edits >= 0).select(*pair)
+    # An edit spoils one chunk at most and moves those behind it by one; the chunks left are counted before any text
+    # is compared.
+    near = met(_windows(student, keys, threshold, limit), _chunks(baseline, keys, threshold, limit), ["q", "seg"]).filter(
+        (F.greatest(la, lb) > limit) & (F.abs(F.col("_sat") - F.col("_bat")) <= budget))
+    counted = near.groupBy(*pair, "q").agg(F.count("*").alias("_hits"))
+    # One condition on the count and the distance, so that the distance is not taken row by row before the count.
+    enough = F.col("_hits") >= F.floor(lb / F.col("q")) - budget
+    return short.unionByName(counted.filter(F.when(enough, edits).otherwise(-1) >= 0).select(*pair))
 
 
 def matched_texts(
@@ -108,19 +144,22 @@ def matched_texts(
 
     if metric == "exact":
         return settled(s).withColumnRenamed("settled", "matched"), settled(b).withColumnRenamed("settled", "matched")
-    # A text found verbatim on the other side is matched; it is compared with unmatched texts only.
-    pairs = stored(_near(settled(s), settled(b), keys, metric, threshold))
-
-    def flagged(texts: DataFrame, col: str) -> DataFrame:
-        hit = pairs.select(*keys, F.col(col).alias("text")).distinct().withColumn("_hit", F.lit(True))
+    # A text found verbatim on the other side is matched; it is compared with unmatched texts only. Of the pairs
+    # no more than the texts on either side of one is kept.
+    sides = F.array(F.struct(F.lit("s").alias("side"), F.col("student_text").alias("text")),
+                    F.struct(F.lit("b").alias("side"), F.col("baseline_text").alias("text")))
+    hits = stored(_near(settled(s), settled(b), keys, threshold).select(*keys, F.inline(sides)).distinct())
+
+    def flagged(texts: DataFrame, side: str) -> DataFrame:
+        hit = hits.filter(F.col("side") == side).drop("side").withColumn("_hit", F.lit(True))
         return settled(texts).join(hit, [*keys, "text"], "left").withColumn(
             "matched", F.col("settled") | F.coalesce("_hit", F.lit(False))).drop("_hit", "settled")
 
-    return flagged(s, "student_text"), flagged(b, "baseline_text")
+    return flagged(s, "s"), flagged(b, "b")
 
 
 def node_overlap(
-    student: DataFrame, baseline: DataFrame, metric: str = "seq_ratio", threshold: float = 0.8,
+    student: DataFrame, baseline: DataFrame, metric: str = "levenshtein", threshold: float = 0.8,
 ) -> DataFrame:
     """Directional precision and recall of distinct texts, and their harmonic mean."""
     s, b = matched_texts(student, baseline, metric, threshold)
@@ -211,7 +250,7 @@ def schema_completeness(
 
 
 def composite_score(
-    student: tuple[DataFrame, DataFrame], baseline: tuple[DataFrame, DataFrame], metric: str = "seq_ratio",
+    student: tuple[DataFrame, DataFrame], baseline: tuple[DataFrame, DataFrame], metric: str = "levenshtein",
     threshold: float = 0.8, node_types: list[str] = NODE_TYPES, edge_types: list[str] = EDGE_TYPES,
 ) -> DataFrame:
     """Mean of entity F1, population, relation and schema completeness.
@@ -241,7 +280,7 @@ def _unified(nodes: DataFrame) -> DataFrame:
 
 
 def per_patient_coverage(
-    student: DataFrame, baseline: DataFrame, metric: str = "seq_ratio", threshold: float = 0.8,
+    student: DataFrame, baseline: DataFrame, metric: str = "levenshtein", threshold: float = 0.8,
 ) -> DataFrame:
     """Per transcript: share of baseline texts that a student text of the same transcript matches."""
     s, b = matched_texts(student, baseline, metric, threshold, ("res_id",))

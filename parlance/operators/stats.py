@@ -155,6 +155,14 @@ def convert_summary(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.rollup("res_id").agg(*[F.sum(c).alias(c) for c in ("n_nodes", "n_edges", "n_unresolved")])
 
 
+def convert_unresolved(resolved: DataFrame) -> DataFrame:
+    """Edges without a source, a target or both, by category and transcript, by category, and in all (nulls)."""
+    no_src, no_dst = F.col("source_id").isNull(), F.col("target_id").isNull()
+    return resolved.filter(no_src | no_dst).rollup("category", "res_id").agg(
+        F.count_if(no_src & ~no_dst).alias("src"), F.count_if(no_dst & ~no_src).alias("dst"),
+        F.count_if(no_src & no_dst).alias("both"), F.count(F.lit(1)).alias("total"))
+
+
 def run_compare(runs: DataFrame, run_col: str, metrics: list[str], base=None) -> DataFrame:
     """Metrics of each run beside their change against run ``base`` (default: the previous run)."""
     if base is None:

@@ -1,13 +1,11 @@
 import json
 import random
 import re
-from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions.parsing import largest_json
-from parlance.functions.similarity import _common_subsequence, seq_ratio, seq_ratio_from
 from parlance.functions.vectors import cosine
 from parlance.operators import responses as rs
 from parlance.rules.clinical import ALIASES, LOW_VALUE_REGEX
@@ -96,21 +94,6 @@ def test_cosine(spark):
     assert abs(one(spark, cosine(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0)))) - 0.5 ** 0.5) < 1e-12
 
 
-def test_seq_ratio_agrees_with_difflib(spark):
-    rng = random.Random(7)
-    pairs = [("".join(rng.choices("abcé ", k=rng.randint(0, 12))), "".join(rng.choices("abcé ", k=rng.randint(0, 12))))
-             for _ in range(400)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    bounded = seq_ratio_from(0.8)
-    for r in df.select("a", "b", seq_ratio("a", "b").alias("x"), bounded("a", "b").alias("y")).collect():
-        want = SequenceMatcher(None, r.a, r.b).ratio()
-        assert r.x == want and r.y == (want if want >= 0.8 else None)
-
-
-def test_common_subsequence():
-    assert _common_subsequence("abcbdab", "bdcaba") == 4 and _common_subsequence("", "x") == 0
-
-
 def test_noisy_json(spark):
     good = '{"matched": [{"label": "x"}]}'
     cases = [
@@ -127,7 +110,10 @@ def test_noisy_json(spark):
 
 def test_largest_json(spark):
     text = 'Draft {"a": 1} then {"matched": [{"b": "{"}], "other": []} bye {"c": 2}'
-    df = spark.createDataFrame([(text,), ("{bad",), ('{"x": 1,}',)], "t string")
+    more = ['[{"a":1},{"b":22}]', 'So:\n```json\n[{"a": 1}, {"b": 22}]\n```', 'He said "so {"a": {"b": "x}"}, } and {', "7", ""]
+    df = spark.createDataFrame([(text,), ("{bad",), ('{"x": 1,}',), *((m,) for m in more)], "t string")
     got = [r[0] for r in df.select(largest_json("t")).collect()]
     assert json.loads(got[0]) == {"matched": [{"b": "{"}], "other": []}
     assert got[1] is None and json.loads(got[2]) == {"x": 1}
+    assert json.loads(got[3]) == json.loads(got[4]) == [{"a": 1}, {"b": 22}]
+    assert json.loads(got[5]) == {"a": {"b": "x}"}} and got[6:] == [None, None]
