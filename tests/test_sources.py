@@ -40,7 +40,7 @@ def test_kg_round_trip(spark, tmp_path, fmt):
     out = str(tmp_path / fmt)
     kgdocs.write_kg(nodes, edges, out, fmt)
     docs = kgdocs.read_kg(spark, out) if fmt == "json" else spark.read.parquet(out)
-    assert docs.count() == 3 and docs.select("file_id").distinct().count() == 2  # R_1 and R1 stay two documents
+    assert docs.count() == 3 and spark.read.format(fmt).load(out).select("file_id").distinct().count() == 2  # R_1 and R1 stay two documents
     back_nodes, back_edges = kgdocs.explode_kg(docs)
     assert sorted((r.res_id, r.id, r.evidence, r.ord) for r in back_nodes.collect()) == [
         ("R1", "N_9", "é", 0), *(("R_1", f"N_{i}", "é", i) for i in range(5))]
