@@ -86,10 +86,10 @@ def edge_validity_filter(edges: DataFrame, nodes: DataFrame, types: list[str]) -
             .join(ids.withColumnRenamed("id", "target_id"), ["res_id", "target_id"], "left_semi"))
 
 
-def type_pair_filter(edges: DataFrame, nodes: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:
+def type_pair_filter(edges: DataFrame, nodes: DataFrame, allowed: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
     """Edges whose (relation, source type, target type) is admissible."""
     table = rule_table(edges.sparkSession, allowed, ["type", "src_type", "tgt_type"])
-    return with_endpoints(edges, nodes).join(F.broadcast(table), ["type", "src_type", "tgt_type"], "left_semi")
+    return with_endpoints(edges, nodes).join(table, ["type", "src_type", "tgt_type"], "left_semi")
 
 
 def is_denied(text: Column) -> Column:
@@ -120,8 +120,8 @@ def speaker_guard(edges: DataFrame, turns: DataFrame, types: list[str], speaker:
     return guarded.select(*edges.columns).unionByName(edges.filter(~F.col("type").isin(types)))
 
 
-def stop_mentions(nodes: DataFrame, stop: list[tuple[str, str]]) -> DataFrame:
+def stop_mentions(nodes: DataFrame, stop: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """Drop (type, text) pairs listed as not being findings at all."""
     table = rule_table(nodes.sparkSession, stop, ["type", "_stop"])
     return nodes.withColumn("_stop", F.lower("text")).join(
-        F.broadcast(table), ["type", "_stop"], "left_anti").select(*nodes.columns)
+        table, ["type", "_stop"], "left_anti").select(*nodes.columns)

@@ -78,7 +78,7 @@ def infer_edges(
             ends += [(rule, edge_type, "tgt", tgt, t, i) for i, t in enumerate(tgt_types)]
     table = rule_table(nodes.sparkSession, ends, ["rule", "edge_type", "side", "text", "type", "prio"]).withColumn(
         "text", canonicalize_text(F.col("text"), aliases))
-    hits = nodes.withColumn("text", F.lower("text")).join(F.broadcast(table), ["text", "type"])
+    hits = nodes.withColumn("text", F.lower("text")).join(table, ["text", "type"])
     best = F.struct("prio", "ord", "id", "evidence", "turn_id")
     paired = hits.groupBy("res_id", "rule", "edge_type").agg(
         F.min(F.when(F.col("side") == "src", best)).alias("s"),
@@ -111,7 +111,7 @@ def run_intersection(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full").select(key, side.alias("side"))
 
 
-def candidate_edges(mentions: DataFrame, allowed: list[tuple[str, str, str]], window: int = 2) -> DataFrame:
+def candidate_edges(mentions: DataFrame, allowed: list[tuple[str, str, str]] | DataFrame, window: int = 2) -> DataFrame:
     """Type-compatible entity pairs that occur at most ``window`` turns apart.
 
     ``mentions`` has res_id, seq, text, type. Mentions are counted per turn first; turns are
@@ -124,7 +124,7 @@ def candidate_edges(mentions: DataFrame, allowed: list[tuple[str, str, str]], wi
     src = per_turn.select(
         "res_id", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("seq").alias("src_seq"),
         F.col("text").alias("src_text"), F.col("type").alias("src_type"), F.col("n").alias("src_n"),
-    ).join(F.broadcast(table), "src_type")
+    ).join(table, "src_type")
     tgt = per_turn.select(
         "res_id", band.alias("band"), F.col("seq").alias("tgt_seq"),
         F.col("text").alias("tgt_text"), F.col("type").alias("tgt_type"), F.col("n").alias("tgt_n"))

@@ -16,12 +16,16 @@ MAX_RULE_ROWS = 10_000
 SLOT_ROWS = 1 << 20
 
 
-def rule_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A constant table given in code; its size is checked, so it may be broadcast."""
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"{len(rows)} rows: pass a table of this size as a DataFrame")
+def rule_table(spark: SparkSession, rows: list[tuple] | DataFrame, names: list[str]) -> DataFrame:
+    """A table of rules, given in code or as a DataFrame whose first columns they are.
+
+    One given in code of at most MAX_RULE_ROWS rows is broadcast; for any other Spark chooses the join.
+    """
+    if isinstance(rows, DataFrame):
+        return rows.toDF(*names, *rows.columns[len(names):]).select(*names)
     columns = list(zip(*rows)) if rows else [[] for _ in names]
-    return spark.createDataFrame(pa.table({n: pa.array(list(c)) for n, c in zip(names, columns)}))
+    table = spark.createDataFrame(pa.table({n: pa.array(list(c)) for n, c in zip(names, columns)}))
+    return F.broadcast(table) if len(rows) <= MAX_RULE_ROWS else table
 
 
 def literal_array(rows: list[tuple], names: list[str]) -> Column:

@@ -227,3 +227,17 @@ def test_retry_stats(spark):
     r = st.retry_stats(a).first()
     assert (r.total_calls, r.attempt_1, r.attempt_2, r.attempt_3, r.failed_after_all) == (3, 1, 1, 0, 1)
     assert (r.err_429, r.recovered_429, r.err_5xx, r.recovered_5xx, r.err_network, r.err_empty_content) == (1, 1, 1, 0, 1, 1)
+
+
+def test_large_rule_tables_need_no_list(spark):
+    n = nodes(spark, ("a", "Word 7", "SYMPTOM", ""), ("b", "word 7", "DIAGNOSIS", ""), ("c", "other", "SYMPTOM", ""))
+    stop = spark.range(20_000).selectExpr("'SYMPTOM' as kind", "concat('word ', id) as word")
+    assert rows(fl.stop_mentions(n, stop), "id") == [("b",), ("c",)]
+    listed = [("SYMPTOM", f"word {i}") for i in range(20_000)]
+    assert rows(fl.stop_mentions(n, listed), "id") == [("b",), ("c",)]
+
+
+def test_a_null_order_keeps_its_row(spark):
+    raw = spark.createDataFrame([("r", "", "b", "SYMPTOM", "", "", None), ("r", "", "a", "SYMPTOM", "", "", 5)],
+                                "res_id string, id string, text string, type string, evidence string, turn_id string, ord bigint")
+    assert rows(idt.merge_nodes(raw), "id", "text") == [("N_001", "a"), ("N_002", "b")]
