@@ -14,6 +14,8 @@ from parlance.runtime import drop_stored, stored
 
 # Calls of one conversation that a task orders by itself; larger conversations are ordered in rounds by all.
 CONVERSATION_CALLS = 50_000
+# Rows that a task holds as Python objects at once.
+ROWS = 256
 # Bytes of all schemas together; they travel with the tasks.
 SCHEMA_BYTES = 8 << 20
 
@@ -198,7 +200,8 @@ def dependency_levels(calls: DataFrame, edges: DataFrame, limit: int = CONVERSAT
 def _checked(schemas: dict[str, dict]):
     """Validation and serialisation of joined rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few rows at a time are Python objects.
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             errors, records = [], []
             for r in batch.to_pylist():
                 wrong, value = [], None
