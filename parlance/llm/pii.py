@@ -35,17 +35,19 @@ BASE = {
 }
 # High-recall generators: spans that may be personal data or a secret.
 GENERATORS = {
-    "email_like": ("email", r"[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{2,63}\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,10}"),
+    "email_like": ("email", r"[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{2,63}\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,10}"
+                            r"(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z]{2,10}){0,3}"),
     "phone_like": ("phone", r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
-    "number_like": ("number", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z])"),
+    "number_like": ("number", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}"
+                              r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?(?=[A-Z0-9]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"),
     "secret_like": ("secret", r"(?:(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_/+.-]{6,128}\x22?"
                               r"|(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{24,128}(?![A-Za-z0-9]))"),
 }
 KINDS = ["email", "ip", "card", "phone", "number", "secret"]
 # What certainly is a secret: a key of a known form, or a named value that is long and hexadecimal.
 SURE_SECRET = r"^(?:AKIA[0-9A-Z]{16}|(?i:password|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[0-9a-f]{16,}\x22?)$"
-FEATURES = ["source", "length", "digits", "lower", "upper", "separators", "distinct", "luhn", "octets", "hex",
-            "cue_secret", "cue_phone", "cue_number", "cue_mail", "quoted"]
+FEATURES = ["kind", "length", "digits", "lower", "upper", "separators", "distinct", "luhn", "octets", "address", "ssn",
+            "iban", "joined", "hex", "cue_secret", "cue_phone", "cue_number", "cue_mail", "quoted"]
 
 
 def running_sums(values: Column, chunk: int = 256) -> Column:
@@ -97,6 +99,61 @@ def _octets(value: Column) -> Column:
     return F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(999)) <= 255))
 
 
+def address(value: Column) -> Column:
+    """Whether a value is an e-mail address, once signs written as ``(at)`` and ``(dot)`` are put back."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    return plain.rlike(rf"^{LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$") & plain.rlike(r"\.(?:[a-z]{2,10}|[A-Z]{2,10})$")
+
+
+def ssn(value: Column) -> Column:
+    """Whether a value is a social security number of a range that is given out."""
+    return value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+
+
+def iban(value: Column) -> Column:
+    """Whether a value is an account number that passes its check: 1 modulo 97."""
+    plain = F.regexp_replace(value, " ", "")
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        n = F.conv(c, 36, 10).cast("int")
+        return (rest * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    digits = F.filter(F.split(turned, ""), lambda c: c != "")
+    return F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.aggregate(digits, F.lit(0), step) == 1).otherwise(False)
+
+
+def _joined(c: Column) -> Column:
+    """Whether a candidate is cut out of a longer run of numbers."""
+    return c["before"].rlike(r"(?:[0-9]{2}[\x20.-]|[0-9]\.)$") | c["after"].rlike(r"^[\x20.-]?[0-9]")
+
+
+def _sure_email(c: Column) -> Column:
+    v = c["value"]
+    return F.when(address(v), True).when(v.rlike(r"\.\x20[A-Z][a-z]"), False)
+
+
+def _sure_phone(c: Column) -> Column:
+    v, before = c["value"], c["before"]
+    sized = VALID["phone"](v)
+    cued = before.rlike(r"(?i)\b(?:tel|telephone|phone|call|fax|mobile?|cell)\b[^0-9]*$")
+    return (F.when(before.rlike(r"\+[0-9]{1,3}[\x20.-]$"), F.when(sized, True)).when(_joined(c) | ~sized, False)
+            .when(cued | v.rlike(r"^\([2-9][0-9]{2}\)\x20[2-9][0-9]{2}-[0-9]{4}$"), True))
+
+
+def _sure_secret(c: Column) -> Column:
+    v = c["value"]
+    no = v.rlike("^[0-9]+$") | iban(v) | v.rlike(r"[=:]\x20[A-Za-z][a-z]+\.?$")
+    return F.when(v.rlike(SURE_SECRET), True).when(no, False)
+
+
+# Weak labels of what the generators propose: true, false, or null where neither is known.
+SURE = {
+    "email_like": _sure_email,
+    "phone_like": _sure_phone,
+    "number_like": lambda c: ssn(c["value"]) | iban(c["value"]),
+    "secret_like": _sure_secret,
+}
 VALID = {
     "email": lambda v: F.lit(True),
     "ip": _octets,
@@ -106,23 +163,23 @@ VALID = {
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text (null: none): ``kind``, ``source``, ``base`` (a base span), ``sure`` (weak label)."""
+    """All candidate spans of a text (null: none): ``kind``, ``source``, ``base`` (a base span), ``sure`` (weak
+    label: true, false, or null if unknown)."""
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<struct<kind:int,source:int,base:boolean,sure:boolean,start:int,end:int,value:string,before:string,after:string>>")
 
     def of(pattern: str, kind: str, source: int, base, sure) -> Column:
         return F.transform(matches(text, pattern), lambda m: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), F.lit(source).alias("source"), base(m["value"]).alias("base"),
-            sure(m["value"]).alias("sure"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
+            sure(m).alias("sure"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
             m["before"].alias("before"), m["after"].alias("after")))
 
     def guarded(guard: Column, found: list[Column]) -> Column:
         return F.when(guard, F.concat(*found)).otherwise(none)
 
-    base = {k: of(p, k, i, VALID[k], VALID[k]) for i, (k, p) in enumerate(BASE.items())}
+    base = {k: of(p, k, i, VALID[k], lambda m, k=k: VALID[k](m["value"])) for i, (k, p) in enumerate(BASE.items())}
     never = lambda v: F.lit(False)
-    sure = {"secret_like": lambda v: v.rlike(SURE_SECRET)}
-    more = {n: of(p, k, len(BASE) + i, never, sure.get(n, never)) for i, (n, (k, p)) in enumerate(GENERATORS.items())}
+    more = {n: of(p, k, len(BASE) + i, never, SURE[n]) for i, (n, (k, p)) in enumerate(GENERATORS.items())}
     return F.concat(
         guarded(text.contains("@"), [base["email"]]),
         guarded(text.contains("@") | text.rlike(r"[(\[]at[)\]]"), [more["email_like"]]),
@@ -136,8 +193,9 @@ def features(c: Column) -> Column:
     size = lambda kind: F.length(F.regexp_replace(v, f"[^{kind}]+", ""))
     cue = lambda words: F.lower(c["before"]).rlike(words) | F.lower(F.left(v, F.lit(12))).rlike(words)
     n = F.greatest(F.length(v), F.lit(1))
-    values = [c["source"], F.length(v), size("0-9"), size("a-z") / n, size("A-Z") / n, size(r"\x20().\-"),
-              F.size(F.array_distinct(F.split(v, ""))) / n, luhn(_digits(v)), _octets(v), size("0-9a-f") / n,
+    values = [c["kind"], F.length(v), size("0-9"), size("a-z") / n, size("A-Z") / n, size(r"\x20().\-"),
+              F.size(F.array_distinct(F.split(v, ""))) / n, luhn(_digits(v)), _octets(v), address(v), ssn(v), iban(v),
+              _joined(c), size("0-9a-f") / n,
               cue("pass|pwd|secret|token|key|akia"), cue("tel|phone|call|fax|mobil"), cue("card|iban|ssn|account|konto"),
               cue("mail|contact"), v.contains('"')]
     return F.struct(*[F.coalesce(x.cast("double"), F.lit(0.0)).alias(name) for x, name in zip(values, FEATURES)])
@@ -178,14 +236,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES, tr
         precision: float = PRECISION, seed: int = 7) -> Booster:
     """Trees over the candidates of all documents, of which those of the lowest hash are sampled.
 
-    A candidate is a positive example if the check of its fixed format holds, or if it certainly is a secret; formats
-    that fail their check, and what else the generators propose, are negative ones. A third of the sample
+    A candidate is a positive example if the check of its fixed format holds, and so is what a generator proposes if it
+    certainly is of its kind: an address once its signs are put back, a phone beside a cue, a number that passes its
+    check, a key of known form. Formats that fail their check and what certainly is something else are negative ones;
+    candidates of which neither is known are left out here and judged by the trees alone. A third of the sample
     calibrates: for every kind the lowest score above which the share of positives is at least ``precision``.
     A kind without a positive in that third is never added, nor is any without both labels in the sample.
     """
     each = docs.select(F.explode(candidates(F.col(text))).alias("c")).select(
         features(F.col("c")).alias("f"), F.col("c.kind").alias("kind"), F.col("c.sure").cast("double").alias("label"),
-        F.xxhash64("c.value", "c.before").alias("h"))
+        F.xxhash64("c.value", "c.before").alias("h")).filter("label is not null")
     rows = stored(each.orderBy("h", "kind", "f").limit(sample))
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
         rows.filter(F.pmod("h", F.lit(3)) != 0).select("f.*", "label")).select("features", "label")

@@ -93,6 +93,48 @@ def test_added_spans_and_redaction(spark):
         assert after["text"] == want + before["text"][at:] and after["n_chars"] == len(after["text"])
 
 
+def account(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(body + "131400") % 97
+    return f"DE{check:02d}{body}"
+
+
+def planted(seed, n):
+    """Rows with what each generator alone can find, and what it should leave, as ``(id, text, kind or None, span)``."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        say = lambda: " ".join(rng.choice(["the", "of", "an", "ering"]) for _ in range(8))
+        d = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+        iban = account(rng)
+        bad = iban[:4] + str(9 - int(iban[4])) + iban[5:]
+        kind, x = rng.choice([
+            ("email", f"joe{i} (at) mail (dot) com"), ("email", f"joe{i} [at] mail [dot] co [dot] uk"), ("email", None),
+            ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"call {d(3)}-{d(3)}-{d(4)}"), ("number", f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+            ("number", iban), ("number", " ".join(iban[j:j + 4] for j in range(0, 22, 4))), (None, f"000-{d(2)}-{d(4)}"), (None, bad),
+            (None, f"{d(2)}.{d(3)}.{d(3)}.{d(3)}.{d(3)}"), (None, f"look{i} @ home. Then"), ("secret", f"token={rng.getrandbits(96) | 1 << 95:024x}"), (None, "")])
+        x = f"x{i}@mail.com" if x is None else x
+        rows.append((i, f"{say()} {x} {say()}", kind, x.removeprefix("call ")))
+    return rows
+
+
+def test_each_generator_adds_a_planted_span(spark):
+    rows = planted(5, 1500)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")
+    b = P.fit(docs)
+    found = {r["doc"]["doc_id"]: r["spans"] for r in P.find(docs, b).collect()}
+    for i, t, kind, value in rows:
+        spans = [(P.KINDS[s["kind"]], t[s["start"]:s["end"]]) for s in found[i]]
+        assert ((kind, value) in spans) if kind else not any(k != "secret" for k, _ in spans), (t, spans)
+    assert {"source"}.isdisjoint(P.FEATURES)
+
+
+def test_number_checks(spark):
+    cases = {"GB82 WEST 1234 5698 7654 32": (False, True), "NO9386011117947": (False, True), "DE89370400440532013001": (False, False),
+             "123-45-6789": (True, False), "666-45-6789": (False, False), "123-00-6789": (False, False), "": (False, False)}
+    df = spark.createDataFrame([(v,) for v in cases], "v string").select("v", P.ssn(F.col("v")).alias("s"), P.iban(F.col("v")).alias("i"))
+    assert {r["v"]: (r["s"], r["i"]) for r in df.collect()} == cases
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (1, "a@b.cd é", "x"), (1, "a@b.cd é", "x"), (None, "", "x")], "doc_id int, text string, spans string")
     out = P.redact(docs)
