@@ -16,7 +16,7 @@ from parlance.llm.common import query, read, unpacked, whole_row
 from parlance.llm.rules import let
 from parlance.runtime import stored
 
-# Candidates that the trees are fitted on, at most; those of the lowest hash.
+# About so many distinct candidates the trees are fitted on at most, as many of each kind and label where there are.
 SAMPLE_CANDIDATES = 20_000
 TREES, DEPTH = 12, 3
 # A threshold is the lowest one that keeps this precision on the candidates held out from fitting.
@@ -234,29 +234,39 @@ def _compiled(node, weight: float):
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES, trees: int = TREES, depth: int = DEPTH,
         precision: float = PRECISION, seed: int = 7) -> Booster:
-    """Trees over the candidates of all documents, of which those of the lowest hash are sampled.
+    """Trees over a sample of the candidates of all documents; thresholds from all of a third of the candidates.
 
+    The sample is drawn by hash from the distinct candidates with their context, an equal part for every kind and
+    label, so copies and frequent kinds do not crowd others out.
     A candidate is a positive example if the check of its fixed format holds, and so is what a generator proposes if it
     certainly is of its kind: an address once its signs are put back, a phone beside a cue, a number that passes its
     check, a key of known form. Formats that fail their check and what certainly is something else are negative ones;
-    candidates of which neither is known are left out here and judged by the trees alone. A third of the sample
-    calibrates: for every kind the lowest score above which the share of positives is at least ``precision``.
-    A kind without a positive in that third is never added, nor is any without both labels in the sample.
+    candidates of which neither is known are left out here and judged by the trees alone. The third of
+    all candidates that the sample leaves out calibrates, copies counted: for every kind the lowest score above which
+    the share of positives is at least ``precision``. A kind without a positive in that third is never added, nor is
+    any without both labels in the sample.
     """
     each = docs.select(F.explode(candidates(F.col(text))).alias("c")).select(
         features(F.col("c")).alias("f"), F.col("c.kind").alias("kind"), F.col("c.sure").cast("double").alias("label"),
         F.xxhash64("c.value", "c.before").alias("h")).filter("label is not null")
-    rows = stored(each.orderBy("h", "kind", "f").limit(sample))
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        rows.filter(F.pmod("h", F.lit(3)) != 0).select("f.*", "label")).select("features", "label")
+    held = F.pmod("h", F.lit(3)) == 0
+    sizes = each.filter(~held).groupBy("kind", "label").agg(F.approx_count_distinct("h").alias("n")).collect()
+    part = sample / (2 * len(KINDS))
+    share = F.lit(0.0)
+    for r in sizes:
+        share = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), min(1.0, part / max(r["n"], 1))).otherwise(share)
+    # A second hash draws, as the first one has chosen the third.
+    drawn = each.filter(~held & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share * (1 << 30)))
+    rows = stored(drawn.groupBy("kind", "label", "h").agg(F.min("f").alias("f")).repartition(1).sortWithinPartitions("h", "kind", "label"))
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.select("f.*", "label")).select("features", "label")
     if table.select("label").distinct().count() < 2:
         return Booster()
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=3).fit(table)
     booster = Booster(tuple(_compiled(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights)))
-    held = rows.filter(F.pmod("h", F.lit(3)) == 0).select(
-        "kind", "label", F.floor(booster.score(F.col("f")) * BINS).cast("int").alias("bin"))
+    binned = each.filter(held).select(
+        "kind", "label", F.floor(let(F.col("f"), booster.score) * BINS).cast("int").alias("bin"))
     counts = {(r["kind"], r["bin"]): (r["p"], r["n"]) for r in
-              held.groupBy("kind", "bin").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}
+              binned.groupBy("kind", "bin").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}
     thresholds = []
     for kind in range(len(KINDS)):
         best, p, n = 2.0, 0.0, 0
@@ -281,7 +291,7 @@ def find(docs: DataFrame, booster: Booster, text: str = "text") -> DataFrame:
             c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("score")))
         other = F.transform(F.filter(cs, lambda c: ~c["base"]), lambda c: F.struct(
             c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(False).alias("base"),
-            booster.score(features(c)).alias("score")))
+            let(features(c), booster.score).alias("score")))
         over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
         def chosen(b: Column, o: Column) -> Column:

@@ -128,6 +128,17 @@ def test_each_generator_adds_a_planted_span(spark):
     assert {"source"}.isdisjoint(P.FEATURES)
 
 
+def test_rare_secrets_among_many_numbers_and_copies(spark):
+    rng = random.Random(8)
+    rows = [(i, f"card {rng.randint(10**15, 10**16 - 1)}" if i % 3 else "card 4111111111111112") for i in range(6000)]
+    rows += [(i, f"token={rng.getrandbits(96) | 1 << 95:024x}") for i in range(6000, 6030)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    b = P.fit(docs, sample=240)
+    assert b.thresholds[P.KINDS.index("secret")] <= 1
+    got = P.find(docs.filter("doc_id >= 6000"), b).collect()
+    assert sum([P.KINDS[s["kind"]] for s in r["spans"]] == ["secret"] for r in got) >= 20
+
+
 def test_number_checks(spark):
     cases = {"GB82 WEST 1234 5698 7654 32": (False, True), "NO9386011117947": (False, True), "DE89370400440532013001": (False, False),
              "123-45-6789": (True, False), "666-45-6789": (False, False), "123-00-6789": (False, False), "": (False, False)}
