@@ -40,8 +40,8 @@ GENERATORS = {
     "phone_like": ("phone", r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
     "number_like": ("number", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}"
                               r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?(?=[A-Z0-9]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"),
-    "secret_like": ("secret", r"(?:(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_/+.-]{6,128}\x22?"
-                              r"|(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{24,128}(?![A-Za-z0-9]))"),
+    "secret_like": ("secret", r"(?:(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_/+.-]{6,}+\x22?"
+                              r"|(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{24,}+(?![A-Za-z0-9]))"),
 }
 KINDS = ["email", "ip", "card", "phone", "number", "secret"]
 # What certainly is a secret: a key of a known form, or a named value that is long and hexadecimal.
@@ -184,7 +184,8 @@ def candidates(text: Column) -> Column:
         guarded(text.contains("@"), [base["email"]]),
         guarded(text.contains("@") | text.rlike(r"[(\[]at[)\]]"), [more["email_like"]]),
         guarded(text.contains("+"), [base["phone"]]),
-        guarded(text.rlike("[0-9]"), [base["ip"], base["card"], more["phone_like"], more["number_like"], more["secret_like"]]))
+        guarded(text.rlike("[0-9]"), [base["ip"], base["card"], more["phone_like"], more["number_like"]]),
+        guarded(text.rlike("[0-9]") | text.rlike(r"(?i)pass|pwd|token|secret|api[_-]?key"), [more["secret_like"]]))
 
 
 def features(c: Column) -> Column:

@@ -139,6 +139,13 @@ def test_rare_secrets_among_many_numbers_and_copies(spark):
     assert sum([P.KINDS[s["kind"]] for s in r["spans"]] == ["secret"] for r in got) >= 20
 
 
+def test_secrets_are_proposed_whole(spark):
+    cases = {f"token={'ab12' * 50} x": [6 + 200], f"x {'ab12' * 50}": [200], f"{'A1' * 30}": [60], "password=swordfish": [18], "password=swordfish 1": [18]}
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = df.select("text", P.candidates(F.col("text")).alias("c")).collect()
+    assert {r["text"]: [len(c["value"]) for c in r["c"] if P.KINDS[c["kind"]] == "secret"] for r in got} == cases
+
+
 def test_number_checks(spark):
     cases = {"GB82 WEST 1234 5698 7654 32": (False, True), "NO9386011117947": (False, True), "DE89370400440532013001": (False, False),
              "123-45-6789": (True, False), "666-45-6789": (False, False), "123-00-6789": (False, False), "": (False, False)}
