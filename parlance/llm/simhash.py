@@ -247,18 +247,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, the one of the smallest id; its columns stay as they are.
 
-    Of repeated ids one row stays. Rows without an id cannot be told apart from outside, so all of them stay.
+    Of rows of one id and class the one of the smallest hash of its text stays, of rows that share their text too the
+    first by its columns as JSON. Of the rows without an id one of each class stays, beside the one with an id.
     """
-    classes = near_duplicates(docs, key, text, **settings)
-    first = stored(classes.filter("doc_id is null or doc_id = component_id")
-                   .groupBy(F.col("doc_id").alias("_id")).count())
-    packed = docs.select(F.col(key).alias("_id"), whole_row(docs))
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"))
+    rows = near_duplicates(docs.select(row.alias("doc_id"), F.col(text).alias("text")), **settings)
+    least = rows.groupBy("component_id", "doc_id.none").agg(F.min("doc_id").alias("_row"))
+    sizes = rows.groupBy(F.col("doc_id").alias("_row")).count()
+    first = stored(least.join(sizes, "_row").select(F.to_json("_row", {"ignoreNullFields": "false"}).alias("_row"), "count"))
+    packed = docs.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("_row"), whole_row(docs))
     # Ids grow with the documents: they are hashed by the tasks that get them, at every size, and never broadcast.
-    kept = packed.join(first.filter("_id is not null").hint("shuffle_hash"), "_id", "left_semi")
-    if not first.filter("`count` > 1 and _id is not null").isEmpty():
-        kept = kept.dropDuplicates(["_id"])
-    if not first.filter("_id is null").isEmpty():
-        kept = kept.unionByName(packed.filter("_id is null"))
+    kept = packed.join(first.hint("shuffle_hash"), "_row", "left_semi")
+    if not first.filter("`count` > 1").isEmpty():
+        kept = kept.groupBy("_row").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return unpacked(kept)
 
 

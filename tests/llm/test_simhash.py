@@ -95,6 +95,15 @@ def test_odd_rows(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    a, b, c = "the first words here", "quite another set of things", "some third text stands alone"
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (7, c, 5), (7, c, 4), (None, a, 6), (None, a, 6), (None, c, 7)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n int")
+    got = S.one_of_each(docs).collect()
+    assert sorted((r["doc_id"], r["text"], r["n"]) for r in got if r["doc_id"]) == [(3, b, 1), (5, a, 2), (7, c, 4)]
+    assert sorted((r["text"], r["n"]) for r in got if r["doc_id"] is None) == sorted([(a, 6), (c, 7)])
+
+
 def test_query_is_brute_force_on_the_documents(spark):
     from parlance.llm.catalog import queries
     sf = "/root/testdata/sf0.001"
