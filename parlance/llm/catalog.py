@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from parlance.llm import ensemble, language, packing, pii, prefixhash, rules, sharding, simhash, structure, toolcalls, warc, winnow  # noqa: F401
+from parlance.llm import ensemble, language, packing, pii, prefixhash, rules, sharding, simhash, structure, toolcalls, warc, whitening, winnow  # noqa: F401
 from parlance.llm.common import ORACLE, QUERIES
 
 
