@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 from parlance.functions.text import strip_ws
 from parlance.functions.vectors import unit_rows
 from parlance.operators.identity import merge_and_remap
+from parlance.operators.metric import BLOCK_ROWS, best_labels, nearest_in_cells, similar_pairs  # noqa: F401
 from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES
 
-# Vectors per block of a blocked comparison: two blocks and their product fit in one task.
-BLOCK_ROWS = 4096
-# A vocabulary of at most this many numbers (64 MB) is sent to every task; a larger one is joined in blocks.
+# A vocabulary of at most this many numbers and eighths of characters (64 MB) is sent to every task; a larger one is
+# searched in cells.
 BROADCAST_VALUES = 8 << 20
 
 
@@ -46,54 +46,40 @@ def encode_text(df: DataFrame, col: str = "text", out: str = "embedding", n_feat
     return rows.withColumn(out, F.pandas_udf(weigh, "array<float>")("_buckets")).drop("_buckets")
 
 
-def _best_rows(nodes: pd.DataFrame, labels: list[str], ords: np.ndarray, units: np.ndarray) -> pd.DataFrame:
-    """Best label per node row: highest cosine above 0, smallest ord on a tie."""
-    at, best = [], []
-    for i in range(0, len(nodes), BLOCK_ROWS):
-        sims = unit_rows(nodes["embedding"].iloc[i:i + BLOCK_ROWS]) @ units.T
-        # Labels come sorted by ord, so the first maximum is the right one.
-        at.append(sims.argmax(axis=1))
-        best.append(sims[np.arange(len(sims)), at[-1]])
-    at, best = np.concatenate(at), np.concatenate(best)
-    hit = best > 0
-    names = pd.Series([labels[i] for i in at[hit]], dtype=object)
-    return pd.DataFrame({
-        "id": nodes["id"].to_numpy()[hit], "label": names, "label_ord": ords[at[hit]], "cosine": best[hit]})
-
-
-_NO_ROWS = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "label", "label_ord", "cosine")})
-
-
 def nearest_label(nodes: DataFrame, vocab: DataFrame, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """Best label of the same type per node: adds label, cosine (null without any), has_labels.
+    """Best label of the same type per node, of cosine above 0, the smallest ord on a tie: adds label, cosine (null
+    without any), has_labels.
 
-    ``nodes``: id, type, embedding, ...; ``vocab``: label, type, ord, embedding. The size of the
-    vocabulary is measured first. A small one is sent to every task and nodes are scored in
-    place, without a shuffle. A larger one is cut into blocks, and every node block meets
-    every block of its type's labels in a task of bounded size; the best of the blocks wins.
+    ``nodes``: id, type, embedding, ...; ``vocab``: label, type, ord, embedding. The size of the vocabulary, vectors and
+    labels, is measured first. A small one is sent to every task and nodes are scored in place, without a shuffle; a
+    larger one becomes an index of cells that each distinct vector searches, the most promising first.
     """
-    rows, dims = vocab.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if rows * (dims or 1) <= broadcast_values:
+    size = vocab.agg(F.sum(F.size("embedding") + F.length("label") / 8 + 2)).first()[0] or 0
+    if size <= broadcast_values:
         return _nearest_in_place(nodes, vocab)
-    return _nearest_in_blocks(nodes, vocab, rows)
+    return nearest_in_cells(nodes, vocab)
 
 
 def _nearest_in_place(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
-    table = vocab.select("type", "label", "ord", "embedding").toPandas().sort_values("ord", kind="stable")
-    by_type = {t: (g["label"].tolist(), g["ord"].to_numpy(dtype="int64"), unit_rows(g["embedding"]))
-               for t, g in table.groupby("type")}
-    shared = nodes.sparkSession.sparkContext.broadcast(by_type)
+    by_type: dict = {}
+    for r in vocab.filter(F.col("type").isNotNull()).select("type", "label", "ord", "embedding").toArrow().to_pylist():
+        by_type.setdefault(r["type"], []).append((r["ord"], r["label"], r["embedding"]))
+    tables = {}
+    for t, rows in by_type.items():
+        rows.sort(key=lambda r: r[0])
+        tables[t] = [r[1] for r in rows], np.array([r[0] for r in rows]), unit_rows([r[2] for r in rows])
+    shared = nodes.sparkSession.sparkContext.broadcast(tables)
 
     def score(kind: pd.Series, embedding: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"label": pd.Series([None] * len(kind), dtype=object),
-                            "cosine": np.full(len(kind), np.nan), "has_labels": kind.isin(list(shared.value)).to_numpy()})
-        batch = pd.DataFrame({"id": np.arange(len(kind)), "embedding": embedding.to_numpy()})
-        for t, group in batch.groupby(kind.to_numpy()):
-            if t in shared.value:
-                best = _best_rows(group, *shared.value[t])
-                out.loc[best["id"], "label"] = best["label"].to_numpy()
-                out.loc[best["id"], "cosine"] = best["cosine"].to_numpy()
-        return out
+        label, cosine = np.full(len(kind), None, dtype=object), np.full(len(kind), np.nan)
+        some = embedding.notna().to_numpy()
+        for t in set(kind[some]) & set(shared.value):
+            labels, ords, units = shared.value[t]
+            at = np.flatnonzero(some & (kind == t).to_numpy())
+            first, best = best_labels(unit_rows(embedding.iloc[at]), ords, units)
+            hit = best > 0
+            label[at[hit]], cosine[at[hit]] = [labels[i] for i in first[hit]], best[hit]
+        return pd.DataFrame({"label": label, "cosine": cosine, "has_labels": kind.isin(list(shared.value)).to_numpy()})
 
     score.__annotations__ = {"kind": pd.Series, "embedding": pd.Series, "return": pd.DataFrame}
     # Non-deterministic only so that Spark evaluates it once for its three fields.
@@ -102,30 +88,6 @@ def _nearest_in_place(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
         *nodes.columns, "_best.label", F.nanvl("_best.cosine", F.lit(None)).alias("cosine"), "_best.has_labels")
 
 
-def _nearest_in_blocks(nodes: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    blocks = -(-size // BLOCK_ROWS)
-    node_blocks = max(1, -(-nodes.count() // (16 * BLOCK_ROWS)))
-    v = vocab.withColumn("vb", F.pmod(F.xxhash64("label"), F.lit(blocks))).withColumn(
-        "nb", F.explode(F.sequence(F.lit(0), F.lit(node_blocks - 1))))
-    n = nodes.select("id", "type", "embedding").withColumn("nb", F.pmod(F.xxhash64("id"), F.lit(node_blocks))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _NO_ROWS
-        right = right.sort_values("ord", kind="stable")
-        return _best_rows(left, right["label"].tolist(), right["ord"].to_numpy(dtype="int64"), unit_rows(right["embedding"]))
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    best = n.groupBy("type", "nb", "vb").cogroup(v.groupBy("type", "nb", "vb")).applyInPandas(
-        compare, f"id {kind}, label string, label_ord bigint, cosine double").groupBy("id").agg(
-        F.max(F.struct("cosine", (-F.col("label_ord")).alias("o"), "label")).alias("_b")).select(
-        "id", "_b.label", "_b.cosine")
-    known = vocab.select("type").distinct().withColumn("has_labels", F.lit(True))
-    return nodes.join(best, "id", "left").join(known, "type", "left").withColumn(
-        "has_labels", F.coalesce("has_labels", F.lit(False)))
-
-
 def canonicalize_to_vocab(nodes: DataFrame, vocab: DataFrame, threshold: float = 0.70) -> DataFrame:
     """Rewrite a node's text to its nearest label from ``threshold`` on; types of text are met in upper case.
 
@@ -161,44 +123,6 @@ def canon_summary(canon: DataFrame) -> DataFrame:
         F.count_if(F.col("text_original").isNotNull()).alias("n_rewritten"))
 
 
-def similar_pairs(
-    texts: DataFrame, threshold: float = 0.85, block_rows: int = BLOCK_ROWS, guard=None,
-) -> DataFrame:
-    """Same-type pairs with cosine >= threshold: (type, lo, hi, cosine), lo < hi by ``ord``.
-
-    ``texts``: ord (unique), type, embedding: the distinct texts, far fewer than mentions.
-    A type of any size is hashed into blocks of about ``block_rows``; each unordered pair of
-    blocks is one matrix product in one task and only pairs over the threshold leave it.
-    ``guard`` may name a column both texts must agree on.
-    """
-    extra = [guard] if guard else []
-    sizes = texts.groupBy("type", *extra).count().withColumn(
-        "_blocks", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
-    mine = F.pmod(F.xxhash64("ord"), F.col("_blocks")).cast("int")
-    placed = texts.select("type", *extra, "ord", "embedding").join(sizes, ["type", *extra]).withColumn("_mine", mine)
-    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "type", *extra, "ord", "embedding", "_mine",
-        F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"))
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = block["_i"].iat[0], block["_j"].iat[0]
-        left = block[block["_mine"] == i]
-        right = left if i == j else block[block["_mine"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"type": [], "lo": [], "hi": [], "cosine": []})
-        sims = unit_rows(left["embedding"]) @ unit_rows(right["embedding"]).T
-        r, c = np.nonzero(sims >= threshold)
-        a, b = left["ord"].to_numpy()[r], right["ord"].to_numpy()[c]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({
-            "type": block["type"].iat[0], "lo": np.minimum(a, b)[keep], "hi": np.maximum(a, b)[keep],
-            "cosine": sims[r, c][keep]})
-
-    kind = texts.schema["type"].dataType.simpleString()
-    return spread.groupBy("type", *extra, "_i", "_j").applyInPandas(
-        compare, f"type {kind}, lo bigint, hi bigint, cosine double")
-
-
 def er_leader_cluster(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Greedy leader clusters of ``texts`` (type, ord) under ``pairs`` (type, lo, hi, cosine).
 

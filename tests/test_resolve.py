@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from parlance.operators import metric
 from parlance.operators import resolve as er
 
 ROW = "type string, ord bigint, text string, embedding array<float>"
@@ -82,6 +83,91 @@ def test_nearest_label_both_plans(spark):
     assert small[3] == (None, None)  # type t3 has no labels
 
 
+def clustered(seed, clusters=40, each=60, dim=24, spread=0.03, kind="a"):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    return [(kind, i, f"n{i}", [float(v) for v in centres[i % clusters] + rng.normal(size=dim) * spread * np.linalg.norm(centres[i % clusters])])
+            for i in range(clusters * each)]
+
+
+def test_clustered_vectors_meet_in_few_cells(spark):
+    rows = clustered(1)
+    df = spark.createDataFrame(rows, ROW)
+    units = np.array([r[3] for r in rows], dtype="float32").astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    lo, hi = np.nonzero(np.triu(units @ units.T >= 0.85, 1))
+    got = er.similar_pairs(df, 0.85, 64).collect()
+    assert {(r.lo, r.hi) for r in got} == set(zip(lo.tolist(), hi.tolist())) and len(got) == len(lo)
+    tasks = metric.pair_tasks(df, 0.85, 64).groupBy("_cell", "_i", "_j", "_mine").count().collect()
+    sides = {}
+    for r in tasks:
+        sides.setdefault((r._cell, r._i, r._j), {})[r._mine] = r["count"]
+    compared = sum(n.get(i, 0) * (n.get(i, 0) - 1) / 2 if i == j else n.get(i, 0) * n.get(j, 0) for (_, i, j), n in sides.items())
+    assert compared < 0.15 * len(rows) ** 2 / 2
+    copies = sum(n for side in sides.values() for n in side.values())
+    assert copies < 4 * len(rows)  # all blocks of the type would be 38 each
+
+
+def test_cells_lose_no_pair_on_any_shape(spark):
+    rng = np.random.default_rng(5)
+    same = [("a", i, "x", [1.0, 2.0, 3.0]) for i in range(60)]
+    spread = [("b", 100 + i, "y", [float(v) for v in rng.normal(size=3)]) for i in range(150)]
+    odd = [("b", 300, "z", [0.0] * 3), ("b", 301, "z", [0.0] * 3), (None, 302, "z", [1.0] * 3), (None, 303, "z", [1.0] * 3)]
+    rows = same + spread + odd
+    df = spark.createDataFrame(rows, ROW)
+    for t in (0.99, 0.7, 0.1, 0.0, -0.5):
+        want = set()
+        for kind in "ab":
+            mine = [r for r in rows if r[0] == kind]
+            u = np.array([r[3] for r in mine])
+            n = np.linalg.norm(u, axis=1, keepdims=True)
+            u = np.divide(u, n, out=np.zeros_like(u), where=n > 0)
+            for i, j in zip(*np.nonzero(np.triu(u.astype("float32").astype(float) @ u.astype("float32").astype(float).T >= t + 1e-6, 1))):
+                want.add((mine[i][1], mine[j][1]))
+        got = er.similar_pairs(df, t, 16).collect()
+        pairs = {(r.lo, r.hi) for r in got}
+        assert len(pairs) == len(got) and want <= pairs
+        extra = {p for p in pairs - want}
+        assert all(abs(r.cosine - t) < 1e-5 for r in got if (r.lo, r.hi) in extra)
+
+
+def test_nearest_label_in_cells(spark):
+    vocab = [(k, i, f"l{i}", v) for k, i, _, v in clustered(2, each=20)] + [("a", 5000 + i, f"m{i}", v) for _, i, _, v in clustered(2, each=1)]
+    vocab += [("b", 1, "zero", [0.0] * 24), ("b", 2, "one", [1.0] * 24), (None, 3, "none", [1.0] * 24)]
+    nodes = [(i, k, t, v) for k, i, t, v in clustered(3, clusters=10, each=5) + clustered(2, each=3)]
+    nodes += [(9000, "b", "n", [1.0] * 24), (9001, "b", "n", [-1.0] * 24), (9002, "b", "n", [0.0] * 24), (9003, "c", "n", [1.0] * 24),
+              (9004, "a", "n", None), (9005, None, "n", [1.0] * 24)]
+    n = spark.createDataFrame(nodes, "id bigint, type string, text string, embedding array<float>")
+    v = spark.createDataFrame(vocab, ROW).withColumnRenamed("text", "label")
+    key = lambda rows: sorted((r.id, r.label, r.cosine and round(r.cosine, 9), r.has_labels) for r in rows)
+    small = er.nearest_label(n, v).collect()
+    assert len(small) == len(nodes)
+    assert key(metric.nearest_in_cells(n, v, 32).collect()) == key(small)
+    units = np.array([r[3] for r in vocab if r[0] == "a"], dtype="float32").astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    names = [r[2] for r in vocab if r[0] == "a"]
+    by_id = {}
+    for r in small:
+        by_id.setdefault(r.id, []).append(r.label)
+    for i, k, _, e in nodes[:170]:
+        sims = np.round(units @ (np.asarray(e, dtype="float32").astype(float) / np.linalg.norm(np.asarray(e, dtype="float32").astype(float))), 12)
+        assert names[int(sims.argmax())] in by_id[i]
+    assert by_id[9000] == ["one"] and by_id[9001] == by_id[9002] == by_id[9003] == by_id[9004] == [None]
+
+
+def test_vectors_ask_few_cells():
+    """On clusters, the first cell's answer leaves hardly any other cell open."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(100, 32))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    asking = pivots[:50] + rng.normal(size=(50, 32)) * 0.02
+    a = metric.angles(asking / np.linalg.norm(asking, axis=1, keepdims=True), pivots)
+    low, high = np.zeros(100), np.full(100, 0.2)
+    first = metric.to_ask(a, low, high, np.zeros(50), np.zeros(50, int), 1)
+    assert [c[0] for c in first] == list(range(50))
+    assert sum(map(len, metric.to_ask(a, low, high, np.full(50, 0.97), np.ones(50, int), 99))) < 25
+
+
 def test_canonicalize_to_vocab(spark):
     nodes = spark.createDataFrame([(1, "S", "tummy ache", [1.0, 0.1]), (2, "S", "Fever", [0.0, 1.0]), (3, "X", "y", [1.0, 0.0])],
                                   "id int, type string, text string, embedding array<float>")
