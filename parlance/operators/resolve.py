@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from parlance.functions.text import strip_ws
 from parlance.functions.vectors import unit_rows
 from parlance.operators.identity import merge_and_remap
+from parlance.operators.leaders import er_leader_cluster  # noqa: F401
 from parlance.operators.metric import BLOCK_ROWS, best_labels, nearest_in_cells, similar_pairs  # noqa: F401
 from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES
@@ -123,43 +124,6 @@ def canon_summary(canon: DataFrame) -> DataFrame:
         F.count_if(F.col("text_original").isNotNull()).alias("n_rewritten"))
 
 
-def er_leader_cluster(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Greedy leader clusters of ``texts`` (type, ord) under ``pairs`` (type, lo, hi, cosine).
-
-    In order, an unassigned text leads and takes every later unassigned neighbour; not
-    connected components. Parallel rounds give the same result: a text without an undecided
-    smaller neighbour leads, and its neighbours are members. Every round drops the decided
-    pairs and is written out. Returns (type, ord, leader, cosine), cosine null for leaders.
-    """
-    spark = pairs.sparkSession
-    key = ["type", "node"]
-    lo, hi = F.col("lo").alias("node"), F.col("hi").alias("node")
-    pairs = stored(pairs)
-    active = pairs.select("type", "lo", "hi")
-    member_rounds: list[DataFrame] = []
-    while not active.isEmpty():
-        blocked = active.select("type", hi).distinct()
-        leaders = active.select("type", lo).distinct().join(blocked, key, "left_anti")
-        members = stored(active.withColumn("node", F.col("lo")).join(
-            leaders, key, "left_semi").select("type", hi).distinct())
-        member_rounds.append(members)
-        # Pairs of a member are settled from both sides; so are pairs of a leader.
-        rest = active
-        for side in ("lo", "hi"):
-            rest = rest.join(members.withColumnRenamed("node", side), ["type", side], "left_anti")
-        active = stored(rest)
-    kind = texts.schema["type"]
-    decided = spark.createDataFrame([], T.StructType([kind, T.StructField("node", T.LongType())]))
-    for members in member_rounds:
-        decided = decided.unionByName(members)
-    # A member joins the smallest neighbour that is not itself a member.
-    joined = pairs.join(decided.withColumnRenamed("node", "lo"), ["type", "lo"], "left_anti").groupBy(
-        "type", F.col("hi").alias("ord")).agg(F.min(F.struct("lo", "cosine")).alias("_l")).select(
-        "type", "ord", F.col("_l.lo").alias("leader"), F.col("_l.cosine").alias("cosine"))
-    return texts.select("type", "ord").join(joined, ["type", "ord"], "left").withColumn(
-        "leader", F.coalesce("leader", "ord"))
-
-
 def er_leader_cluster_dense(texts: DataFrame, threshold: float = 0.85, front_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same clusters straight from ``texts`` (type, ord, embedding), without any pairs.
 

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import metric
+from parlance.operators import leaders, metric
 from parlance.operators import resolve as er
 
 ROW = "type string, ord bigint, text string, embedding array<float>"
@@ -61,6 +62,50 @@ def test_a_chain_is_not_a_connected_component(spark):
     assert got == {0: (0, None), 1: (0, 0.9), 2: (2, None)}
 
 
+def greedy_leads(pairs):
+    below = {}
+    for lo, hi in pairs:
+        below.setdefault(hi, []).append(lo)
+        below.setdefault(lo, [])
+    leads = {}
+    for n in sorted(below):
+        leads[n] = not any(leads[m] for m in below[n])
+    return leads
+
+
+@pytest.mark.parametrize("width, degree, range_texts, most", [(300, 1, 7, 50), (300, 3, 20, 50), (150, 12, 10, 3), (80, 40, 1000, 5)])
+def test_leaders_of_random_pairs(spark, width, degree, range_texts, most):
+    rng = np.random.default_rng(width + degree)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, width, size=(width * degree, 2)).tolist() if p[0] != p[1]}
+    df = spark.createDataFrame([(t, *p) for p in pairs for t in "ab"] + [(None, 1, 2)], "type string, lo bigint, hi bigint")
+    got = leaders.leaders(df, range_texts, most).collect()
+    assert len(got) == 2 * len(greedy_leads(pairs))
+    for t in "ab":
+        assert {r.node: r.leads for r in got if r.type == t} == greedy_leads(pairs)
+
+
+def test_a_long_chain_ends_in_few_rounds(spark):
+    n = 10_000
+    pairs = spark.range(n - 1).selectExpr("'a' type", "id lo", "id + 1 hi")
+    log = []
+    got = {r.node: r.leads for r in leaders.leaders(pairs, range_texts=64, log=log).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+    # Twice as many as rounds are written at most, with the start.
+    assert len(log) <= 10
+    log = []
+    # Two links back: every text has two conditions, and the first range decides the second, and so on.
+    pairs = spark.range(2, 600).selectExpr("'a' type", "explode(array(id - 1, id - 2)) lo", "id hi").unionAll(
+        spark.sql("select 'a', 0L, 1L"))
+    got = {r.node: r.leads for r in leaders.leaders(pairs, log=log).collect()}
+    assert got == {i: i % 3 == 0 for i in range(600)} and len(log) <= 10
+
+
+def test_no_pairs(spark):
+    df = spark.createDataFrame([("s", i, n, [0.0]) for i, n in enumerate("abc")], ROW)
+    pairs = spark.createDataFrame([], "type string, lo bigint, hi bigint, cosine double")
+    assert {r.ord: r.leader for r in er.er_leader_cluster(pairs, df).collect()} == {0: 0, 1: 1, 2: 2}
+
+
 def test_canonical_name_and_apply(spark):
     clusters = spark.createDataFrame([
         ("S", 0, 0, "absent abdominal pain"), ("S", 1, 0, "absent body aches"), ("S", 2, 0, "absent chest pain"),
