@@ -62,7 +62,7 @@ SELECT h.res_id, h.type, h.text, h.evidence, h.turn_id, h.via FROM phits h
 LEFT JOIN nodes n ON n.res_id = h.res_id AND n.text = h.text AND n.type = h.type WHERE n.id IS NULL""")
 def pattern_extract(spark, sf):
     return ex.pattern_extract(
-        transcripts(spark, sf), DEMO_PATTERNS, conversation_nodes(spark, sf), DEMO_ALIASES
+        turns(spark, sf), DEMO_PATTERNS, conversation_nodes(spark, sf), DEMO_ALIASES
     ).select("res_id", "type", "text", "evidence", "turn_id", "via")
 
 
@@ -70,7 +70,27 @@ def pattern_extract(spark, sf):
 WITH {parts_sql(False)}, {_pattern_sql(DEMO_PATTERNS, False)}
 SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
 def pattern_extract_plain(spark, sf):
-    return ex.pattern_extract(transcripts(spark, sf, bracketed=False), DEMO_PATTERNS, aliases=DEMO_ALIASES).select(
+    return ex.pattern_extract(turns(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES, bracketed=False).select(
+        "res_id", "type", "text", "evidence", "turn_id", "via")
+
+
+@query("pattern_extract_whole", f"""
+WITH {PATTERN_SQL} SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
+def pattern_extract_whole(spark, sf):
+    """The same on transcripts as single texts."""
+    return ex.pattern_extract(transcripts(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES).select(
+        "res_id", "type", "text", "evidence", "turn_id", "via")
+
+
+# Beside the patterns, labels that nothing holds: enough for the index of literals.
+MANY_PATTERNS = DEMO_PATTERNS + [("SYMPTOM", f"none {i}", rf"\bzq{i}x (?:pain|ache)\b", [f"zq{i}x"]) for i in range(2000)]
+
+
+@query("pattern_extract_many", f"""
+WITH {PATTERN_SQL} SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
+def pattern_extract_many(spark, sf):
+    """Two thousand patterns, met through the literals they need."""
+    return ex.pattern_extract(turns(spark, sf), MANY_PATTERNS, aliases=DEMO_ALIASES).select(
         "res_id", "type", "text", "evidence", "turn_id", "via")
 
 
@@ -89,7 +109,7 @@ SELECT type, text, count(*) AS hits, count(*) FILTER (via = 'fallback') AS fallb
        round(count(*) FILTER (via = 'fallback') / count(*), 4) AS fallback_share FROM phits GROUP BY 1, 2""")
 def fallback_audit(spark, sf):
     return ex.fallback_audit(ex.pattern_extract(
-        transcripts(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES))
+        turns(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES))
 
 
 @query("lexicon_extract", f"""
@@ -244,9 +264,8 @@ def enrich_graph_query(spark, sf):
     nodes = stored(conversation_nodes(spark, sf))
     # The graph starts with the edges one rule set finds; the others are added by the plan.
     given = infer_edges(nodes, DEMO_RULES, ["confirms"], DEMO_ALIASES)
-    texts = transcripts(spark, sf).select("res_id", "text")
     new_nodes, new_edges = enrich_graph(
-        nodes, given, texts, DEMO_PATTERNS, DEMO_RULES, DEMO_ALIASES, ENRICH_LOW_VALUE, _ENRICH_TYPES, EDGE_TYPES)
+        nodes, given, turns(spark, sf), DEMO_PATTERNS, DEMO_RULES, DEMO_ALIASES, ENRICH_LOW_VALUE, _ENRICH_TYPES, EDGE_TYPES)
     return new_nodes.select("res_id", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("text").alias("b"),
                             "type", "evidence").unionByName(
         new_edges.select("res_id", F.lit("edge").alias("kind"), F.col("source_id").alias("a"),

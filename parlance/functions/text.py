@@ -149,6 +149,29 @@ def find_evidence(
     return _let(F.struct(at.alias("at"), raw.alias("raw")), of_match)
 
 
+def find_in_window(text: Column, regex: Column, terms: Column, first: Column, last: Column) -> Column:
+    """The proof of a pattern that starts between two positions of a text: struct(by, term, evidence, turn_id, via), or
+    null. ``by`` is 0 for the regex and 1 for a fallback term, ``term`` the term's place: a smaller one is the better
+    proof. What starts before ``first`` is left to the window it lies in.
+    """
+    pattern = F.concat(F.lit(PATTERN_FLAGS), regex)
+    own = lambda at: at.between(first, last)
+    lowered = F.lower(text)
+
+    def hit(by: int, term: Column, evidence: Column, at: Column, via: str) -> Column:
+        turn = F.regexp_extract(F.substr(text, F.lit(1), at), r"(?s)^.*" + MARKER, 1)
+        return F.struct(F.lit(by).alias("by"), term.alias("term"), evidence.alias("evidence"), turn.alias("turn_id"), F.lit(via).alias("via"))
+
+    def of_terms() -> Column:
+        places = F.transform(terms, lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.regexp_instr(lowered, term_regex(F.lower(t))).alias("at")))
+        found = F.try_element_at(F.filter(places, lambda p: own(p["at"])), F.lit(1))
+        return _let(found, lambda p: F.when(p.isNotNull(), hit(1, p["i"], p["t"], p["at"], "fallback")))
+
+    # The match is taken from the text only where there is one of its own.
+    raw = F.trim(collapse_ws(F.call_function("regexp_extract", text, pattern, F.lit(0))))
+    return _let(F.regexp_instr(text, pattern), lambda at: F.when(own(at), hit(0, F.lit(0), raw, at, "pattern")).otherwise(of_terms()))
+
+
 def seq_id(rank: Column, prefix: str = "N_") -> Column:
     return F.format_string(prefix + "%03d", rank)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import canonicalize_text, find_evidence, norm_key, normalize_ws, word_tokens
-from parlance.runtime import literal_array
+from parlance.functions.text import canonicalize_text, norm_key, normalize_ws, word_tokens
+from parlance.operators.patterns import pattern_hits
 
 
 def _grams(tokens: Column, max_n: int) -> Column:
@@ -27,32 +27,32 @@ def lexicon_extract(
     ``vocab`` has label, entity_type. Texts become word n-grams which meet the labels in one
     equality join: its cost follows the text, not text times vocabulary. Spark broadcasts
     the vocabulary when its measured size allows and shuffles both sides otherwise.
-    ``context`` adds that many words before and after each hit.
+    ``context`` adds that many words before and after each hit; they are listed for hits only.
     """
     labels = vocab.select(
         F.array_join(word_tokens(F.lower("label")), " ").alias("gram"), "label", F.col("entity_type").alias("type"),
     ).filter(F.col("gram") != "").distinct()
     tokens = F.col("_tokens")
     rows = texts.select(*keys, word_tokens(F.lower(col)).alias("_tokens"))
-    if context:
-        spans = rows.select(*keys, F.explode(F.transform(_grams(tokens, max_n), lambda g: F.struct(
-            g["start"].alias("start"), g["n"].alias("n"), g["gram"].alias("gram"),
-            F.slice(tokens, F.greatest(g["start"] - context, F.lit(0)) + 1,
-                    F.least(g["start"], F.lit(context))).alias("before"),
-            F.slice(tokens, g["start"] + g["n"] + 1, context).alias("after")))).alias("_g"))
-    else:
-        # Each word beside its followers: one generated row per word, grams by plain concatenation.
-        shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))).alias(f"w{k}") for k in range(max_n)]
-        words = rows.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("start", "_w"))
-        grams, gram = [], None
-        for k in range(max_n):
-            word = F.col(f"_w.w{k}")
-            gram = word if gram is None else F.concat(gram, F.lit(" "), word)
-            grams.append(F.struct(F.col("start"), F.lit(k + 1).alias("n"), gram.alias("gram")))
-        spans = words.select(*keys, F.explode(F.array(*grams)).alias("_g"))
-    extra = ["before", "after"] if context else []
-    return spans.select(*keys, "_g.*").join(labels, "gram").select(
-        *keys, "start", "n", "label", "type", F.col("gram").alias("quote"), *extra)
+    # Each word beside its neighbours: one generated row per word, grams by plain concatenation.
+    nulls = lambda k: F.array_repeat(F.lit(None).cast("string"), k)
+    shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))).alias(f"w{k}") for k in range(max_n + context)]
+    earlier = [F.concat(nulls(k), F.slice(tokens, 1, F.greatest(F.size(tokens) - k, F.lit(0)))).alias(f"b{k}") for k in range(context, 0, -1)]
+    words = rows.filter(F.size(tokens) > 0).select(*keys, F.posexplode(F.arrays_zip(*shifted, *earlier)).alias("start", "_w")).filter(
+        F.col("_w.w0").isNotNull())
+    grams, gram = [], None
+    for k in range(max_n):
+        word = F.col(f"_w.w{k}")
+        gram = word if gram is None else F.concat(gram, F.lit(" "), word)
+        grams.append(F.struct(F.col("start"), F.lit(k + 1).alias("n"), gram.alias("gram")))
+    beside = ["_w"] if context else []
+    spans = words.select(*keys, *beside, F.explode(F.array(*grams)).alias("_g"))
+    found = spans.select(*keys, *beside, "_g.*").join(labels, "gram")
+    there = lambda c: F.filter(c, lambda w: w.isNotNull())
+    extra = [] if not context else [
+        there(F.array(*[F.col(f"_w.b{k}") for k in range(context, 0, -1)])).alias("before"),
+        there(F.slice(F.array(*[F.col(f"_w.w{k}") for k in range(max_n + context)]), F.col("n") + 1, context)).alias("after")]
+    return found.select(*keys, "start", "n", "label", "type", F.col("gram").alias("quote"), *extra)
 
 
 def longest_match(mentions: DataFrame, keys: list[str], policy: str = "longest") -> DataFrame:
@@ -75,24 +75,21 @@ def longest_match(mentions: DataFrame, keys: list[str], policy: str = "longest")
 
 
 def pattern_extract(
-    transcripts: DataFrame, patterns: list[tuple], present: DataFrame | None = None,
+    transcripts: DataFrame, patterns: list[tuple] | DataFrame, present: DataFrame | None = None,
     aliases: dict[str, str] | None = None, compat: bool = False, keys: tuple[str, ...] = ("res_id",),
+    bracketed: bool = True, reach: int = 1,
 ) -> DataFrame:
     """One node per transcript and pattern (type, name, regex, terms) that is proven.
 
-    Patterns are a literal array exploded inside the scan stage: no join, no shuffle, and
-    the text is dropped before any later exchange. ``present`` nodes are not found again.
+    ``transcripts`` are whole texts, or turns as rows, told by their column ``seq``; any number of patterns, as a list
+    or a table with a column ``rule`` (see ``pattern_hits``). ``present`` nodes are not found again.
     """
     keys = list(keys)
-    table = literal_array([(i, *p) for i, p in enumerate(patterns)], ["rule", "type", "name", "regex", "terms"])
-    hits = transcripts.select(*keys, "text", F.explode(table).alias("p")).select(
-        *keys, F.col("p.rule").alias("rule"), F.col("p.type").alias("type"),
-        canonicalize_text(F.col("p.name"), aliases).alias("name"),
-        find_evidence(F.col("text"), F.col("p.regex"), F.col("p.terms"), compat=compat).alias("hit"),
-    ).filter(F.col("hit.evidence") != "")
+    hits = pattern_hits(transcripts, patterns, keys, compat, bracketed, reach)
     nodes = hits.select(
-        *keys, F.concat(F.lit("X_"), F.col("rule").cast("string")).alias("id"), F.col("name").alias("text"), "type",
-        "hit.evidence", "hit.turn_id", "hit.via", F.col("rule").cast("bigint").alias("ord"))
+        *keys, F.concat(F.lit("X_"), F.col("rule").cast("string")).alias("id"),
+        canonicalize_text(F.col("name"), aliases).alias("text"), "type",
+        "evidence", "turn_id", "via", F.col("rule").cast("bigint").alias("ord"))
     if present is None:
         return nodes
     have = present.select("res_id", canonicalize_text(F.col("text"), aliases).alias("text"),

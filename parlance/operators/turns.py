@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import strip_ws
@@ -59,16 +59,19 @@ def split_dialogue(dialogues: DataFrame, role_names: list[str]) -> DataFrame:
         F.substring_index("_piece", _END, 1).alias("role"), F.substring_index("_piece", _END, -1).alias("text"))
 
 
+def turn_line(bracketed: bool = False) -> Column:
+    """How a turn is written in a transcript."""
+    if bracketed:
+        return F.concat(F.lit("["), "turn_id", F.lit("] "), "speaker", F.lit(": "), "text")
+    return F.concat_ws(": ", "turn_id", "text")
+
+
 def render_transcript(turns: DataFrame, bracketed: bool = False) -> DataFrame:
     """(res_id, text): a transcript's turns joined by newlines, as one text.
 
-    A transcript is one value here as it is one file elsewhere; work on turns as rows where one
-    conversation may be too large for a value.
+    A transcript is one value here as it is one file elsewhere; patterns are found on turns as rows.
     """
-    if bracketed:
-        line = F.concat(F.lit("["), "turn_id", F.lit("] "), "speaker", F.lit(": "), "text")
-    else:
-        line = F.concat_ws(": ", "turn_id", "text")
+    line = turn_line(bracketed)
     return turns.groupBy("res_id").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n"

@@ -16,12 +16,14 @@ from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 def enrich_graph(
     nodes: DataFrame, edges: DataFrame, transcripts: DataFrame,
-    patterns: list[tuple] = clinical.PATTERNS, rules: list[tuple] | None = None,
+    patterns: list[tuple] | DataFrame = clinical.PATTERNS, rules: list[tuple] | None = None,
     aliases: dict[str, str] | None = clinical.ALIASES, low_value: str = clinical.LOW_VALUE_REGEX,
     node_types: list[str] = NODE_TYPES, edge_types: list[str] = EDGE_TYPES, compat: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Drop low-value denials, add what patterns prove, then what the relation rules imply.
 
+    ``transcripts``: whole texts, or turns as rows, which have a column ``seq``.
+
     The nodes are used by several branches, so they are stored after each of the two steps
     that cost most: extraction and renumbering.
     """
