@@ -402,15 +402,25 @@ def run_intersection(spark, sf):
     return ln.run_intersection(orders.filter(F.col("y") == 1996), orders.filter(F.col("y") == 1997), "id")
 
 
-@query("candidate_edges", f"""
+_CANDIDATES_SQL = f"""
 WITH {MENTIONS_SQL},
 m AS (SELECT res_id, seq, label AS text, type, count(*) AS c FROM mentions GROUP BY 1, 2, 3, 4),
-allowed AS {values_sql(ALLOWED_PAIRS, ["edge_type", "src_type", "tgt_type"])}
-SELECT s.res_id, edge_type, s.text AS src_text, src_type, t.text AS tgt_text, tgt_type,
-       min(abs(s.seq - t.seq)) AS min_gap, CAST(sum(s.c * t.c) AS BIGINT) AS cooccurrences
-FROM m s JOIN allowed ON s.type = src_type JOIN m t ON s.res_id = t.res_id AND t.type = tgt_type
-     AND abs(s.seq - t.seq) <= 2 AND (s.text, s.type) <> (t.text, t.type)
-GROUP BY ALL""")
-def candidate_edges(spark, sf):
+allowed AS {values_sql(ALLOWED_PAIRS, ["edge_type", "src_type", "tgt_type"])},
+scored AS (SELECT s.res_id, edge_type, s.text AS src_text, src_type, t.text AS tgt_text, tgt_type,
+                  min(abs(s.seq - t.seq)) AS min_gap, CAST(sum(s.c * t.c) AS BIGINT) AS cooccurrences
+           FROM m s JOIN allowed ON s.type = src_type JOIN m t ON s.res_id = t.res_id AND t.type = tgt_type
+                AND abs(s.seq - t.seq) <= 2 AND (s.text, s.type) <> (t.text, t.type) GROUP BY ALL)
+SELECT * FROM scored"""
+
+
+@query("candidate_edges", _CANDIDATES_SQL)
+def candidate_edges(spark, sf, k=None):
     found = mentions(spark, sf).select("res_id", "seq", F.col("label").alias("text"), "type")
-    return ln.candidate_edges(found, ALLOWED_PAIRS, 2)
+    return ln.candidate_edges(found, ALLOWED_PAIRS, 2, k)
+
+
+@query("candidate_edges_top_k", _CANDIDATES_SQL + """
+QUALIFY row_number() OVER (PARTITION BY res_id, src_text, src_type
+                           ORDER BY min_gap, cooccurrences DESC, edge_type, tgt_text, tgt_type) <= 3""")
+def candidate_edges_top_k(spark, sf):
+    return candidate_edges(spark, sf, 3)

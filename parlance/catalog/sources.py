@@ -403,18 +403,15 @@ def flatten_buckets(spark, sf):
 
 @query("read_category_results", f"""
 WITH {ITEMS_SQL}
-SELECT 'R_' || res_id % 40 AS res_id, category, bucket, CASE WHEN bucket = 'matched' THEN text END AS label,
+SELECT 'R_' || res_id AS res_id, category, bucket, CASE WHEN bucket = 'matched' THEN text END AS label,
        CASE WHEN bucket = 'matched' THEN '' ELSE text END AS text, src, dst, 'value ' || v AS quote FROM items""")
 def read_category_results(spark, sf):
-    """The answers of each group of users and category as a file, read by the operator."""
-    names = ["matched", "other", "fine_grained"]
-    one = event_results(spark, sf).withColumn("res_id", F.concat(F.lit("R_"), (F.col("res_id") % 40).cast("string")))
-    docs = one.groupBy("res_id", "category").agg(*[F.flatten(F.collect_list(b)).alias(b) for b in names])
-    files = docs.select(
-        F.concat("res_id", F.lit("/"), "res_id", F.lit("_"), "category", F.lit(".json")).alias("path"),
-        F.to_json(F.struct(*names)).alias("text"))
-    results = kgdocs.read_category_results(spark, _written(files, "answers"))
-    return rs.bucket_items(results, ["res_id", "category"]).select(
+    """Every answer as a line of its transcript and category, read by the operator."""
+    lines = event_results(spark, sf).select(F.concat(F.lit("R_"), F.col("res_id").cast("string")).alias("res_id"), "category",
+                                            "matched", "other", "fine_grained")
+    root = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    lines.write.json(root)
+    return rs.bucket_items(kgdocs.read_category_results(spark, root, lines=True), ["res_id", "category"]).select(
         "res_id", "category", "bucket", "label", "text", "src", "dst", "quote")
 
 

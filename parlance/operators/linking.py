@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import canonicalize_text, norm_key
@@ -111,8 +111,12 @@ def run_intersection(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full").select(key, side.alias("side"))
 
 
-def candidate_edges(mentions: DataFrame, allowed: list[tuple[str, str, str]] | DataFrame, window: int = 2) -> DataFrame:
-    """Type-compatible entity pairs that occur at most ``window`` turns apart.
+def candidate_edges(
+    mentions: DataFrame, allowed: list[tuple[str, str, str]] | DataFrame, window: int = 2, k: int | None = None,
+) -> DataFrame:
+    """Type-compatible entity pairs that occur at most ``window`` turns apart; of each source all, or the ``k`` best.
+
+    The nearest are best, then those that occur together most often, then the first by relation, text and type.
 
     ``mentions`` has res_id, seq, text, type. Mentions are counted per turn first; turns are
     cut into bands as wide as the window, and a source meets only its own and the two
@@ -131,5 +135,11 @@ def candidate_edges(mentions: DataFrame, allowed: list[tuple[str, str, str]] | D
     gap = F.abs(F.col("src_seq") - F.col("tgt_seq"))
     different = (F.col("src_text") != F.col("tgt_text")) | (F.col("src_type") != F.col("tgt_type"))
     near = src.join(tgt, ["res_id", "band", "tgt_type"]).filter((gap <= window) & different)
-    return near.groupBy("res_id", "edge_type", "src_text", "src_type", "tgt_text", "tgt_type").agg(
+    scored = near.groupBy("res_id", "edge_type", "src_text", "src_type", "tgt_text", "tgt_type").agg(
         F.min(gap).alias("min_gap"), F.sum(F.col("src_n") * F.col("tgt_n")).alias("cooccurrences"))
+    if k is None:
+        return scored
+    # Spark keeps the k best of every source in each task before it shuffles them, and again behind.
+    best = Window.partitionBy("res_id", "src_text", "src_type").orderBy(
+        "min_gap", F.desc("cooccurrences"), "edge_type", "tgt_text", "tgt_type")
+    return scored.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.text import id_from_stem, sanitize_id
 from parlance.schema import BUCKET_DOC, KG_DOC
@@ -24,33 +25,69 @@ def explode_kg(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows("nodes"), rows("edges")
 
 
+_NODE = ["id", "text", "type", "evidence", "turn_id"]
+_EDGE = ["source_id", "target_id", "type", "evidence", "turn_id"]
+
+
 def pack_kg(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One document per transcript, its lists in the order of ``ord``."""
+    """One row per transcript, its lists in the order of ``ord``: for formats in which a document is one value."""
     def packed(df: DataFrame, field: str, names: list[str]) -> DataFrame:
         item = F.struct("ord", *names)
         return df.groupBy("res_id").agg(
             F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*[x[n].alias(n) for n in names]))
             .alias(field))
-    n = packed(nodes, "nodes", ["id", "text", "type", "evidence", "turn_id"])
-    e = packed(edges, "edges", ["source_id", "target_id", "type", "evidence", "turn_id"])
+    n, e = packed(nodes, "nodes", _NODE), packed(edges, "edges", _EDGE)
     return n.join(e, "res_id", "full").withColumns({
         "nodes": F.coalesce("nodes", F.array().cast(KG_DOC["nodes"].dataType)),
         "edges": F.coalesce("edges", F.array().cast(KG_DOC["edges"].dataType)),
     })
 
 
+def kg_fragments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The documents as lines of JSON in pieces (value), sorted so that a task writes one after the other: the head, a
+    piece per node, the bridge, a piece per edge, the end. No document is ever one value."""
+    def part(df: DataFrame, section: int, names: list[str]) -> DataFrame:
+        return df.select("res_id", F.lit(section).alias("section"), "ord", F.to_json(F.struct(*names)).alias("value"))
+
+    items = part(nodes, 1, _NODE).unionByName(part(edges, 3, _EDGE))
+    key = F.col("res_id").cast("string")
+    named = F.to_json(F.struct(key.alias("res_id"), sanitize_id(key).alias("file_id")))
+    head = F.concat(F.substr(named, F.lit(1), F.length(named) - 1), F.lit(', "nodes": ['))
+    frame = F.array(*[F.struct(F.lit(s).alias("section"), v.alias("value")) for s, v in (
+        (0, head), (2, F.lit('], "edges": [')), (4, F.lit("]}\n")))])
+    frames = items.select("res_id").distinct().select("res_id", F.inline(frame)).withColumn(
+        "ord", F.lit(None).cast(items.schema["ord"].dataType))
+    order = ["section", "ord", "value"]
+    before = F.lag("section").over(Window.partitionBy("res_id").orderBy(*order))
+    # A comma stands before every item but the first of its list.
+    comma = F.when(before == F.col("section"), ",").otherwise("")
+    return items.unionByName(frames).withColumn("value", F.concat(comma, "value")).sortWithinPartitions(
+        "res_id", *order).select("value")
+
+
 def write_kg(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "json") -> None:
     """Write documents under their own ids; Spark's commit protocol makes the write atomic.
 
-    ``file_id`` is the sanitised id, for those who name files after it; two ids may share one.
+    ``file_id`` is the sanitised id, for those who name files after it; two ids may share one. JSON is written from
+    sorted rows as they pass, in memory that no graph's size moves; in any other format a document is one row.
     """
+    if fmt == "json":
+        # White space may stand between any two pieces.
+        kg_fragments(nodes, edges).write.mode("overwrite").text(path, lineSep=" ")
+        return
     docs = pack_kg(nodes, edges).withColumn("res_id", F.col("res_id").cast("string")).withColumn(
         "file_id", sanitize_id(F.col("res_id")))
     docs.write.mode("overwrite").format(fmt).save(path)
 
 
-def read_category_results(spark: SparkSession, path: str) -> DataFrame:
-    """Per-transcript, per-category answers ``<res>_<CATEGORY>.json``; absent files add nothing."""
+def read_category_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Per-transcript, per-category answers ``<res>_<CATEGORY>.json``; absent files add nothing.
+
+    ``lines``: files of one answer a line, which name their transcript (res_id) and category themselves; a transcript
+    may have several lines of a category, so that no list needs to be one value.
+    """
+    if lines:
+        return spark.read.schema(T.StructType([T.StructField("res_id", T.StringType()), *BUCKET_DOC])).json(path)
     stem = file_stem(F.col("_metadata.file_path"))
     category = F.regexp_extract(stem, r"_([A-Z]+(?:_[A-Z]+)*)$", 1)
     return spark.read.schema(BUCKET_DOC).json(path, multiLine=True, recursiveFileLookup=True,

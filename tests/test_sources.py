@@ -47,6 +47,31 @@ def test_kg_round_trip(spark, tmp_path, fmt):
     assert sorted(r.res_id for r in back_edges.collect()) == ["R_1", "R_2"]
 
 
+def test_a_large_graph_is_written_as_it_passes(spark, tmp_path):
+    n = 200_000
+    nodes = spark.range(n).selectExpr("'R_1' res_id", "concat('N_', id) id", "concat('t', char(10), char(34), id) text", "'A' type",
+                                      "'' evidence", "null turn_id", f"{n} - id ord")
+    nodes = nodes.union(spark.range(3).selectExpr("concat('Q', id)", "'N'", "'one'", "'A'", "null", "'D-1'", "0L"))
+    edges = spark.range(n).selectExpr("'R_1' res_id", "concat('N_', id) source_id", "'N_0' target_id", "'X' type", "'' evidence", "'' turn_id", "id ord")
+    plan = kgdocs.kg_fragments(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    out = str(tmp_path / "large")
+    kgdocs.write_kg(nodes, edges, out)
+    back, links = kgdocs.explode_kg(kgdocs.read_kg(spark, out))
+    assert back.filter("res_id = 'R_1'").count() == n == links.count() and back.count() == n + 3
+    top = back.filter("res_id = 'R_1'").orderBy("ord").first()
+    assert (top.id, top.text, top.turn_id) == (f"N_{n - 1}", f't\n"{n - 1}', None)
+    assert [r.source_id for r in links.orderBy("ord").limit(3).collect()] == ["N_0", "N_1", "N_2"]
+
+
+def test_answers_as_lines(spark, tmp_path):
+    out = str(tmp_path / "lines")
+    spark.createDataFrame([("R_1", "SYMPTOM", [("a",)]), ("R_1", "SYMPTOM", [("b",), ("c",)]), ("R_2", "LAB", None)],
+                          "res_id string, category string, other array<struct<text:string>>").write.json(out)
+    got = kgdocs.read_category_results(spark, out, lines=True)
+    assert sorted((r.res_id, r.category, len(r.other or [])) for r in got.collect()) == [("R_1", "SYMPTOM", 1), ("R_1", "SYMPTOM", 2), ("R_2", "LAB", 0)]
+
+
 def test_read_kg_takes_id_from_file_name(spark, tmp_path):
     put(tmp_path / "RES7_v7.json", json.dumps({"nodes": [{"id": "N_001", "text": "x", "type": "SYMPTOM"}], "edges": [],
                                               "_usage": {"prompt_tokens": 1}}, indent=2))
