@@ -123,3 +123,22 @@ def test_stream_reads_each_transcript_once(spark, tmp_path):
     put(tmp_path / "in" / "RES3" / "RES3.txt", "D-1: cough?")
     put(tmp_path / "in" / "again" / "RES1" / "RES1.txt", "[P-1] P: a cough")
     assert run() == first + [("RES3", "D-1", "cough")]
+
+
+def test_stream_takes_the_smallest_text_of_a_batch(spark, tmp_path):
+    vocab = spark.createDataFrame([("cough", "SYMPTOM"), ("rash", "SYMPTOM")], "label string, entity_type string")
+    put(tmp_path / "in" / "a" / "RES1.txt", "[P-1] P: rash")
+    put(tmp_path / "in" / "b" / "RES1.txt", "[P-1] P: cough")
+    put(tmp_path / "in" / "c" / "RES1.txt", "[P-2] P: rash")
+    def run(out, state):
+        incremental_ingest_stream(transcript_stream(spark, str(tmp_path / "in")), vocab, str(tmp_path / out),
+                                  str(tmp_path / state)).awaitTermination()
+        return [(r.res_id, r.label) for r in spark.read.parquet(str(tmp_path / out)).collect()]
+    assert run("out1", "state1") == [("RES1", "cough")] == run("out2", "state2")
+    # A batch whose commit was lost runs again, from the same state, over its own folder.
+    commits = sorted((tmp_path / "state1" / "commits").glob("*"))
+    for f in commits:
+        f.unlink()
+    assert run("out1", "state1") == [("RES1", "cough")]
+    put(tmp_path / "in" / "d" / "RES1.txt", "[P-1] P: a rash")
+    assert run("out1", "state1") == [("RES1", "cough")]
