@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import canonicalize_text, normalize_ws, strip_ws, word_tokens
+from parlance.operators.patterns import turn_windows
+from parlance.operators.turns import turn_line
 from parlance.runtime import rule_table, stored
 
 
@@ -27,15 +29,14 @@ def keep_ids_filter(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def grounding_filter(
-    df: DataFrame, transcripts: DataFrame, min_share: float = 0.6, short: int = 3,
+    df: DataFrame, transcripts: DataFrame, min_share: float = 0.6, short: int = 3, bracketed: bool = True, reach: int = 1,
 ) -> DataFrame:
     """Drop rows whose non-empty evidence the transcript does not support.
 
-    Every distinct (transcript, quote) is judged once; a transcript may come in parts. Quotes that are not verbatim are
-    compared word by word through an equality join, so no text is scanned per word; only the words of transcripts
-    with such a quote are listed.
+    Every distinct (transcript, quote) is judged once; a transcript may come in parts, or as turns (see
+    ``supported_quotes``).
     """
-    return keep_supported(df, supported_quotes(df.select("res_id", "evidence"), transcripts, min_share, short))
+    return keep_supported(df, supported_quotes(df.select("res_id", "evidence"), transcripts, min_share, short, bracketed, reach))
 
 
 def keep_supported(df: DataFrame, supported: DataFrame) -> DataFrame:
@@ -46,25 +47,45 @@ def keep_supported(df: DataFrame, supported: DataFrame) -> DataFrame:
 
 
 def supported_quotes(
-    quotes: DataFrame, transcripts: DataFrame, min_share: float = 0.6, short: int = 3,
+    quotes: DataFrame, transcripts: DataFrame, min_share: float = 0.6, short: int = 3, bracketed: bool = True, reach: int = 1,
 ) -> DataFrame:
-    """The distinct quotes (res_id, evidence) that their transcript supports, normalised as ``_ev``."""
-    quotes = quotes.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(
-        F.col("_ev") != "").distinct()
-    texts = transcripts.select("res_id", normalize_ws(F.col("text")).alias("_tr"))
-    judged = stored(quotes.join(texts, "res_id", "left").groupBy("res_id", "_ev").agg(
-        F.bool_or(F.coalesce(F.contains("_tr", "_ev"), F.lit(False))).alias("_verbatim")).withColumn(
-        "_words", word_tokens(F.col("_ev"))))
-    easy = F.col("_verbatim") | (F.size("_words") <= short)
-    # Settled quotes travel on as one row without a word, so the texts are read in one branch.
-    counted = judged.select("res_id", "_ev", easy.alias("_easy"), F.explode_outer(
-        F.when(~easy, F.col("_words"))).alias("_word")).groupBy("res_id", "_ev", "_easy", "_word").count()
-    open_ = judged.filter(~easy).select("res_id").distinct()
-    words = texts.join(open_, "res_id", "left_semi").select("res_id", F.explode(F.array_distinct(word_tokens(F.col("_tr")))).alias("_word")).distinct()
-    share = F.sum(F.col("count") * F.coalesce("_known", F.lit(0))) / F.sum("count")
-    return counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy(
-        "res_id", "_ev").agg(share.alias("_share"), F.bool_or("_easy").alias("_easy")).filter(
-        F.col("_easy") | (F.col("_share") >= min_share)).select("res_id", "_ev", F.lit(True).alias("_ok"))
+    """The distinct quotes (res_id, evidence) that their transcript supports, normalised as ``_ev``.
+
+    ``transcripts``: whole texts, in one part or several, or turns as rows (with a column ``seq``), where a verbatim
+    quote may cross ``reach`` turn borders. Short quotes always pass. Others meet the words of their transcript in one
+    equality join; the few that too few words support may still be verbatim, if their first or last word is a part of
+    one. Their inner words are whole, so they meet the texts on the first two inner words, and only texts that hold
+    both side by side are compared with them: no text is ever sent to each of its quotes.
+    """
+    found = stored(quotes.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(F.col("_ev") != "").distinct().withColumns({
+        "_words": word_tokens(F.col("_ev")), "_quote": F.monotonically_increasing_id()}))
+    # Rows of words carry the number of their quote, never its text.
+    easy = found.filter(F.size("_words") <= short).select("_quote")
+    open_ = found.filter(F.size("_words") > short)
+    rows = "seq" in transcripts.columns
+    lines = transcripts.select("res_id", (turn_line(bracketed) if rows else F.col("text")).alias("text"))
+    sought = open_.select("res_id").distinct()
+    words = lines.join(sought, "res_id", "left_semi").select(
+        "res_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("_word")).distinct()
+    counted = open_.select("res_id", "_quote", F.explode("_words").alias("_word")).groupBy("res_id", "_quote", "_word").count()
+    shared = stored(counted.join(words.withColumn("_known", F.lit(1)), ["res_id", "_word"], "left").groupBy("_quote").agg(
+        F.sum(F.col("count") * F.coalesce("_known", F.lit(0))).alias("_hits"), F.sum("count").alias("_all")))
+    enough = F.col("_hits") / F.col("_all") >= min_share
+    # A verbatim quote has at most two words that are no whole words of the transcript.
+    rest = open_.join(shared.filter(~enough & (F.col("_hits") >= F.col("_all") - 2)).select("_quote"), "_quote")
+    windows = turn_windows(transcripts, bracketed, reach).select("res_id", "seq", "text") if rows else transcripts.select(
+        "res_id", F.xxhash64("text").alias("seq"), "text")
+    places = windows.join(rest.select("res_id").distinct(), "res_id", "left_semi").select(
+        "res_id", "seq", normalize_ws(F.col("text")).alias("_tr"))
+    # The empty pair, which every text has, is for quotes of fewer than four words.
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    inner = F.when(F.size("_words") > 3, F.concat_ws(" ", F.get("_words", F.lit(1)), F.get("_words", F.lit(2)))).otherwise("")
+    keyed = rest.select("res_id", "_quote", "_ev", inner.alias("_pair"))
+    held = places.select("res_id", "seq", F.explode(F.array_append(F.array_distinct(pairs(word_tokens(F.col("_tr")))), F.lit(""))).alias("_pair"))
+    met = held.join(keyed, ["res_id", "_pair"]).select("res_id", "seq", "_quote", "_ev")
+    verbatim = met.join(places, ["res_id", "seq"]).filter(F.contains("_tr", "_ev")).select("_quote").distinct()
+    good = easy.unionByName(shared.filter(enough).select("_quote")).unionByName(verbatim)
+    return found.join(good, "_quote").select("res_id", "_ev", F.lit(True).alias("_ok"))
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:

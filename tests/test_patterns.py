@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions.text import evidence_supported
 from parlance.operators import extract as ex
+from parlance.operators import filters as fl
 from parlance.operators import patterns as pt
 from parlance.operators.turns import render_transcript
 
@@ -90,3 +92,35 @@ def test_context_of_hits(spark):
     vocab = spark.createDataFrame([("the", "X"), ("the c", "Y")], "label string, entity_type string")
     got = {(r.res_id, r.label): (r.start, r.before, r.after) for r in ex.lexicon_extract(texts, vocab, ["res_id"], 2, 3).collect()}
     assert got == {("r", "the"): (2, ["a", "b"], ["c", "d", "e"]), ("r", "the c"): (2, ["a", "b"], ["d", "e"]), ("s", "the"): (0, [], [])}
+
+
+def quotes_of(rows, seed):
+    """Cuts of transcripts, whole and in the middle of words, other words, and what none of them holds."""
+    rnd = random.Random(seed)
+    lines = {}
+    for res, seq, turn, who, text in rows:
+        lines.setdefault(res, []).append(f"[{turn}] {who}: {text}")
+    out = [("gone", "not a word of it here"), ("gone", "two words"), ("r1", ""), ("r1", None), ("r1", " ... ")]
+    for res, own in lines.items():
+        whole = "\n".join(own)
+        for _ in range(12):
+            at = rnd.randrange(len(whole))
+            out.append((res, whole[at:at + rnd.randrange(5, 60)].upper() if rnd.random() < 0.3 else whole[at:at + rnd.randrange(5, 40)]))
+        out.append((res, " ".join(rnd.choices(whole.split() + ["absent", "unheard", "other"], k=6))))
+        out.append((res, "xchest painx fever no rashx"))
+    return out
+
+
+@pytest.mark.parametrize("share, short", [(0.6, 3), (0.95, 3), (0.9, 1)])
+def test_quotes_as_the_function_on_whole_texts_judges_them(spark, share, short):
+    rows = [r for r in talk(5) if r[0] != "r2"]
+    turns = spark.createDataFrame(rows, TURN)
+    quotes = spark.createDataFrame(quotes_of(rows, 6), "res_id string, evidence string")
+    whole = render_transcript(turns, True)
+    want = sorted((r.res_id, r.evidence) for r in quotes.join(whole, "res_id", "left").filter(
+        evidence_supported(F.col("evidence"), F.coalesce("text", F.lit("")), share, short)).select("res_id", "evidence").collect())
+    assert 100 < len(want) < 350
+    for texts in (whole, turns):
+        # Quotes of up to sixty characters lie within seven lines.
+        kept = fl.grounding_filter(quotes, texts, share, short, reach=5).filter("trim(evidence) != ''")
+        assert sorted((r.res_id, r.evidence) for r in kept.collect()) == [w for w in want if w[1].strip()]
