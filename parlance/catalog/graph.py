@@ -389,7 +389,8 @@ UNION ALL SELECT res_id, source_id, target_id, type, evidence, turn_id, ord + 10
 def add_inferred_edges(spark, sf):
     nodes = conversation_nodes(spark, sf)
     given = idt.dedup_edges(ln.infer_edges(nodes, DEMO_RULES, ["indicates", "located_at"], DEMO_ALIASES))
-    return ln.add_inferred_edges(given, ln.infer_edges(nodes, DEMO_RULES, aliases=DEMO_ALIASES))
+    merged = ln.add_inferred_edges(given, ln.infer_edges(nodes, DEMO_RULES, aliases=DEMO_ALIASES))
+    return merged.withColumn("ord", F.col("ord.at") + F.col("ord.source") * F.lit(1 << 40))
 
 
 @query("run_intersection", """

@@ -62,22 +62,30 @@ def unresolved_edges(resolved: DataFrame) -> DataFrame:
 
 
 def infer_edges(
-    nodes: DataFrame, rules: list[tuple], rule_sets: list[str] | None = None,
+    nodes: DataFrame, rules: list[tuple] | DataFrame, rule_sets: list[str] | None = None,
     aliases: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Edges that rules (rule_set, ord, src, src_types, tgt, tgt_types, type) derive.
+    """Edges that rules (rule_set, ord, src, src_types, tgt, tgt_types, type) derive, a list or a table of any size.
 
-    Rule endpoints are broadcast and nodes grouped by (transcript, rule): one shuffle of the
+    Rule endpoints meet the nodes in one equality join, and nodes are grouped by (transcript, rule): one shuffle of the
     few matching nodes instead of a self-join. A side with several types takes the first
     type present. Evidence falls back from source to target.
     """
-    ends = []
-    for rule_set, rule, src, src_types, tgt, tgt_types, edge_type in rules:
-        if rule_sets is None or rule_set in rule_sets:
-            ends += [(rule, edge_type, "src", src, t, i) for i, t in enumerate(src_types)]
-            ends += [(rule, edge_type, "tgt", tgt, t, i) for i, t in enumerate(tgt_types)]
-    table = rule_table(nodes.sparkSession, ends, ["rule", "edge_type", "side", "text", "type", "prio"]).withColumn(
-        "text", canonicalize_text(F.col("text"), aliases))
+    names = ["rule", "edge_type", "side", "text", "type", "prio"]
+    if isinstance(rules, DataFrame):
+        given = rules.toDF("rule_set", "rule", "src", "src_types", "tgt", "tgt_types", "edge_type")
+        given = given if rule_sets is None else given.filter(F.col("rule_set").isin(rule_sets))
+        src, tgt = (given.select("rule", "edge_type", F.lit(side).alias("side"), F.col(side).alias("text"),
+                                 F.posexplode(f"{side}_types").alias("prio", "type")).select(*names) for side in ("src", "tgt"))
+        table = src.unionByName(tgt)
+    else:
+        ends = []
+        for rule_set, rule, src, src_types, tgt, tgt_types, edge_type in rules:
+            if rule_sets is None or rule_set in rule_sets:
+                ends += [(rule, edge_type, "src", src, t, i) for i, t in enumerate(src_types)]
+                ends += [(rule, edge_type, "tgt", tgt, t, i) for i, t in enumerate(tgt_types)]
+        table = rule_table(nodes.sparkSession, ends, names)
+    table = table.withColumn("text", canonicalize_text(F.col("text"), aliases))
     hits = nodes.withColumn("text", F.lower("text")).join(table, ["text", "type"])
     best = F.struct("prio", "ord", "id", "evidence", "turn_id")
     paired = hits.groupBy("res_id", "rule", "edge_type").agg(
@@ -95,12 +103,14 @@ def infer_edges(
 
 
 def add_inferred_edges(edges: DataFrame, inferred: DataFrame) -> DataFrame:
-    """Existing edges plus the inferred ones they do not already contain."""
+    """Existing edges plus the inferred ones they do not already contain; ``ord`` becomes (source, at), as inferred edges
+    follow the given ones."""
     key = ["res_id", "source_id", "target_id", "type"]
     fresh = dedup_edges(inferred.filter(F.col("source_id") != F.col("target_id"))).join(
         edges.select(*key).distinct(), key, "left_anti")
-    # Inferred edges follow the given ones: their order starts beyond any edge position.
-    return edges.unionByName(fresh.select(*edges.columns).withColumn("ord", F.col("ord") + F.lit(1 << 40)))
+    given, new = (df.select(*edges.columns).withColumn("ord", F.struct(F.lit(i).alias("source"), F.col("ord").cast("bigint").alias("at")))
+                  for i, df in enumerate((edges, fresh)))
+    return given.unionByName(new)
 
 
 def run_intersection(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

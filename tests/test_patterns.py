@@ -7,6 +7,7 @@ from parlance.functions.text import evidence_supported
 from parlance.operators import extract as ex
 from parlance.operators import filters as fl
 from parlance.operators import patterns as pt
+from parlance.operators.linking import add_inferred_edges, infer_edges
 from parlance.operators.turns import render_transcript
 
 TURN = "res_id string, seq bigint, turn_id string, speaker string, text string"
@@ -124,3 +125,16 @@ def test_quotes_as_the_function_on_whole_texts_judges_them(spark, share, short):
         # Quotes of up to sixty characters lie within seven lines.
         kept = fl.grounding_filter(quotes, texts, share, short, reach=5).filter("trim(evidence) != ''")
         assert sorted((r.res_id, r.evidence) for r in kept.collect()) == [w for w in want if w[1].strip()]
+
+
+def test_relation_rules_as_a_table(spark):
+    nodes = spark.createDataFrame([("r", f"N_{i}", f"text {i}", "AB"[i % 2], "e", "D-1", i) for i in range(40)],
+                                  "res_id string, id string, text string, type string, evidence string, turn_id string, ord bigint")
+    rules = [("s" if i % 2 else "t", i, f"text {i}", ["A", "B"], f"text {i + 1}", ["B", "A"], "LINK") for i in range(20_000)]
+    table = spark.createDataFrame(rules, "rule_set string, ord bigint, src string, src_types array<string>, tgt string, tgt_types array<string>, type string")
+    got = sorted(tuple(r) for r in infer_edges(nodes, table).collect())
+    assert len(got) == 39 and got == sorted(tuple(r) for r in infer_edges(nodes, rules[:100]).collect())
+    assert infer_edges(nodes, table, ["s"]).count() == 19
+    given = infer_edges(nodes, rules[:3]).withColumn("ord", F.col("ord") + (1 << 50))
+    merged = add_inferred_edges(given, infer_edges(nodes, table))
+    assert [r.source_id for r in merged.orderBy("ord").collect()][:4] == ["N_0", "N_1", "N_2", "N_3"] and merged.count() == 39
