@@ -251,12 +251,12 @@ def to_ask(a: np.ndarray, low: np.ndarray, high: np.ndarray, best: np.ndarray, s
 def best_labels(units: np.ndarray, ords: np.ndarray, label_units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best label of each row and its cosine; labels come by ``ord``, and the first of equals wins.
 
-    Cosines are rounded to 12 digits, so that equal vectors tie in whatever block they are compared.
+    Cosines are compared by 12 digits, so that equal vectors tie in whatever block they are compared.
     """
     at, best = np.zeros(len(units), int), np.zeros(len(units))
     for i in range(0, len(units), BLOCK_ROWS):
-        sims = np.round(units[i:i + BLOCK_ROWS] @ label_units.T, 12)
-        at[i:i + BLOCK_ROWS] = sims.argmax(axis=1)
+        sims = units[i:i + BLOCK_ROWS] @ label_units.T
+        at[i:i + BLOCK_ROWS] = np.round(sims, 12).argmax(axis=1)
         best[i:i + BLOCK_ROWS] = sims[np.arange(len(sims)), at[i:i + BLOCK_ROWS]]
     return at, best
 
@@ -299,6 +299,7 @@ def nearest_in_cells(nodes: DataFrame, vocab: DataFrame, block_rows: int = BLOCK
         groups, "type").select("type", "embedding", "_group", F.monotonically_increasing_id().alias("_vid"), F.lit(0).alias("_seen"),
                                F.lit(None).cast("string").alias("_label"), F.lit(None).cast("bigint").alias("_ord"),
                                F.lit(0.0).alias("_best")))
+    rank = lambda b, o, name: F.struct(F.round(b, 12).alias("r"), (-o).alias("o"), name.alias("l"), b.alias("b"))
     done, width = [], 1
     while True:
         # Non-deterministic only so that it is evaluated once for both filters.
@@ -324,11 +325,9 @@ def nearest_in_cells(nodes: DataFrame, vocab: DataFrame, block_rows: int = BLOCK
 
         key = ["type", "_cell", "_block", "_chunk"]
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, _FOUND)
-        best = found.groupBy("_vid").agg(F.max(F.struct("_best", (-F.col("_ord")).alias("o"), "_label")).alias("_new"))
-        rank = lambda b, o, name: F.struct(b.alias("b"), (-o).alias("o"), name.alias("l"))
+        best = found.groupBy("_vid").agg(F.max(rank(F.col("_best"), F.col("_ord"), F.col("_label"))).alias("new"))
         old = F.when(F.col("_label").isNotNull() | F.col("_ord").isNotNull(), rank(F.col("_best"), F.col("_ord"), F.col("_label")))
-        new = F.when(F.col("_new").isNotNull(), rank(F.col("_new._best"), -F.col("_new.o"), F.col("_new._label")))
-        state = open_.join(best, "_vid", "left").withColumn("_top", F.greatest(old, new)).select(
+        state = open_.join(best, "_vid", "left").withColumn("_top", F.greatest(old, "new")).select(
             "type", "embedding", "_group", "_vid", (F.col("_seen") + width).alias("_seen"), F.col("_top.l").alias("_label"),
             (-F.col("_top.o")).alias("_ord"), F.coalesce("_top.b", F.lit(0.0)).alias("_best"))
         width *= 2
