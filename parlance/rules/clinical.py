@@ -338,7 +338,7 @@ ENDPOINT_PRIORITY = {
     "CONFIRMS": (["LAB_RESULT", "PROCEDURE"], ["DIAGNOSIS"]),
 }
 
-# Cue words of the deterministic extraction rules.
+# Cue words of the deterministic extraction rules.
 OUTCOME_ANCHORS = [
     "unremarkable", "stable", "clear", "normal", "negative", "positive",
     "elevated", "decreased", "mild", "moderate", "severe",
@@ -347,8 +347,6 @@ HISTORY_CUES = ["prior", "past", "previous", "history of"]
 RELATIVES = ["mother", "father", "brother", "sister", "cousin", "grandmother", "grandfather", "family"]
 BLANKET_NEGATIVE = r"^\s*(?:none of (?:that|those)|not really|i'm fine|no|nope)\b"
 EXAM_DENIALS = ["no {x}", "no evidence of {x}", "negative for {x}", "clear of {x}", "{x} is normal"]
-COLOURS = ["bright red", "dark", "red", "yellow", "green", "brown", "black", "white", "clear"]
-STOP_LOCATIONS = ["clinic", "er", "hospital", "yesterday", "last week", "mountains"]
 
 
 def relation_rules() -> list[tuple]:
