@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -56,14 +57,64 @@ def test_em_is_the_slow_one(model):
         assert any(np.allclose(g, share) for g in got)
 
 
-def test_long_texts_in_pieces_and_groups(model, monkeypatch):
-    text = say(random.Random(4), "aa", 500).encode()
+def test_long_texts_in_runs(model, monkeypatch):
+    text = (say(random.Random(4), "aa", 500) + " , " + "日本" * 40).encode()
     whole = L._word_likelihoods(text, model.table)
-    monkeypatch.setattr(L, "RUN", 30)
-    assert np.allclose(L._word_likelihoods(text, model.table), whole)
-    monkeypatch.setattr(L, "WORDS", 10)
-    few = L._word_likelihoods(text, model.table)
-    assert len(few) <= 10 and np.allclose(few.sum(0), whole.sum(0))
+    assert len(whole) == 501
+    for run in (1, 7, 30):
+        monkeypatch.setattr(L, "RUN", run)
+        assert np.allclose(L._word_likelihoods(text, model.table), whole)
+
+
+@pytest.mark.parametrize("keep", [0, 1 << 25])
+def test_a_long_text_gets_the_em_of_all_its_words(model, monkeypatch, keep):
+    monkeypatch.setattr(L, "KEEP", keep)
+    rng = random.Random(5)
+    texts = [say(rng, "aa", 300), " ".join(say(rng, lang, 1) for lang in ("aa", "bb") * 200),
+             say(rng, "cc", 200) + "\n" + say(rng, "bb", 90) + " " + say(rng, "aa", 60), "é" * 5000, "x", "12"]
+    short = L.infer([L._word_likelihoods(t.encode(), model.table) for t in texts])
+    assert [len(c) for c in short[:3]] == [1, 2, 3]
+    for text, want in zip(texts, short):
+        for run in (64, 1000):
+            got = L.infer_long(text.encode(), model.table, run)
+            assert [i for i, _ in got] == [i for i, _ in want]
+            assert np.allclose([s for _, s in got], [s for _, s in want])
+
+
+def test_more_words_than_a_run_tells_apart(model):
+    """Alternating languages in over 2^20 words: neighbours must not be taken together."""
+    text = ("kato ungei " * (1 << 19) + "kato").encode()
+    got = L.infer_long(text, model.table, L.run_bytes(3))
+    assert sorted(model.languages[i] for i, _ in got) == ["aa", "bb"]
+    assert all(abs(s - 0.5) < 0.01 for _, s in got)
+
+
+def test_150_languages_are_all_learned(spark):
+    """Rare ones too, in bounded memory: a text of 400,000 words takes less than 400 MB beside it."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:03}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for i in range(150)}
+    speak = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(lang, speak(lang, 60)) for i, lang in enumerate(own) for _ in range(2 if i % 3 else 6)]
+    model = L.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == tuple(own)
+    asked = spark.createDataFrame([(i, speak(lang, 30)) for i, lang in enumerate(own)], "doc_id int, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(asked, model).collect()}
+    assert [got[i] for i in range(150)] == list(own)
+    long = (speak("l001", 300_000) + " " + speak("l149", 100_000)).encode()
+    tracemalloc.start()
+    found = L.infer_long(long, model.table, L.run_bytes(150))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [model.languages[i] for i, _ in found] == ["l001", "l149"] and abs(found[0][1] - 0.75) < 0.01
+    print("peak MB:", peak >> 20)
+    assert peak < 400 << 20
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        L.learn(spark.createDataFrame([(x, "ab cd") for x in "abc"], "lang string, text string"))
 
 
 def test_no_labels(spark):
