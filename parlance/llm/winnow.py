@@ -1,4 +1,4 @@
-"""Benchmark decontamination by winnowing: k-gram fingerprints, joined and extended to whole shared spans."""
+"""Benchmark decontamination by winnowing: k-gram fingerprints, joined and extended to whole shared windows."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ GRAM, WINDOW = 7, 7
 SPAN = GRAM + WINDOW - 1
 # Words of benchmark text in one broadcast index (about 40 bytes a word); more make more indexes.
 INDEX_WORDS = 1_000_000
-# Bytes of text handled at once.
-RUN = 1 << 20
+# Bytes of text handled at once, and rows of matches.
+RUN, ROWS = 1 << 20, 1 << 18
 
 # Bytes of words, A-Z lower-cased: digits, letters and all of a non-ASCII character; 0 for all others.
 _WORD = np.zeros(256, np.uint8)
@@ -115,16 +115,31 @@ def winnowed(words: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndar
     return at, grams[at]
 
 
+@dataclass
+class Table:
+    """For windows of one length: the winnowed k-grams, and every distinct window of an item with a place of it."""
+
+    k: int
+    width: int
+    grams: np.ndarray
+    seen: np.ndarray
+    windows: np.ndarray
+    places: np.ndarray
+    items: np.ndarray
+
+
 @dataclass
 class Index:
-    """Fingerprints of a block of benchmark items, by the length of window they serve."""
+    """Fingerprints of a block of benchmark items, by the length of window they serve, and the items' words."""
 
     ids: list[list[str]] = field(default_factory=list)
-    texts: list[bytes] = field(default_factory=list)
-    tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
     words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    first: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    # Distinct words by hash, and where each one's bytes lie.
+    vocabulary: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    begin: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    length: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    data: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint8))
 
 
 def build_index(items: list[tuple[str, str]]) -> Index:
@@ -134,63 +149,103 @@ def build_index(items: list[tuple[str, str]]) -> Index:
         w = Words((text or "").encode())
         if len(w.starts):
             ids[b" ".join(w.text(0, len(w.starts)))].add(key)
-    out = Index([sorted(v) for v in ids.values()], list(ids))
-    parts = [Words(t).hashes for t in out.texts]
-    out.sizes = np.array([len(p) for p in parts], np.int64)
-    out.first = np.cumsum(out.sizes) - out.sizes
-    out.words = np.concatenate(parts) if parts else out.words
+    out = Index([sorted(v) for v in ids.values()])
+    if not ids:
+        return out
+    parts = [Words(t).hashes for t in ids]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    # One space between two texts: no word reaches from one into the next.
+    every = Words(b" ".join(ids))
+    out.words, out.data = every.hashes, every.data
+    out.vocabulary, at = np.unique(every.hashes, return_index=True)
+    out.begin, out.length = every.starts[at], every.ends[at] - every.starts[at]
     found = defaultdict(list)
-    for first, part in zip(out.first.tolist(), parts):
+    for i, (begin, part) in enumerate(zip(first.tolist(), parts)):
         k, width = (GRAM, WINDOW) if len(part) >= SPAN else (len(part), 1)
-        at, h = winnowed(part, k, width)
-        found[k, width].append((at + first, h))
+        windows, at = np.unique(_grams(part, k + width - 1), return_index=True)
+        found[k, width].append((np.unique(winnowed(part, k, width)[1]), windows, at + begin, np.full(len(at), i)))
     for (k, width), rows in sorted(found.items()):
-        at, h = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        order = np.argsort(h, kind="stable")
-        at, h = at[order], h[order]
-        bits = max(12, min(22, int(len(h)).bit_length() + 5))
+        grams = np.unique(np.concatenate([r[0] for r in rows]))
+        windows, places, of = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
+        order = np.argsort(windows, kind="stable")
+        bits = max(12, min(22, int(len(grams)).bit_length() + 5))
         seen = np.zeros(1 << bits, bool)
-        seen[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
-        out.tables.append((k, width, h, at, seen))
+        seen[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
+        out.tables.append(Table(k, width, grams, seen, windows[order], places[order], of[order]))
     return out
 
 
-def spans_of(words: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """``(start, end, item)``: the longest shared spans that hold a window of the item, in word positions."""
-    out: set[tuple[int, int, int]] = set()
-    for k, width, keys, places, seen in index.tables:
-        at, h = winnowed(words, k, width)
-        hit = seen[(h >> np.uint64(64 - int(len(seen)).bit_length() + 1)).astype(np.int64)]
-        at, h = at[hit], h[hit]
-        low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
-        n = high - low
-        if not n.sum():
-            continue
-        mine = np.repeat(at, n)
-        theirs = places[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        item = np.searchsorted(index.first, theirs, "right") - 1
-        # One seed of each diagonal run is extended; the others lie in what it gives.
-        order = np.lexsort((mine, mine - theirs, item))
-        done: dict[tuple[int, int], int] = {}
-        for p, q, i in zip(mine[order].tolist(), theirs[order].tolist(), item[order].tolist()):
-            if done.get((i, p - q), -1) >= p + k:
-                continue
-            start, end = index.first[i], index.first[i] + index.sizes[i]
-            if (i, p - q) in done:  # whole text in one stretch of an item: compare from where the last one ended
-                start = max(start, done[i, p - q] - (p - q))
-            a = _agree(words[:p][::-1], index.words[start:q][::-1])
-            b = _agree(words[p:], index.words[q:end])
-            done[i, p - q] = p + b
-            if a + b >= min(SPAN, index.sizes[i]):
-                out.add((p - a, p + b, i))
-    return sorted(out)
+def _same(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Whether n words from a[p] on are those from b[q] on."""
+    out = np.ones(len(p), bool)
+    for i in range(n):
+        out &= a[p + i] == b[q + i]
+    return out
+
+
+def _are_words(w: Words, at: np.ndarray, index: Index) -> np.ndarray:
+    """Whether the words at these places of a text are, byte for byte, the index's words of the same hash."""
+    out = np.zeros(len(at), bool)
+    for start in range(0, len(at), ROWS):
+        here = at[start:start + ROWS]
+        v = np.searchsorted(index.vocabulary, w.hashes[here])
+        n = w.ends[here] - w.starts[here]
+        fits = np.flatnonzero(index.length[v] == n)
+        v, n, begin = v[fits], n[fits], w.starts[here[fits]]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = w.data[np.repeat(begin, n) + offset] == index.data[np.repeat(index.begin[v], n) + offset]
+        out[start + fits] = np.bincount(np.repeat(np.arange(len(n)), n)[~equal], minlength=len(n)) == 0
+    return out
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def _from_to(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... of so many numbers each, one after another."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def windows_of(words: np.ndarray, table: Table, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Extends common k-grams to whole windows: ``(at, kind, kind_of, items)``.
+
+    ``at`` are the places where a window of some item stands in ``words``, and ``kind`` numbers equal ones alike; the
+    pairs ``kind_of, items`` list each kind's items. A window that a text repeats is looked up once, so the cost
+    follows the text and the items found, not how often either repeats its words.
+    """
+    none = np.empty(0, np.int64)
+    size = table.k + table.width - 1
+    at, h = winnowed(words, table.k, table.width)
+    hit = table.seen[(h >> np.uint64(64 - int(len(table.seen)).bit_length() + 1)).astype(np.int64)]
+    at, h = at[hit], h[hit]
+    found = np.searchsorted(table.grams, h)
+    at = at[table.grams[np.minimum(found, len(table.grams) - 1)] == h]
+    if not len(at):
+        return none, none, none, none
+    # The windows that hold such a gram.
+    marks = np.zeros(len(words) + 1, np.int64)
+    np.add.at(marks, np.maximum(at - table.width + 1, 0), 1)
+    np.add.at(marks, at + 1, -1)
+    at = np.flatnonzero(np.cumsum(marks[:len(words) - size + 1]))
+    distinct, first, kind = np.unique(_grams(words, size)[at], return_index=True, return_inverse=True)
+    low, high = np.searchsorted(table.windows, distinct), np.searchsorted(table.windows, distinct, "right")
+    lookup = np.flatnonzero(high > low)
+    kinds, items = [none], [none]
+    ends = np.cumsum((high - low)[lookup])
+    start = 0
+    while start < len(lookup):  # runs of about ROWS rows
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ROWS, "right")))
+        some = lookup[start:stop]
+        n = (high - low)[some]
+        rows, of = _from_to(low[some], n), np.repeat(some, n)
+        good = _same(words, at[first[of]], index.words, table.places[rows], size)
+        kinds.append(of[good])
+        items.append(table.items[rows[good]])
+        start = stop
+    kind_of, items = np.concatenate(kinds), np.concatenate(items)
+    known = np.zeros(len(distinct), bool)
+    known[kind_of] = True
+    left = np.flatnonzero(known[kind])
+    left = left[_same(words, at[left], words, at[first[kind[left]]], size)]
+    return at[left], kind[left], kind_of, items
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,12 +275,37 @@ def _search(index):
         starts = of[:-1] + shift
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for s, e, i in spans_of(words, index_):
-            d = int(np.searchsorted(starts, s, "right")) - 1
-            here = w.text(s - int(shift[d]), e - int(shift[d]))
-            if b" " + b" ".join(here) + b" " in b" " + index_.texts[i] + b" ":  # the words, not only their hashes
-                found[d].append((s - int(starts[d]), e - int(starts[d])))
-                items[d].update(index_.ids[i])
+        for table in index_.tables:
+            size = table.k + table.width - 1
+            at, kind, kind_of, item = windows_of(words, table, index_)
+            if not len(at):
+                continue
+            d = np.searchsorted(starts, at, "right") - 1
+            at = at - shift[d]
+            # The words, not only their hashes.
+            inside = np.zeros(len(w.hashes) + 1, np.int64)
+            np.add.at(inside, at, 1)
+            np.add.at(inside, at + size, -1)
+            places = np.flatnonzero(np.cumsum(inside[:-1]))
+            wrong = np.zeros(len(w.hashes) + 1, np.int64)
+            wrong[places[~_are_words(w, places, index_)] + 1] = 1
+            wrong = np.cumsum(wrong)
+            good = wrong[at + size] == wrong[at]
+            at, d, kind = at[good], d[good], kind[good]
+            # Windows that touch or overlap within a text are one span.
+            edge = np.flatnonzero((np.diff(at, prepend=-size - 1) > size) | (np.diff(d, prepend=-1) != 0))
+            for s, e, i in zip(at[edge].tolist(), (at[np.append(edge[1:], len(at)) - 1] + size).tolist(), d[edge].tolist()):
+                found[i].append((s - int(of[i]), e - int(of[i])))
+            # Each kind of window once a text, with its items.
+            order = np.argsort(kind_of, kind="stable")
+            kind_of, item = kind_of[order], item[order]
+            pairs = np.unique(np.stack([d, kind], 1), axis=0)
+            low, high = np.searchsorted(kind_of, pairs[:, 1]), np.searchsorted(kind_of, pairs[:, 1], "right")
+            for start in range(0, len(pairs), 1024):
+                n = (high - low)[start:start + 1024]
+                rows = item[_from_to(low[start:start + 1024], n)]
+                for i, j in np.unique(np.stack([np.repeat(pairs[start:start + 1024, 0], n), rows], 1), axis=0).tolist():
+                    items[i].update(index_.ids[j])
         return np.diff(of).tolist(), found, items
 
     return search
@@ -262,7 +342,8 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     the word ranges (end exclusive, disjoint, sorted) inside occurrences of a window of SPAN words of an
     item, or of a whole item that has fewer words; ``items`` the sorted ids of those items. Both sides keep the
     least k-gram of every window of k-grams, so each shared window has a common fingerprint; matches are
-    extended word by word and the words themselves compared. The fingerprints of the benchmark are broadcast in
+    extended to the windows that hold them and the words themselves compared. The time grows with the length of a
+    text and with the items found in it, however often either repeats its words. The fingerprints of the benchmark are broadcast in
     blocks of ``index_words`` words at most, whatever its size; documents are never shuffled, and no block sees
     less than every whole text. Null texts have no words; a null item id counts as the empty id; repeated
     rows are treated one by one; empty tables give empty or hit-free results.

@@ -1,7 +1,9 @@
 import random
 import re
+import time
+import tracemalloc
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,45 @@ def test_spans_and_items_are_those_of_brute_force(spark, monkeypatch, index_word
         assert got[i]["items"] == found
 
 
+@pytest.mark.parametrize("rows", [1 << 18, 5])
+def test_repeated_words_are_those_of_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(W, "ROWS", rows)
+    rng = random.Random(9)
+    items = [(1, "x " * 50), (2, "a b " * 20), (3, "a b c " * 9), (4, " ".join(rng.choice("ab") for _ in range(200))),
+             (5, "x x x"), (6, "y " * 12), (7, "x " * 13), (8, "X " * 50)]
+    texts = ["x " * 300, "b a " * 60, "c " * 5 + "a b c " * 30 + "x x", " ".join(rng.choice("ab") for _ in range(400)),
+             "x " * 12, "y " * 40, "x x y x x x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc"]["doc_id"]: r["found"] for r in W.shared_spans(docs, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    for i, (n, hit, found) in enumerate(brute(texts, items)):
+        assert (got[i]["n_words"], got[i]["items"]) == (n, found)
+        assert [p for s in got[i]["spans"] for p in range(s["start"], s["end"])] == hit
+
+
+def test_repeated_words_cost_no_more_than_others():
+    """An item of 5,000 equal words in a document of 1,000,000."""
+    index = W.build_index([("1", "x " * 5000), ("2", "a b " * 2500)])
+    shared = type("Shared", (), {"value": vars(index)})
+    began = time.monotonic()
+    tracemalloc.start()
+    n, spans, items = W._search(shared)([b"x " * 1_000_000, b"b a " * 500_000, b"z"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("seconds:", time.monotonic() - began, "peak MB:", peak >> 20)
+    assert n == [1_000_000, 1_000_000, 1] and [[e - s for s, e in x] for x in spans] == [[1_000_000], [1_000_000], []]
+    assert items == [{"1"}, {"2"}, set()]
+    assert time.monotonic() - began < 60 and peak < 500 << 20
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    """The bytes decide, not the hashes alone."""
+    of = W.Words._of
+    monkeypatch.setattr(W.Words, "_of", staticmethod(lambda part: (*of(part)[:2], np.minimum(of(part)[2], np.uint64(1)))))
+    shared = type("Shared", (), {"value": vars(W.build_index([("1", "one " * 13)]))})
+    n, spans, items = W._search(shared)([b"two " * 20, b"one " * 13 + b"six", b"ten " * 13])
+    assert items == [set(), {"1"}, set()] and spans == [[], [(0, 13)], []]
+
+
 def test_runs_cut_between_words(monkeypatch):
     texts = [t for t in random_case(3)[0] if t] + ["word" * 100 + " x"]
     whole = [W.Words(t.encode()) for t in texts]
