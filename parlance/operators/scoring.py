@@ -24,6 +24,11 @@ def _texts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.select(*keys, norm_key(F.col("text")).alias("text")).filter(F.col("text") != "").distinct()
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Texts with their length ``n`` and ``id``, a hash: texts that share one only meet more often, and are compared."""
+    return texts.withColumn("n", F.length("text")).withColumn("id", F.xxhash64("text"))
+
+
 def _budget(longest, threshold: float):
     """Most edits that two similar texts may differ by, the longer one being so long."""
     return F.floor(longest * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
@@ -38,21 +43,25 @@ def _short_limit(threshold: float) -> int:
 
 
 def _deletions(texts: DataFrame, keys: list[str], limit: int, threshold: float) -> DataFrame:
-    """Rows (keys, text, settled, seg): a short text and what is left of it after as many deletions as its budget
-    beside the longest partner allows, two at most.
+    """Rows (keys, text, n, settled, seg): a short text and hashes of what is left of it after as many deletions as the
+    budget of its own length allows, two at most.
 
-    Texts within d edits of each other become equal after d deletions or fewer from either.
+    Texts within d edits of each other become equal after deletions from either: from the longer one d at most, from the
+    other d less the difference in length. The budget grows by one at most with every character, so neither needs more
+    than its own.
     """
-    text, n = F.col("text"), F.length("text")
+    text, n = F.col("text"), F.col("n")
     cut = lambda a, b: F.substr(text, a, b - a)  # noqa: E731 - characters a to b - 1, counted from 1
     one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, n + 1)))
     two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
         F.sequence(i + 1, n), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, n + 1)))))
-    depth = _budget(F.least(F.floor(n / F.lit(threshold) + F.lit(1e-9)), F.lit(limit)), threshold)
-    none = F.array().cast("array<string>")
-    left = F.concat(F.array(text), F.when(depth >= 1, one).otherwise(none), F.when((depth >= 2) & (n >= 2), two).otherwise(none))
+    depth = _budget(n, threshold)
+    none = F.array().cast("array<bigint>")
+    hashed = lambda texts: F.transform(texts, lambda t: F.xxhash64(t))
+    left = F.concat(F.array(F.col("id")), F.when(depth >= 1, hashed(one)).otherwise(none),
+                    F.when((depth >= 2) & (n >= 2), hashed(two)).otherwise(none))
     # The length is asked inside the list: a filter beside it might run after the list is made for long texts too.
-    return texts.select(*keys, "text", "settled", F.explode(F.when(n <= limit, F.array_distinct(left)).otherwise(none)).alias("seg"))
+    return texts.select(*keys, "text", "n", "settled", F.explode(F.when(n <= limit, F.array_distinct(left)).otherwise(none)).alias("seg"))
 
 
 def _chunk_size(n, threshold: float):
@@ -62,24 +71,26 @@ def _chunk_size(n, threshold: float):
 
 
 def _chunks(texts: DataFrame, keys: list[str], threshold: float, limit: int) -> DataFrame:
-    """Rows (keys, text, settled, q, seg, at): the chunks of q characters a text is cut into."""
-    n = F.length("text")
+    """Rows (keys, id, n, settled, q, seg, at): hashes and places of the chunks of q characters a text is cut into."""
+    n = F.col("n")
     sized = texts.filter(n >= threshold * (limit + 1) - 1e-9).withColumn("q", _chunk_size(n, threshold))
     each = F.transform(F.sequence(F.lit(0), F.floor(n / F.col("q")).cast("int") - 1), lambda i: F.struct(
-        F.substr(F.col("text"), i * F.col("q") + 1, F.col("q")).alias("seg"), (i * F.col("q")).alias("at")))
-    return sized.select(*keys, "text", "settled", "q", F.inline(each))
+        F.xxhash64(F.substr(F.col("text"), i * F.col("q") + 1, F.col("q"))).alias("seg"), (i * F.col("q")).alias("at")))
+    return sized.select(*keys, "id", "n", "settled", "q", F.inline(each))
 
 
 def _windows(texts: DataFrame, keys: list[str], threshold: float, limit: int) -> DataFrame:
-    """Rows (keys, text, settled, q, seg, at): every substring as long as a chunk of some text similar in length."""
-    n = F.length("text")
+    """Rows (keys, id, n, settled, q, seg, at): hashes and places of every substring as long as a chunk of some text
+    similar in length."""
+    n = F.col("n")
     partners = F.sequence(F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int"),
                           F.floor(n / F.lit(threshold) + F.lit(1e-9)).cast("int"))
     sizes = F.array_distinct(F.transform(partners, lambda m: _chunk_size(m, threshold)))
-    sized = texts.filter(n >= threshold * (limit + 1) - 1e-9).select(*keys, "text", "settled", F.explode(sizes).alias("q"))
+    sized = texts.filter(n >= threshold * (limit + 1) - 1e-9).select(
+        *keys, "text", "id", "n", "settled", F.explode(sizes).alias("q"))
     each = F.transform(F.sequence(F.lit(0), n - F.col("q")), lambda i: F.struct(
-        F.substr(F.col("text"), i + 1, F.col("q")).alias("seg"), i.alias("at")))
-    return sized.filter(F.col("q") <= n).select(*keys, "text", "settled", "q", F.inline(each))
+        F.xxhash64(F.substr(F.col("text"), i + 1, F.col("q"))).alias("seg"), i.alias("at")))
+    return sized.filter(F.col("q") <= n).select(*keys, "id", "n", "settled", "q", F.inline(each))
 
 
 def fuzzy_pairs(
@@ -90,13 +101,15 @@ def fuzzy_pairs(
 
     Exact. Texts whose budget is two edits or fewer meet in an equality join on what deletions leave of them,
     which few other texts share, and are judged inside the stage of that join. Longer ones meet on unchanged
-    chunks, and a pair is compared only if enough of them are met. Rows grow with the length of a text.
+    chunks, by ids and numbers only; the texts are fetched for the pairs that meet enough of them, and compared.
+    The number of rows grows with the length of a text, their width does not.
     """
     keys = list(keys)
     if metric != "levenshtein":
         raise ValueError(f"unknown metric: {metric}")
     unsettled = F.lit(False).alias("settled")
-    close = _near(_texts(student, keys).select("*", unsettled), _texts(baseline, keys).select("*", unsettled), keys, threshold)
+    close = _near(stored(_texts(student, keys)).select("*", unsettled), stored(_texts(baseline, keys)).select("*", unsettled),
+                  keys, threshold)
     return close.distinct().withColumn(
         "similarity", levenshtein_similarity(F.col("student_text"), F.col("baseline_text")))
 
@@ -106,28 +119,33 @@ def _near(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: f
     if threshold <= 0.5:
         raise ValueError("the threshold must be above 0.5")
     limit = _short_limit(threshold)
-    la, lb = F.length("student_text"), F.length("baseline_text")
-    budget = _budget(F.greatest(la, lb), threshold)
+    student, baseline = _numbered(student), _numbered(baseline)
+    sn, bn = F.col("_sn"), F.col("_bn")
+    budget = _budget(F.greatest(sn, bn), threshold)
     edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), budget)
 
     def met(s: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        s = s.withColumnsRenamed({"text": "student_text", "settled": "_ss", "at": "_sat"})
-        b = b.withColumnsRenamed({"text": "baseline_text", "settled": "_bs", "at": "_bat"})
+        s = s.withColumnsRenamed({"text": "student_text", "id": "_sid", "n": "_sn", "settled": "_ss", "at": "_sat"})
+        b = b.withColumnsRenamed({"text": "baseline_text", "id": "_bid", "n": "_bn", "settled": "_bs", "at": "_bat"})
         # The rows far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
         # and splits skewed keys rather than a broadcast chosen from the size of the texts.
-        return s.join(b.hint("merge"), [*keys, *on]).filter(~(F.col("_ss") & F.col("_bs")) & (F.abs(la - lb) <= budget))
+        return s.join(b.hint("merge"), [*keys, *on]).filter(~(F.col("_ss") & F.col("_bs")) & (F.abs(sn - bn) <= budget))
 
     pair = [*keys, "student_text", "baseline_text"]
     short = met(_deletions(student, keys, limit, threshold), _deletions(baseline, keys, limit, threshold), ["seg"]).filter(
         edits >= 0).select(*pair)
     # An edit spoils one chunk at most and moves those behind it by one; the chunks left are counted before any text
-    # is compared.
+    # is fetched.
     near = met(_windows(student, keys, threshold, limit), _chunks(baseline, keys, threshold, limit), ["q", "seg"]).filter(
-        (F.greatest(la, lb) > limit) & (F.abs(F.col("_sat") - F.col("_bat")) <= budget))
-    counted = near.groupBy(*pair, "q").agg(F.count("*").alias("_hits"))
-    # One condition on the count and the distance, so that the distance is not taken row by row before the count.
-    enough = F.col("_hits") >= F.floor(lb / F.col("q")) - budget
-    return short.unionByName(counted.filter(F.when(enough, edits).otherwise(-1) >= 0).select(*pair))
+        (F.greatest(sn, bn) > limit) & (F.abs(F.col("_sat") - F.col("_bat")) <= budget))
+    ids = [*keys, "_sid", "_bid", "_sn", "_bn"]
+    counted = near.groupBy(*ids, "q").agg(F.count("*").alias("_hits")).filter(
+        F.col("_hits") >= F.floor(bn / F.col("q")) - budget).select(*ids).distinct()
+    of = lambda texts, side, name: texts.select(
+        *keys, F.col("id").alias(f"_{side}id"), F.col("n").alias(f"_{side}n"), F.col("text").alias(name))
+    fetched = counted.join(of(student, "s", "student_text"), [*keys, "_sid", "_sn"]).join(
+        of(baseline, "b", "baseline_text"), [*keys, "_bid", "_bn"])
+    return short.unionByName(fetched.filter(edits >= 0).select(*pair))
 
 
 def matched_texts(

@@ -40,6 +40,19 @@ def test_fuzzy_pairs_lose_nothing(spark, threshold, metric="levenshtein"):
     assert got == want
 
 
+def test_long_texts_add_rows_of_bounded_width(spark):
+    """Texts of 20,000 characters meet by ids and numbers; only those of the pairs found are fetched."""
+    rng = random.Random(7)
+    a, b = ("".join(rng.choices("abcdefghij", k=20000)) for _ in range(2))
+    near = a[:7000] + "xx" + a[7003:]
+    s, base = graph(spark, [a, b]), graph(spark, [near, "c" * 20000])
+    u = F.lit(False).alias("settled")
+    rows = sc._windows(sc._numbered(sc._texts(s, []).select("*", u)), [], 0.8, 14)
+    assert rows.columns == ["id", "n", "settled", "q", "seg", "at"] and rows.schema["seg"].dataType.simpleString() == "bigint"
+    got = [(r.student_text, r.baseline_text) for r in sc.fuzzy_pairs(s, base).collect()]
+    assert got == [(a, near)]
+
+
 def test_fuzzy_pairs_within_keys(spark):
     s = spark.createDataFrame([("a", "cough"), ("b", "fever")], "res_id string, text string")
     b = spark.createDataFrame([("a", "coughs"), ("b", "cough"), ("b", "fevers")], "res_id string, text string")
