@@ -5,6 +5,7 @@ Everything runs as SQL functions; the trees are fitted by Spark's own booster an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -50,18 +51,69 @@ FEATURES = ["kind", "length", "digits", "lower", "upper", "separators", "distinc
             "iban", "joined", "hex", "cue_secret", "cue_phone", "cue_number", "cue_mail", "quoted"]
 
 
-def running_sums(values: Column, chunk: int = 256) -> Column:
-    """Inclusive running sums of an array, in two levels so that long arrays stay cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+def running(values: Column, join: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """An array of integers joined up to each place, in two levels so that long arrays stay cheap; 0 joins to nothing."""
+    total = lambda a: F.aggregate(a, F.lit(0), join)
     chunks = F.transform(F.sequence(F.lit(0), F.greatest((F.size(values) - 1) / chunk, F.lit(0)).cast("int")),
                          lambda c: F.slice(values, c * chunk + 1, chunk))
 
-    def sums(cs: Column) -> Column:
+    def joined(cs: Column) -> Column:
         each = F.transform(cs, total)
         return let(each, lambda s: F.flatten(F.transform(cs, lambda c, i: let(
-            total(F.slice(s, 1, i)), lambda before: F.transform(c, lambda _, j: before + total(F.slice(c, 1, j + 1)))))))
+            total(F.slice(s, 1, i)), lambda before: F.transform(c, lambda _, j: join(before, total(F.slice(c, 1, j + 1))))))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(chunks, joined))
+
+
+def running_sums(values: Column, chunk: int = 256) -> Column:
+    """Inclusive running sums of an array."""
+    return running(values, lambda x, y: x + y, chunk)
+
+
+def first_place(sorted_spans: Column, reached: Callable[[Column], Column]) -> Column:
+    """Index of the first element for which ``reached`` holds (the size if none), by halving: ``reached`` holds from
+    some element on."""
+    n = F.size(sorted_spans)
+    halves = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        to = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((to <= n) & ~reached(F.get(sorted_spans, to - 1)), to).otherwise(at)
+
+    return F.aggregate(halves, F.lit(0), step)
+
+
+def overlapping(family: Column, span: Column) -> Column:
+    """The spans of a family that overlap a span. A family is sorted and its spans do not overlap one another, so all
+    families together give all spans of a text a number of pairs in proportion to the spans."""
+    first = first_place(family, lambda y: y["end"] > span["start"])
+    last = first_place(family, lambda y: y["start"] >= span["end"])
+    return let(first, lambda a: F.slice(family, a + 1, F.greatest(last - a, F.lit(0))))
+
 
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(chunks, sums))
+def families(spans: Column) -> Column:
+    """Spans by what proposed them, as arrays in text order; patterns without spans are left out."""
+    sources = F.sequence(F.lit(0), F.lit(len(BASE) + len(GENERATORS) - 1))
+    each = F.transform(sources, lambda k: F.filter(spans, lambda c: c["source"] == k))
+    return F.filter(each, lambda f: F.size(f) > 0)
+
+
+def cut_out(text: Column, spans: Callable[[Callable[[Column, Column], Column]], Column], block: int = 1024) -> Column:
+    """What ``spans`` makes of a function that cuts code points from a start to an end out of the text.
+
+    Cutting in a long text counts its characters from the front; here only those of a block are counted.
+    """
+    def of(blocks: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            within = F.sequence((start / block).cast("int"), ((end - 1) / block).cast("int"))
+            parts = F.transform(within, lambda k: F.substring(
+                F.get(blocks, k), F.greatest(start - k * block, F.lit(0)) + 1,
+                F.least(end - k * block, F.lit(block)) - F.greatest(start - k * block, F.lit(0))))
+            return F.when(end > start, F.array_join(parts, "")).otherwise("")
+
+        return spans(cut)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}+"), F.lit(0)), of)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -285,24 +337,32 @@ def find(docs: DataFrame, booster: Booster, text: str = "text") -> DataFrame:
 
     Positions are code points of the whole text, the end exclusive; null and empty texts have no spans. Base
     spans are always there; a candidate is added where its score reaches its kind's threshold and it overlaps
-    neither a base span nor an added one of a higher score (of equals the first one counts).
+    neither a base span nor a candidate of a higher score that overlaps no base span (of equals the first one counts).
+    Spans meet in sorted families, so that time grows with their number times its logarithm, however many a text has.
     """
     def spans(cs: Column) -> Column:
-        base = F.transform(F.filter(cs, lambda c: c["base"]), lambda c: F.struct(
-            c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("score")))
-        other = F.transform(F.filter(cs, lambda c: ~c["base"]), lambda c: F.struct(
-            c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(False).alias("base"),
-            let(features(c), booster.score).alias("score")))
-        over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-        def chosen(b: Column, o: Column) -> Column:
-            better = lambda x, y: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (
+        def scored(c: Column, score: Column) -> Column:
+            return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"),
+                            score.alias("score"), c["source"].alias("source"))
+
+        base = F.transform(F.filter(cs, lambda c: c["base"]), lambda c: scored(c, F.lit(1.0)))
+        other = F.transform(F.filter(cs, lambda c: ~c["base"]), lambda c: scored(c, let(features(c), booster.score)))
+
+        def better(y: Column, x: Column) -> Column:
+            return (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (
                 F.struct(y["start"], y["kind"], y["end"]) < F.struct(x["start"], x["kind"], x["end"])))
-            free = F.filter(o, lambda x: (x["score"] >= booster.threshold(x["kind"])) & ~F.exists(b, lambda y: over(x, y)))
-            return F.sort_array(F.concat(b, let(free, lambda fs: F.filter(
-                fs, lambda x: ~F.exists(fs, lambda y: over(x, y) & better(x, y))))))
 
-        return let(base, lambda b: let(other, lambda o: chosen(b, o)))
+        def free(b: Column, o: Column) -> Column:
+            above = F.filter(o, lambda x: x["score"] >= booster.threshold(x["kind"]))
+            return let(families(b), lambda fs: F.filter(above, lambda x: ~F.exists(
+                fs, lambda f: F.size(overlapping(f, x)) > 0)))
+
+        def best(o: Column) -> Column:
+            return let(families(o), lambda fs: F.filter(o, lambda x: ~F.exists(
+                fs, lambda f: F.exists(overlapping(f, x), lambda y: better(y, x)))))
+
+        all_of = let(base, lambda b: F.concat(b, let(free(b, other), best)))
+        return F.sort_array(F.transform(all_of, lambda c: c.dropFields("source")))
 
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,score:double>>")
     return docs.select(whole_row(docs), let(candidates(F.col(text)), lambda cs: F.when(
@@ -312,21 +372,26 @@ def find(docs: DataFrame, booster: Booster, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, booster: Booster | None = None, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one.
 
-    The other columns stay as they are, but for a column of that name with the text's length.
+    The other columns stay as they are, but for a column of that name with the text's length. Null and empty texts stay,
+    repeated rows come back as often, an empty table gives an empty one. Time grows with the length of a text and, for
+    its spans, with their number times its logarithm.
     """
     found = find(docs, booster or fit(docs, text), text)
     by_start = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     # A span that starts inside an earlier one is joined to it: what is cut out runs to the furthest end so far.
-    furthest = F.transform("ordered", lambda s, i: F.aggregate(F.slice("ordered", 1, i + 1), F.lit(0), lambda a, b: F.greatest(a, b["end"])))
+    furthest = running(F.transform("ordered", lambda s: s["end"]), lambda x, y: F.greatest(x, y))
     cuts = F.transform("ordered", lambda s, i: F.struct(
         s["start"].alias("start"), F.get("furthest", i).alias("end"), s["kind"].alias("kind"),
         F.coalesce(F.get("furthest", i - 1), F.lit(0)).alias("before")))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     body = F.col(f"doc.`{text}`")
-    pieces = F.transform("cuts", lambda c: F.when(c["start"] >= c["before"], F.concat(
-        F.substring(body, c["before"] + 1, c["start"] - c["before"]), F.get(names, c["kind"]))).otherwise(""))
-    cleaned = F.when(F.size("spans") == 0, body).otherwise(F.concat(
-        F.array_join(pieces, ""), F.substring(body, F.element_at("cuts", -1)["end"] + 1, F.length(body))))
+
+    def replaced(cut: Callable[[Column, Column], Column]) -> Column:
+        pieces = F.transform("cuts", lambda c: F.when(c["start"] >= c["before"], F.concat(
+            cut(c["before"], c["start"]), F.get(names, c["kind"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(F.element_at("cuts", -1)["end"], F.length(body)))
+
+    cleaned = F.when(F.size("spans") == 0, body).otherwise(cut_out(body, replaced))
     out = found.withColumn("ordered", by_start).withColumn("furthest", furthest).withColumn("cuts", cuts)
     out = out.withColumn("doc", F.col("doc").withField(f"`{text}`", cleaned))
     if length and length in docs.columns:
