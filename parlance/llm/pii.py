@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import query, read, unpacked, whole_row
 from parlance.llm.rules import let
-from parlance.runtime import stored
+from parlance.runtime import drop_stored, stored
 
 # About so many distinct candidates the trees are fitted on at most, as many of each kind and label where there are.
 SAMPLE_CANDIDATES = 20_000
@@ -299,9 +299,10 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES, tr
     the share of positives is at least ``precision``. A kind without a positive in that third is never added, nor is
     any without both labels in the sample.
     """
-    each = docs.select(F.explode(candidates(F.col(text))).alias("c")).select(
-        features(F.col("c")).alias("f"), F.col("c.kind").alias("kind"), F.col("c.sure").cast("double").alias("label"),
-        F.xxhash64("c.value", "c.before").alias("h")).filter("label is not null")
+    proposed = docs.select(F.explode(candidates(F.col(text))).alias("c")).filter("c.sure is not null")
+    # Sizes, sample and thresholds read what the patterns find once.
+    each = stored(proposed.select(features(F.col("c")).alias("f"), "c.kind", F.col("c.sure").cast("double").alias("label"),
+                                  F.xxhash64("c.value", "c.before").alias("h")))
     held = F.pmod("h", F.lit(3)) == 0
     sizes = each.filter(~held).groupBy("kind", "label").agg(F.approx_count_distinct("h").alias("n")).collect()
     part = sample / (2 * len(KINDS))
@@ -313,6 +314,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES, tr
     rows = stored(drawn.groupBy("kind", "label", "h").agg(F.min("f").alias("f")).repartition(1).sortWithinPartitions("h", "kind", "label"))
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.select("f.*", "label")).select("features", "label")
     if table.select("label").distinct().count() < 2:
+        drop_stored(each, rows)
         return Booster()
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=3).fit(table)
     booster = Booster(tuple(_compiled(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights)))
@@ -320,6 +322,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CANDIDATES, tr
         "kind", "label", F.floor(let(F.col("f"), booster.score) * BINS).cast("int").alias("bin"))
     counts = {(r["kind"], r["bin"]): (r["p"], r["n"]) for r in
               binned.groupBy("kind", "bin").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}
+    drop_stored(each, rows)
     thresholds = []
     for kind in range(len(KINDS)):
         best, p, n = 2.0, 0.0, 0
