@@ -348,7 +348,20 @@ def page_id(urn: Column) -> Column:
     return F.regexp_extract(urn, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
 
 
-@query("op8_warc_round_trip")
+_DIGEST = "[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((part[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) FOR i IN range(0, 32)]"
+_OP8_SQL = f"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+first AS (
+  SELECT page_id, html, sha, row_number() OVER (PARTITION BY sha ORDER BY page_id DESC NULLS LAST) = 1 AS response,
+         max(page_id) OVER (PARTITION BY sha) AS top,
+         [('0x' || substr(sha, k, 10))::BIGINT FOR k IN [1, 11, 21, 31]] AS part FROM hashed)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string({_DIGEST}, '') AS payload_digest,
+       CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT response THEN top END AS refers_to
+FROM first"""
+
+
+@query("op8_warc_round_trip", _OP8_SQL)
 def _op8(spark, sf_dir):
     register(spark)
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"

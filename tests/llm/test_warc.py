@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from parlance.llm import warc as W
-from parlance.llm.catalog import queries
+from parlance.llm.catalog import oracle_sql, queries
+from tests_llm_sql import rows, sql_rows
 
 
 def brute(pages):
@@ -40,6 +41,13 @@ def write(spark, pages, **options):
     return path
 
 
+def test_query_is_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    got = rows(queries()["op8_warc_round_trip"](spark, sf).withColumn("refers_to", F.coalesce("refers_to", F.lit(-1))))
+    want = f"SELECT * REPLACE (coalesce(refers_to, -1) AS refers_to) FROM ({oracle_sql()['op8_warc_round_trip']})"
+    assert got == sql_rows(want, sf) and len(got) > 0
+
+
 def test_odd_rows_and_files(spark):
     pages = [(1, "http://a/", "x"), (2, None, "x"), (3, "http://ü/\r\nX: y", None), (4, "u", ""), (5, "u", "é𝔘\r\n\r\nWARC/1.0\r\n"),
              (6, "u", "z" * 3_000_000), (7, "a", "t"), (7, "b", "t"), (None, "n", "t"), (None, "n", "alone")]
