@@ -24,6 +24,8 @@ from parlance.runtime import stored
 BLOCK_ROWS = 4096
 # Pivots of one type, and numbers in all pivots together (64 MB), which every task gets.
 MAX_PIVOTS, PIVOT_VALUES = 1024, 8 << 20
+# Blocks that a key is compared in where they may be larger than asked for: with b of them each vector has about b/2 copies.
+TILES = 16
 # Vectors sampled for each wanted pivot.
 SAMPLED = 16
 # Allowance for rounded angles, in radians.
@@ -135,9 +137,11 @@ def reachable(a: np.ndarray, home: np.ndarray, low: np.ndarray, high: np.ndarray
 def pair_tasks(texts: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, guard: str | None = None) -> DataFrame:
     """The vectors, dealt out to tasks of at most two blocks: ``keys, _cell, _i, _j, _mine, ord, embedding, _angle``.
 
-    A vector comes to its own cell, and to those of the other cells it can reach that its own does not send to: of two
-    cells the smaller number sends where their sum is even, the larger where it is odd. Only a cell of more than one
-    block is cut, and its vectors repeated for its own blocks.
+    Cells of few vectors go together as they are numbered, in tiles of a sixteenth of their key (at least ``block_rows``,
+    at most BLOCK_ROWS vectors), so that copies and tasks grow with the vectors and not with the cells. A vector comes to
+    its own tile, and to those of the other tiles with a cell it can reach that its own does not send to: of two tiles
+    the smaller number sends where their sum is even, the larger where it is odd. Only a tile of more than one block is
+    cut, and its vectors repeated for its own blocks.
     """
     keys = ["type", *([guard] if guard else [])]
     vectors = texts.select(*keys, "ord", "embedding").filter(F.col(keys[-1]).isNotNull() & F.col("type").isNotNull())
@@ -150,33 +154,38 @@ def pair_tasks(texts: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS,
     if cells.shared is None:
         return cells.homes.drop("_group").withColumns({c: F.lit(0) for c in ("_i", "_j", "_mine")})
     ranges, shared = cells.ranges(), cells.shared
+    held = dict(cells.homes.groupBy("_group").count().collect())
+    rows = {g: max(block_rows, min(BLOCK_ROWS, -(-n // TILES))) for g, n in held.items() if g >= 0}
+    per = {g: max(1, r * len(shared.value[g]) // held[g]) for g, r in rows.items()}
 
-    def others(group: pd.Series, cell: pd.Series, embedding: pd.Series) -> pd.Series:
-        out = pd.Series([[]] * len(group), dtype=object)
+    def places(group: pd.Series, cell: pd.Series, embedding: pd.Series) -> pd.Series:
+        out = pd.Series([[{"cell": 0, "angle": 0.0, "own": True, "rows": block_rows}]] * len(group), dtype=object)
         for g in set(group) - {-1}:
             at = np.flatnonzero(group == g)
             home = cell.to_numpy()[at]
             a = angles(unit_rows(embedding.iloc[at]), shared.value[g])
-            number = np.arange(a.shape[1])[None, :]
-            sends = ((number + home[:, None]) % 2 == 0) == (home[:, None] < number)
-            met = reachable(a, home, *ranges[g], within) & sends & (number != home[:, None])
-            for i, row, far in zip(at, met, a):
-                out.iat[i] = [{"cell": int(c), "angle": float(far[c])} for c in np.flatnonzero(row)]
+            first = np.arange(0, a.shape[1], per[g])
+            mine, number = (home // per[g])[:, None], np.arange(len(first))[None, :]
+            sends = ((number + mine) % 2 == 0) == (mine < number)
+            met = np.logical_or.reduceat(reachable(a, home, *ranges[g], within), first, axis=1) & sends | (number == mine)
+            for i, own, row, far in zip(at, mine[:, 0], met, a[:, first]):
+                out.iat[i] = [{"cell": int(c), "angle": float(far[c]), "own": bool(c == own), "rows": rows[g]} for c in np.flatnonzero(row)]
         return out
 
-    others.__annotations__ = {"group": pd.Series, "cell": pd.Series, "embedding": pd.Series, "return": pd.Series}
-    sent = F.pandas_udf(others, "array<struct<cell:int,angle:double>>")
-    away = cells.homes.filter("_group >= 0").withColumn("_to", F.explode(sent("_group", "_cell", "embedding"))).select(
-        *keys, F.col("_to.cell").alias("_cell"), "ord", "embedding", F.col("_to.angle").alias("_angle"))
-    away = stored(away)
-    sized = cells.sizes().select(*keys, "_cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_own"))
-    come = away.groupBy(*keys, "_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_more"))
-    # An empty cell has nobody to meet; it drops out here.
-    grid = sized.join(come, [*keys, "_cell"], "left").withColumn("_more", F.coalesce("_more", F.lit(0)))
+    places.__annotations__ = {"group": pd.Series, "cell": pd.Series, "embedding": pd.Series, "return": pd.Series}
+    to = F.pandas_udf(places, "array<struct<cell:int,angle:double,own:boolean,rows:int>>")
+    placed = stored(cells.homes.withColumn("_to", F.explode(to("_group", "_cell", "embedding"))).select(
+        *keys, F.col("_to.cell").alias("_cell"), "ord", "embedding", F.col("_to.angle").alias("_angle"),
+        F.col("_to.own").alias("_home"), F.col("_to.rows").alias("_rows")))
+    blocks = lambda some: F.ceil(F.count_if(some) / F.max("_rows")).cast("int")
+    # An empty tile has nobody to meet; it drops out here.
+    grid = placed.groupBy(*keys, "_cell").agg(
+        blocks(F.col("_home")).alias("_own"), blocks(~F.col("_home")).alias("_more")).filter("_own > 0")
     cut = lambda n: F.pmod(F.xxhash64("ord"), n).cast("int")
-    own = cells.homes.drop("_group").join(grid, [*keys, "_cell"]).withColumns({
+    dealt = placed.join(grid, [*keys, "_cell"])
+    own = dealt.filter("_home").withColumns({
         "_mine": cut(F.col("_own")), "_other": F.explode(F.sequence(F.lit(0), F.col("_own") + F.col("_more") - 1))})
-    more = away.join(grid, [*keys, "_cell"]).withColumns({
+    more = dealt.filter("not _home").withColumns({
         "_mine": F.col("_own") + cut(F.col("_more")), "_other": F.explode(F.sequence(F.lit(0), F.col("_own") - 1))})
     return own.unionByName(more).select(
         *keys, "_cell", "ord", "embedding", "_angle", "_mine",

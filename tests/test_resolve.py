@@ -153,6 +153,17 @@ def test_clustered_vectors_meet_in_few_cells(spark):
     assert copies < 4 * len(rows)  # all blocks of the type would be 38 each
 
 
+def test_small_blocks_do_not_multiply_copies(spark):
+    rows = [("a", *r[1:]) for r in texts(spark, 800, 16, 3)]
+    df = spark.createDataFrame(rows, ROW)
+    tasks = metric.pair_tasks(df, 0.3, 4).groupBy("_cell", "_i", "_j").count().collect()
+    # Cells of four each went to about a hundred others.
+    assert sum(r["count"] for r in tasks) < 32 * len(rows) and len(tasks) < 1024
+    want = {(r.lo, r.hi) for r in er.similar_pairs(df, 0.3).collect()}
+    got = [(r.lo, r.hi) for r in er.similar_pairs(df, 0.3, 4).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_cells_lose_no_pair_on_any_shape(spark):
     rng = np.random.default_rng(5)
     same = [("a", i, "x", [1.0, 2.0, 3.0]) for i in range(60)]
