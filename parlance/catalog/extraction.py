@@ -26,8 +26,12 @@ DEMO_PATTERNS = [
 ]
 
 
-def _pattern_sql(patterns: list[tuple], bracketed: bool = True) -> str:
-    """CTE phits over parts: one row per (transcript, pattern) hit."""
+def _pattern_sql(patterns: list[tuple], bracketed: bool = True, by_line: bool = False) -> str:
+    """CTE phits over parts: one row per (transcript, pattern) hit.
+
+    ``by_line``: '.' stops at newlines where the place of a match is found, as it does in the match itself.
+    """
+    dot = "(?-s:" if by_line else "(?:"
     branches = []
     for i, (kind, name, rx, terms) in enumerate(patterns):
         rx = "(?i)" + rx.replace("'", "''")
@@ -40,7 +44,7 @@ def _pattern_sql(patterns: list[tuple], bracketed: bool = True) -> str:
         term_at = "CASE " + " ".join(f"WHEN {p} > 0 THEN {p}" for p in at.values()) + " END"
         branches.append(f"""
 SELECT res_id, {i} AS rule, '{kind}' AS type, {canon_sql(f"'{name}'", DEMO_ALIASES)} AS text,
-       regexp_extract(text, '{rx}') AS m, length(regexp_extract(text, '(?s)^(.*?)(?:{rx})', 1)) + 1 AS m_at,
+       regexp_extract(text, '{rx}') AS m, length(regexp_extract(text, '(?s)^(.*?){dot}{rx})', 1)) + 1 AS m_at,
        {term} AS term, {term_at} AS term_at, text AS body FROM parts""")
     last = r"(?s)^.*\[([DP]-\d+)\]" if bracketed else r"(?s)^(?:.*\n)?([DP]-\d+):"
     return f"""
@@ -54,6 +58,7 @@ phits AS (SELECT res_id, rule, type, text,
 
 
 PATTERN_SQL = f"{parts_sql()}, {_pattern_sql(DEMO_PATTERNS)}"
+PATTERN_LINES_SQL = f"{parts_sql()}, {_pattern_sql(DEMO_PATTERNS, by_line=True)}"
 
 
 @query("pattern_extract", f"""
@@ -87,7 +92,7 @@ MANY_PATTERNS = DEMO_PATTERNS + [("SYMPTOM", f"none {i}", rf"\bzq{i}x (?:pain|ac
 
 
 @query("pattern_extract_many", f"""
-WITH {PATTERN_SQL} SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
+WITH {PATTERN_LINES_SQL} SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
 def pattern_extract_many(spark, sf):
     """Two thousand patterns, met through the literals they need."""
     return ex.pattern_extract(turns(spark, sf), MANY_PATTERNS, aliases=DEMO_ALIASES).select(

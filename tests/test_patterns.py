@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from parlance import catalog
 from parlance.functions.text import evidence_supported
 from parlance.operators import extract as ex
 from parlance.operators import filters as fl
@@ -138,3 +140,16 @@ def test_relation_rules_as_a_table(spark):
     given = infer_edges(nodes, rules[:3]).withColumn("ord", F.col("ord") + (1 << 50))
     merged = add_inferred_edges(given, infer_edges(nodes, table))
     assert [r.source_id for r in merged.orderBy("ord").collect()][:4] == ["N_0", "N_1", "N_2", "N_3"] and merged.count() == 39
+
+
+@pytest.mark.parametrize("name", ["pattern_extract_many"])
+def test_sql_of_patterns_finds_the_turn_of_the_match_itself(spark, tmp_path, name):
+    rows = [(1, 0, "user", "a cup of x"), (1, 1, "assistant", "tea from here"), (1, 2, "user", "out of it from there")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ["res_id", "type", "text", "evidence", "turn_id", "via"]
+    want = sorted(con.sql(catalog.oracle_sql()[name]).select(*columns).fetchall())
+    # A match ends with its line: the first "of" and the first "from" are no match together.
+    assert want == [(1, "DIAGNOSIS", "great fall", "of it from", "P-2", "pattern")]
+    assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select(*columns).collect()] == want
