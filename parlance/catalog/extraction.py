@@ -72,7 +72,7 @@ def pattern_extract(spark, sf):
 
 
 @query("pattern_extract_plain", f"""
-WITH {parts_sql(False)}, {_pattern_sql(DEMO_PATTERNS, False)}
+WITH {parts_sql(False)}, {_pattern_sql(DEMO_PATTERNS, False, True)}
 SELECT res_id, type, text, evidence, turn_id, via FROM phits""")
 def pattern_extract_plain(spark, sf):
     return ex.pattern_extract(turns(spark, sf), DEMO_PATTERNS, aliases=DEMO_ALIASES, bracketed=False).select(
