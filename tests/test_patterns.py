@@ -142,7 +142,7 @@ def test_relation_rules_as_a_table(spark):
     assert [r.source_id for r in merged.orderBy("ord").collect()][:4] == ["N_0", "N_1", "N_2", "N_3"] and merged.count() == 39
 
 
-@pytest.mark.parametrize("name", ["pattern_extract_many", "pattern_extract_plain"])
+@pytest.mark.parametrize("name", ["pattern_extract_many", "pattern_extract_plain", "pattern_extract_whole"])
 def test_sql_of_patterns_finds_the_turn_of_the_match_itself(spark, tmp_path, name):
     rows = [(1, 0, "user", "a cup of x"), (1, 1, "assistant", "tea from here"), (1, 2, "user", "out of it from there")]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
