@@ -32,6 +32,10 @@ SAMPLED = 16
 SLACK = 1e-6
 # Rows compared at once within a task.
 STRIPE = 512
+# Cosines held at once while labels are searched (8 MB).
+PRODUCT = 1 << 20
+# Label blocks' worth of vectors that ask one block in one task.
+ASKING = 4
 
 
 def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -263,10 +267,11 @@ def best_labels(units: np.ndarray, ords: np.ndarray, label_units: np.ndarray) ->
     Cosines are compared by 12 digits, so that equal vectors tie in whatever block they are compared.
     """
     at, best = np.zeros(len(units), int), np.zeros(len(units))
-    for i in range(0, len(units), BLOCK_ROWS):
-        sims = units[i:i + BLOCK_ROWS] @ label_units.T
-        at[i:i + BLOCK_ROWS] = np.round(sims, 12).argmax(axis=1)
-        best[i:i + BLOCK_ROWS] = sims[np.arange(len(sims)), at[i:i + BLOCK_ROWS]]
+    rows = max(1, PRODUCT // len(label_units))
+    for i in range(0, len(units), rows):
+        sims = units[i:i + rows] @ label_units.T
+        at[i:i + rows] = np.round(sims, 12).argmax(axis=1)
+        best[i:i + rows] = sims[np.arange(len(sims)), at[i:i + rows]]
     return at, best
 
 
@@ -319,7 +324,7 @@ def nearest_in_cells(nodes: DataFrame, vocab: DataFrame, block_rows: int = BLOCK
         if open_.isEmpty():
             break
         asks = open_.select("type", "_vid", "embedding", F.explode("_ask").alias("_cell")).join(pieces, ["type", "_cell"])
-        many = asks.groupBy("type", "_cell").agg(F.ceil(F.count(F.lit(1)) / (16 * block_rows)).cast("int").alias("_chunks"))
+        many = asks.groupBy("type", "_cell").agg(F.ceil(F.count(F.lit(1)) / (ASKING * block_rows)).cast("int").alias("_chunks"))
         left = asks.join(many, ["type", "_cell"]).select(
             "type", "_cell", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
             F.pmod(F.xxhash64("_vid"), F.col("_chunks")).cast("int").alias("_chunk"), "_vid", "embedding")

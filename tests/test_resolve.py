@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,19 @@ def test_nearest_label_both_plans(spark):
     assert small[3] == (None, None)  # type t3 has no labels
 
 
+def test_best_labels_hold_few_cosines_at_once():
+    rng = np.random.default_rng(2)
+    labels, units = rng.normal(size=(6000, 8)), rng.normal(size=(5000, 8))
+    tracemalloc.start()
+    at, best = metric.best_labels(units, np.arange(6000), labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4,096 rows by 6,000 labels, twice, were 393 MB.
+    assert peak < 40e6
+    some = slice(0, 5000, 50)
+    assert (at[some] == (units[some] @ labels.T).argmax(axis=1)).all() and np.allclose(best[some], (units[some] @ labels.T).max(axis=1))
+
+
 def clustered(seed, clusters=40, each=60, dim=24, spread=0.03, kind="a"):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(clusters, dim))
