@@ -10,6 +10,9 @@ from parlance.operators.patterns import turn_windows
 from parlance.operators.turns import turn_line
 from parlance.runtime import rule_table, stored
 
+# Characters of the quotes that are judged at once beside their text.
+QUOTED = 1 << 20
+
 
 def valid_type_filter(df: DataFrame, types: list[str], col: str = "type") -> DataFrame:
     """Rows whose trimmed, upper-cased type is known; the type is stored in that form."""
@@ -52,17 +55,64 @@ def supported_quotes(
     """The distinct quotes (res_id, evidence) that their transcript supports, normalised as ``_ev``.
 
     ``transcripts``: whole texts, in one part or several, or turns as rows (with a column ``seq``), where a verbatim
-    quote may cross ``reach`` turn borders. Short quotes always pass. Others meet the words of their transcript in one
+    quote may cross ``reach`` turn borders. Short quotes always pass. A text in one part is judged beside its quotes, a
+    bounded batch of them at a time (see ``_beside_text``). Quotes of other transcripts meet the words of theirs in one
     equality join; the few that too few words support may still be verbatim, if their first or last word is a part of
     one. Their inner words are whole, so they meet the texts on the first two inner words, and only texts that hold
     both side by side are compared with them: no text is ever sent to each of its quotes.
     """
     found = stored(quotes.select("res_id", normalize_ws(F.col("evidence")).alias("_ev")).filter(F.col("_ev") != "").distinct().withColumns({
-        "_words": word_tokens(F.col("_ev")), "_quote": F.monotonically_increasing_id()}))
+        "_size": F.size(word_tokens(F.col("_ev"))), "_quote": F.monotonically_increasing_id()}))
     # Rows of words carry the number of their quote, never its text.
-    easy = found.filter(F.size("_words") <= short).select("_quote")
-    open_ = found.filter(F.size("_words") > short)
+    easy = found.filter(F.col("_size") <= short).select("_quote")
+    open_ = found.filter(F.col("_size") > short).drop("_size")
     rows = "seq" in transcripts.columns
+    judged = easy
+    if not rows:
+        several = transcripts.groupBy("res_id").count().filter("count > 1").select("res_id")
+        if several.isEmpty():
+            judged, open_ = easy.unionByName(_beside_text(open_, transcripts, min_share)), None
+        else:
+            several = stored(several)
+            judged = easy.unionByName(_beside_text(open_, transcripts.join(several, "res_id", "left_anti"), min_share))
+            open_, transcripts = (df.join(several, "res_id", "left_semi") for df in (open_, transcripts))
+    if open_ is not None:
+        judged = judged.unionByName(_by_words(open_, transcripts, rows, min_share, bracketed, reach))
+    return found.join(judged, "_quote").select("res_id", "_ev", F.lit(True).alias("_ok"))
+
+
+def _beside_text(quotes: DataFrame, texts: DataFrame, min_share: float) -> DataFrame:
+    """``_quote`` of the supported ones, each text being one row: it meets its quotes in batches of about QUOTED
+    characters, so that text and quotes are shuffled whole and never as words."""
+    # Few texts have more than one batch, if any: this table is small enough for Spark to broadcast.
+    sizes = stored(quotes.groupBy("res_id").agg(F.ceil(F.sum(F.length("_ev")) / QUOTED).cast("int").alias("_n")).filter("_n > 1"))
+    n = F.coalesce("_n", F.lit(1))
+    asked = quotes.join(sizes, "res_id", "left").groupBy("res_id", F.pmod(F.xxhash64("_ev"), n).cast("int").alias("_batch")).agg(
+        F.collect_list(F.struct("_quote", "_ev")).alias("_asked"))
+    told = texts.filter(F.col("text").isNotNull()).join(sizes, "res_id", "left").select(
+        "res_id", normalize_ws(F.col("text")).alias("_tr"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_batch"))
+    # Words are taken where text and quotes have met, so that they are not shuffled beside them.
+    words = lambda text: F.array_join(F.array_distinct(word_tokens(text)), " ")
+    said = F.transform("_asked", lambda q: F.struct(
+        q["_quote"].alias("_quote"), q["_ev"].alias("_ev"), F.array_join(word_tokens(q["_ev"]), " ").alias("_words")))
+
+    def judge(asked: list, known: str, text: str) -> list[int]:
+        words, good = set(known.split(" ")), []
+        for q in asked:
+            own = q["_words"].split(" ")
+            hits = sum(map(words.__contains__, own))
+            # A verbatim quote has at most two words that are no whole words of the text.
+            if hits / len(own) >= min_share or hits >= len(own) - 2 and q["_ev"] in text:
+                good.append(q["_quote"])
+        return good
+
+    udf = F.udf(judge, "array<bigint>", useArrow=True)
+    return asked.join(told, ["res_id", "_batch"]).select(F.explode(udf(said, words(F.col("_tr")), "_tr")).alias("_quote"))
+
+
+def _by_words(open_: DataFrame, transcripts: DataFrame, rows: bool, min_share: float, bracketed: bool, reach: int) -> DataFrame:
+    """``_quote`` of the supported ones, whatever the number and length of a transcript's parts."""
+    open_ = open_.withColumn("_words", word_tokens(F.col("_ev")))
     lines = transcripts.select("res_id", (turn_line(bracketed) if rows else F.col("text")).alias("text"))
     sought = open_.select("res_id").distinct()
     words = lines.join(sought, "res_id", "left_semi").select(
@@ -84,8 +134,7 @@ def supported_quotes(
     held = places.select("res_id", "seq", F.explode(F.array_append(F.array_distinct(pairs(word_tokens(F.col("_tr")))), F.lit(""))).alias("_pair"))
     met = held.join(keyed, ["res_id", "_pair"]).select("res_id", "seq", "_quote", "_ev")
     verbatim = met.join(places, ["res_id", "seq"]).filter(F.contains("_tr", "_ev")).select("_quote").distinct()
-    good = easy.unionByName(shared.filter(enough).select("_quote")).unionByName(verbatim)
-    return found.join(good, "_quote").select("res_id", "_ev", F.lit(True).alias("_ok"))
+    return shared.filter(enough).select("_quote").unionByName(verbatim)
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:

@@ -153,3 +153,19 @@ def test_sql_of_patterns_finds_the_turn_of_the_match_itself(spark, tmp_path, nam
     # A match ends with its line: the first "of" and the first "from" are no match together.
     assert want == [(1, "DIAGNOSIS", "great fall", "of it from", "P-2", "pattern")]
     assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select(*columns).collect()] == want
+
+
+def test_texts_and_quotes_are_shuffled_whole(spark, monkeypatch):
+    rows = [r for r in talk(5) if r[0] != "r2"]
+    quotes = spark.createDataFrame(quotes_of(rows, 6), "res_id string, evidence string")
+    whole = render_transcript(spark.createDataFrame(rows, TURN), True)
+    want = sorted((r.res_id, r.evidence) for r in quotes.join(whole, "res_id", "left").filter(
+        evidence_supported(F.col("evidence"), F.coalesce("text", F.lit("")))).select("res_id", "evidence").collect())
+    several = whole.unionByName(whole.filter("res_id = 'r1'"))
+    for texts in (whole, several):
+        for quoted in (1 << 20, 40):
+            monkeypatch.setattr(fl, "QUOTED", quoted)
+            kept = fl.grounding_filter(quotes, texts).filter("trim(evidence) != ''")
+            assert sorted((r.res_id, r.evidence) for r in kept.collect()) == [w for w in want if w[1].strip()]
+    # Words were rows of a shuffle.
+    assert "_word#" not in fl.supported_quotes(quotes, whole)._jdf.queryExecution().optimizedPlan().toString()
