@@ -16,8 +16,10 @@ from parlance.runtime import stored
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 QUANTITY_CAP = 1.5
-# Longest text that is matched by deletions, however lax the threshold.
-MAX_SHORT = 64
+# Longest text that is matched by deletions, however lax the threshold, and the most rows that one may become.
+MAX_SHORT, MAX_LEFT = 64, 2400
+# Rows of a join by deletions or chunks that one task has on both sides together.
+TASK_ROWS = 1 << 20
 
 
 def _texts(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,16 +37,20 @@ def _budget(longest, threshold: float):
 
 
 def _short_limit(threshold: float) -> int:
-    """The greatest length whose budget is two edits or fewer, and which deletions may handle."""
+    """The greatest length whose budget is three edits or fewer, and which deletions may handle."""
+    def fits(n: int) -> bool:
+        depth = math.floor(n * (1 - threshold) + 1e-9)
+        return depth <= 3 and sum(math.comb(n, k) for k in range(depth + 1)) <= MAX_LEFT
+
     n = 0
-    while n < MAX_SHORT and math.floor((n + 1) * (1 - threshold) + 1e-9) <= 2:
+    while n < MAX_SHORT and fits(n + 1):
         n += 1
     return n
 
 
 def _deletions(texts: DataFrame, keys: list[str], limit: int, threshold: float) -> DataFrame:
     """Rows (keys, text, n, settled, seg): a short text and hashes of what is left of it after as many deletions as the
-    budget of its own length allows, two at most.
+    budget of its own length allows, three at most.
 
     Texts within d edits of each other become equal after deletions from either: from the longer one d at most, from the
     other d less the difference in length. The budget grows by one at most with every character, so neither needs more
@@ -55,15 +61,32 @@ def _deletions(texts: DataFrame, keys: list[str], limit: int, threshold: float)
     one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, n + 1)))
     two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
         F.sequence(i + 1, n), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, n + 1)))))
+    three = F.flatten(F.flatten(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.transform(
+        F.sequence(i + 1, n - 1), lambda j: F.transform(F.sequence(j + 1, n), lambda k: F.concat(
+            cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, k), cut(k + 1, n + 1)))))))
     depth = _budget(n, threshold)
     none = F.array().cast("array<bigint>")
     hashed = lambda texts: F.transform(texts, lambda t: F.xxhash64(t))
     left = F.concat(F.array(F.col("id")), F.when(depth >= 1, hashed(one)).otherwise(none),
-                    F.when((depth >= 2) & (n >= 2), hashed(two)).otherwise(none))
+                    F.when((depth >= 2) & (n >= 2), hashed(two)).otherwise(none),
+                    F.when((depth >= 3) & (n >= 3), hashed(three)).otherwise(none))
     # The length is asked inside the list: a filter beside it might run after the list is made for long texts too.
     return texts.select(*keys, "text", "n", "settled", F.explode(F.when(n <= limit, F.array_distinct(left)).otherwise(none)).alias("seg"))
 
 
+def _left(n: Column, threshold: float) -> Column:
+    """At most so many rows come of a text of ``n`` characters by deletions."""
+    depth = _budget(n, threshold)
+    return 1 + F.when(depth >= 1, n).otherwise(0) + F.when(depth >= 2, n * (n - 1) / 2).otherwise(0) + F.when(
+        depth >= 3, n * (n - 1) * (n - 2) / 6).otherwise(0)
+
+
+def _dealt(df: DataFrame, rows: float, on: list[str]) -> DataFrame:
+    """``df`` in tasks of TASK_ROWS of ``rows`` each, where Spark's own number of partitions is too small for that."""
+    parts = math.ceil(rows / TASK_ROWS)
+    return df.repartition(parts, *on) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _chunk_size(n, threshold: float):
     """Characters of a chunk: a text of length n has more chunks than any similar text may differ by edits."""
     most = _budget(F.floor(n / F.lit(threshold) + F.lit(1e-9)), threshold)
@@ -99,10 +122,11 @@ def fuzzy_pairs(
 ) -> DataFrame:
     """(keys, student_text, baseline_text, similarity) with an edit similarity >= threshold.
 
-    Exact. Texts whose budget is two edits or fewer meet in an equality join on what deletions leave of them,
+    Exact. Texts whose budget is three edits or fewer meet in an equality join on what deletions leave of them,
     which few other texts share, and are judged inside the stage of that join. Longer ones meet on unchanged
     chunks, by ids and numbers only; the texts are fetched for the pairs that meet enough of them, and compared.
-    The number of rows grows with the length of a text, their width does not.
+    The number of rows grows with the length of a text, their width does not; the number of tasks grows with the
+    rows, which are counted first.
     """
     keys = list(keys)
     if metric != "levenshtein":
@@ -120,11 +144,19 @@ def _near(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: f
         raise ValueError("the threshold must be above 0.5")
     limit = _short_limit(threshold)
     student, baseline = _numbered(student), _numbered(baseline)
-    sn, bn = F.col("_sn"), F.col("_bn")
+    sn, bn, n = F.col("_sn"), F.col("_bn"), F.col("n")
     budget = _budget(F.greatest(sn, bn), threshold)
     edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), budget)
-
-    def met(s: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    # A long text has a window for every character and a few sizes, each of which can meet many chunks.
+    sizes = [F.sum(F.when(n <= limit, _left(n, threshold))).alias("short"),
+             F.sum(F.when(n >= threshold * (limit + 1) - 1e-9, 16 * n)).alias("long")]
+    counted = [df.agg(*sizes).first() for df in (student, baseline)]
+    short_rows, long_rows = (sum(r[c] or 0 for r in counted) for c in ("short", "long"))
+    # Few texts make many rows: they are spread before.
+    student, baseline = (_dealt(df, short_rows + long_rows, [*keys, "id"]) for df in (student, baseline))
+
+    def met(s: DataFrame, b: DataFrame, on: list[str], rows: float) -> DataFrame:
+        s, b = (_dealt(df, rows, [*keys, *on]) for df in (s, b))
         s = s.withColumnsRenamed({"text": "student_text", "id": "_sid", "n": "_sn", "settled": "_ss", "at": "_sat"})
         b = b.withColumnsRenamed({"text": "baseline_text", "id": "_bid", "n": "_bn", "settled": "_bs", "at": "_bat"})
         # The rows far outnumber the texts Spark has sizes for: ask for the join that spreads, spills
@@ -132,47 +164,58 @@ def _near(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: f
         return s.join(b.hint("merge"), [*keys, *on]).filter(~(F.col("_ss") & F.col("_bs")) & (F.abs(sn - bn) <= budget))
 
     pair = [*keys, "student_text", "baseline_text"]
-    short = met(_deletions(student, keys, limit, threshold), _deletions(baseline, keys, limit, threshold), ["seg"]).filter(
-        edits >= 0).select(*pair)
+    short = met(_deletions(student, keys, limit, threshold), _deletions(baseline, keys, limit, threshold), ["seg"],
+                short_rows).filter(edits >= 0).select(*pair)
     # An edit spoils one chunk at most and moves those behind it by one; the chunks left are counted before any text
     # is fetched.
-    near = met(_windows(student, keys, threshold, limit), _chunks(baseline, keys, threshold, limit), ["q", "seg"]).filter(
+    near = met(_windows(student, keys, threshold, limit), _chunks(baseline, keys, threshold, limit), ["q", "seg"],
+               long_rows).filter(
         (F.greatest(sn, bn) > limit) & (F.abs(F.col("_sat") - F.col("_bat")) <= budget))
     ids = [*keys, "_sid", "_bid", "_sn", "_bn"]
-    counted = near.groupBy(*ids, "q").agg(F.count("*").alias("_hits")).filter(
+    enough = near.groupBy(*ids, "q").agg(F.count("*").alias("_hits")).filter(
         F.col("_hits") >= F.floor(bn / F.col("q")) - budget).select(*ids).distinct()
     of = lambda texts, side, name: texts.select(
         *keys, F.col("id").alias(f"_{side}id"), F.col("n").alias(f"_{side}n"), F.col("text").alias(name))
-    fetched = counted.join(of(student, "s", "student_text"), [*keys, "_sid", "_sn"]).join(
+    fetched = enough.join(of(student, "s", "student_text"), [*keys, "_sid", "_sn"]).join(
         of(baseline, "b", "baseline_text"), [*keys, "_bid", "_bn"])
     return short.unionByName(fetched.filter(edits >= 0).select(*pair))
 
 
 def matched_texts(
     student: DataFrame, baseline: DataFrame, metric: str, threshold: float, keys: tuple[str, ...] = (),
+    only_baseline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct student and baseline texts, each with a ``matched`` flag."""
+    """Distinct student and baseline texts, each with a ``matched`` flag, or with null for students if ``only_baseline``."""
     keys = list(keys)
-    # Distinct texts are few beside the mentions they come from, and are read several times.
-    s, b = stored(_texts(student, keys)), stored(_texts(baseline, keys))
-    same = s.join(b, [*keys, "text"], "left_semi").withColumn("settled", F.lit(True))
-
-    def settled(texts: DataFrame) -> DataFrame:
-        return texts.join(same, [*keys, "text"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-
+    # Distinct texts are few beside the mentions they come from, and are read several times; each knows its sides.
+    tagged = _texts(student, keys).withColumns({"_s": F.lit(True), "_b": F.lit(False)}).unionByName(
+        _texts(baseline, keys).withColumns({"_s": F.lit(False), "_b": F.lit(True)}))
+    both = F.col("_s") & F.col("_b")
+    for k in keys:
+        # No null key equals another.
+        both = both & F.col(k).isNotNull()
+    texts = stored(tagged.groupBy(*keys, "text").agg(F.bool_or("_s").alias("_s"), F.bool_or("_b").alias("_b")).withColumn(
+        "settled", both))
+    s, b = (texts.filter(side).select(*keys, "text", "settled") for side in ("_s", "_b"))
     if metric == "exact":
-        return settled(s).withColumnRenamed("settled", "matched"), settled(b).withColumnRenamed("settled", "matched")
-    # A text found verbatim on the other side is matched; it is compared with unmatched texts only. Of the pairs
-    # no more than the texts on either side of one is kept.
-    sides = F.array(F.struct(F.lit("s").alias("side"), F.col("student_text").alias("text")),
-                    F.struct(F.lit("b").alias("side"), F.col("baseline_text").alias("text")))
-    hits = stored(_near(settled(s), settled(b), keys, threshold).select(*keys, F.inline(sides)).distinct())
+        return s.withColumnRenamed("settled", "matched"), b.withColumnRenamed("settled", "matched")
+    # A text found verbatim on the other side is matched; it is compared with unmatched texts only, and where no
+    # student is asked for, no matched baseline text is compared. Of the pairs no more than the texts asked for is kept.
+    if only_baseline:
+        close = _near(s.withColumn("settled", F.lit(True)), b.filter(~F.col("settled")), keys, threshold)
+        hits = stored(close.select(*keys, F.lit("b").alias("side"), F.col("baseline_text").alias("text")).distinct())
+    else:
+        sides = F.array(F.struct(F.lit("s").alias("side"), F.col("student_text").alias("text")),
+                        F.struct(F.lit("b").alias("side"), F.col("baseline_text").alias("text")))
+        hits = stored(_near(s, b, keys, threshold).select(*keys, F.inline(sides)).distinct())
 
     def flagged(texts: DataFrame, side: str) -> DataFrame:
         hit = hits.filter(F.col("side") == side).drop("side").withColumn("_hit", F.lit(True))
-        return settled(texts).join(hit, [*keys, "text"], "left").withColumn(
+        return texts.join(hit, [*keys, "text"], "left").withColumn(
             "matched", F.col("settled") | F.coalesce("_hit", F.lit(False))).drop("_hit", "settled")
 
+    if only_baseline:
+        return s.select(*keys, "text", F.lit(None).cast("boolean").alias("matched")), flagged(b, "b")
     return flagged(s, "s"), flagged(b, "b")
 
 
@@ -301,7 +344,7 @@ def per_patient_coverage(
     student: DataFrame, baseline: DataFrame, metric: str = "levenshtein", threshold: float = 0.8,
 ) -> DataFrame:
     """Per transcript: share of baseline texts that a student text of the same transcript matches."""
-    s, b = matched_texts(student, baseline, metric, threshold, ("res_id",))
+    s, b = matched_texts(student, baseline, metric, threshold, ("res_id",), only_baseline=True)
     per_b = b.groupBy("res_id").agg(
         F.count(F.lit(1)).alias("baseline_count"), F.count_if("matched").alias("matched"))
     per_s = s.groupBy("res_id").agg(F.count(F.lit(1)).alias("student_count"))

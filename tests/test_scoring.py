@@ -110,3 +110,34 @@ def test_empty_sides(spark):
     none, some = graph(spark, ["x"]).filter(F.lit(False)), graph(spark, ["x"])
     r = sc.node_overlap(none, some).first()
     assert (r.precision, r.recall, r.f1) == (0.0, 0.0, 0.0)
+
+
+def test_words_of_common_syllables_meet_by_deletions(spark):
+    """Words of 15 to 19 characters (three edits) make no windows: their chunks of three characters meet nearly all others."""
+    rng = random.Random(11)
+    def word():
+        return "".join(rng.choices(["cio", "ent", "aci", "men", "tra", "des"], k=6))[:rng.randint(12, 19)]
+    words = {word() for _ in range(120)}
+    for w in list(words):
+        at = sorted(rng.sample(range(len(w)), 3))
+        words |= {w[:at[0]] + w[at[0] + 1:at[1]] + "x" + w[at[1]:at[2]] + "y" + w[at[2] + 1:], w[1:], "zz" + w}
+    left, right = sorted(words)[::2], sorted(words)[1::2]
+    got = {(r.student_text, r.baseline_text) for r in sc.fuzzy_pairs(graph(spark, left), graph(spark, right)).collect()}
+    assert got == {(a, b) for a in left for b in right if similarity("", a, b) >= 0.8 - 1e-12}
+    texts = sc._numbered(sc._texts(graph(spark, [w for w in words if len(w) < 16]), []).withColumn("settled", F.lit(False)))
+    assert sc._windows(texts, [], 0.8, sc._short_limit(0.8)).isEmpty()
+    assert [sc._short_limit(t) for t in (0.8, 0.9, 0.95)] == [19, 29, 59]
+
+
+def test_tasks_grow_with_the_rows_of_a_join(spark):
+    few, many = (sc._dealt(spark.range(8), n * sc.TASK_ROWS, ["id"]).rdd.getNumPartitions() for n in (0.1, 50))
+    assert few <= 8 and many == 50
+
+
+def test_coverage_matches_no_null_key_and_flags_only_the_baseline(spark):
+    rows = "res_id string, text string, type string"
+    s = spark.createDataFrame([(None, "cough", "A"), ("r", "coughs", "A"), ("r", "rash", "A")], rows)
+    b = spark.createDataFrame([(None, "cough", "A"), ("r", "cough", "A"), ("r", "rash", "A"), ("r", "fever", "A")], rows)
+    assert {tuple(r) for r in sc.per_patient_coverage(s, b).collect()} == {(None, 0.0, 0, 0, 1), ("r", 0.6667, 2, 2, 3)}
+    flags, _ = sc.matched_texts(s, b, "levenshtein", 0.8, ("res_id",), only_baseline=True)
+    assert {r.matched for r in flags.collect()} == {None}
