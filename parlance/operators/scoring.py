@@ -20,6 +20,8 @@ QUANTITY_CAP = 1.5
 MAX_SHORT, MAX_LEFT = 64, 2400
 # Rows of a join by deletions or chunks that one task has on both sides together.
 TASK_ROWS = 1 << 20
+# Texts of one key (a transcript) are compared directly where these are no more pairs a text.
+PAIRED = 1024
 
 
 def _texts(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,10 +140,46 @@ def fuzzy_pairs(
         "similarity", levenshtein_similarity(F.col("student_text"), F.col("baseline_text")))
 
 
-def _near(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs of similar texts, some more than once, but for those in which both sides are settled already."""
+def _near(
+    student: DataFrame, baseline: DataFrame, keys: list[str], threshold: float, paired: int = PAIRED,
+) -> DataFrame:
+    """Pairs of similar texts, some more than once, but for those in which both sides are settled already.
+
+    Where there are keys, the texts of one mostly have few pairs: they meet by key and length. Keys of more than
+    ``paired`` pairs a text are searched as a whole vocabulary is.
+    """
     if threshold <= 0.5:
         raise ValueError("the threshold must be above 0.5")
+    if not keys:
+        return _searched(student, baseline, keys, threshold)
+    s, b = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(c)) for df, c in ((student, "_s"), (baseline, "_b")))
+    large = stored(s.join(b, keys).filter(F.col("_s") * F.col("_b") > paired * (F.col("_s") + F.col("_b"))).select(*keys))
+    if large.isEmpty():
+        return _beside(student, baseline, keys, threshold)
+    few = _beside(*(df.join(large, keys, "left_anti") for df in (student, baseline)), keys, threshold)
+    return few.unionByName(_searched(*(df.join(large, keys, "left_semi") for df in (student, baseline)), keys, threshold))
+
+
+def _beside(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The pairs of ``_near``, all texts of a key and of similar length compared."""
+    # Lengths in bands: those of similar texts are the same or neighbours. An edit changes the set of characters by two
+    # at most, which tells most pairs apart.
+    band = F.floor(F.log(F.length("text")) / (math.log(1 / threshold) + 1e-6))
+    signs = F.expr("aggregate(split(text, ''), 0L, (m, c) -> m | shiftleft(1L, ascii(c)))")
+    s = student.select(*keys, F.col("text").alias("student_text"), F.length("text").alias("_sn"), F.col("settled").alias("_ss"),
+                       signs.alias("_sm"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+    b = baseline.select(*keys, F.col("text").alias("baseline_text"), F.length("text").alias("_bn"), F.col("settled").alias("_bs"),
+                        signs.alias("_bm"), band.alias("_band"))
+    budget = _budget(F.greatest("_sn", "_bn"), threshold)
+    alike = ~(F.col("_ss") & F.col("_bs")) & (F.abs(F.col("_sn") - F.col("_bn")) <= budget) & (
+        F.bit_count(F.col("_sm").bitwiseXOR(F.col("_bm"))) <= 2 * budget)
+    edits = F.call_function("levenshtein", F.col("student_text"), F.col("baseline_text"), budget)
+    return s.join(b.hint("merge"), [*keys, "_band"]).filter(alike).filter(edits >= 0).select(
+        *keys, "student_text", "baseline_text")
+
+
+def _searched(student: DataFrame, baseline: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The pairs of ``_near`` in an equality join on what deletions leave, or on chunks."""
     limit = _short_limit(threshold)
     student, baseline = _numbered(student), _numbered(baseline)
     sn, bn, n = F.col("_sn"), F.col("_bn"), F.col("n")

@@ -141,3 +141,16 @@ def test_coverage_matches_no_null_key_and_flags_only_the_baseline(spark):
     assert {tuple(r) for r in sc.per_patient_coverage(s, b).collect()} == {(None, 0.0, 0, 0, 1), ("r", 0.6667, 2, 2, 3)}
     flags, _ = sc.matched_texts(s, b, "levenshtein", 0.8, ("res_id",), only_baseline=True)
     assert {r.matched for r in flags.collect()} == {None}
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 0.97])
+def test_texts_of_small_and_large_keys_lose_no_pair(spark, threshold):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(120)} | {"x" * 99, "x" * 97, "x" * 100}
+    words = sorted(words | {w[1:] + "z" for w in words})
+    s, b = ([(k, w) for i, w in enumerate(words) for k in ("p", "q") if (k == "p" or i < 9) and i % 2 == side] for side in (0, 1))
+    want = {(k, a, c) for k, a in s for j, c in b if j == k and similarity("", a, c) >= threshold - 1e-12}
+    made = [spark.createDataFrame(rows, "res_id string, text string").withColumn("settled", F.lit(False)) for rows in (s, b)]
+    for paired in (0, 8, 1024):  # all searched, one of each, all beside
+        got = [tuple(r) for r in sc._near(*made, ["res_id"], threshold, paired).distinct().collect()]
+        assert len(got) == len(set(got)) and set(got) == want
