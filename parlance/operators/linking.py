@@ -16,25 +16,26 @@ def alias_join(df: DataFrame, aliases: DataFrame, col: str = "text") -> DataFram
     return df.join(table, col, "left").withColumn(col, F.coalesce("canonical", col)).select(*df.columns)
 
 
-def _endpoint_index(nodes: DataFrame) -> DataFrame:
-    """Per transcript and text, the first node of each type: a list as long as the types."""
-    first = nodes.withColumn("_key", norm_key(F.col("text"))).groupBy("res_id", "_key", "type").agg(
-        F.min(F.struct("ord", "id")).alias("_first"))
-    return first.groupBy("res_id", "_key").agg(F.collect_list(
-        F.struct("type", F.col("_first.ord").alias("ord"), F.col("_first.id").alias("id"))).alias("_nodes"))
+def _endpoint_index(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """Per transcript and text, the first node of all and the first of each of ``types``, in one aggregation."""
+    first = F.struct("ord", "id")
+    return nodes.withColumn("_key", norm_key(F.col("text"))).groupBy("res_id", "_key").agg(
+        F.min(first).alias("_any"), *[F.min(F.when(F.col("type") == t, first)).alias(f"_of_{i}") for i, t in enumerate(types)])
 
 
-def _pick(candidates: str, category: Column, priority: dict, side: int) -> Column:
-    """The candidate of the best allowed type, else the one created first."""
-    types = F.create_map(*[x for cat, sides in priority.items() for x in (
-        F.lit(cat), F.array(*[F.lit(t) for t in sides[side]]))])
-    allowed = F.coalesce(F.try_element_at(types, category), F.array())
+def _pick(types: list[str], category: Column, priority: dict, side: int) -> Column:
+    """The node of the best allowed type, else the one created first."""
+    def first(wanted: list[str]) -> Column:
+        # Where a text has a node there is a first one. The types behind it decide nothing: with them both sides of an
+        # edge ask for the same columns, and share one index.
+        rest = [t for t in types if t not in wanted]
+        return F.coalesce(*[F.col(f"_of_{types.index(t)}") for t in wanted], F.col("_any"),
+                          *[F.col(f"_of_{types.index(t)}") for t in rest])["id"]
 
-    def ranked(c: Column) -> Column:
-        position = F.array_position(allowed, c["type"])
-        return F.struct(F.when(position == 0, F.lit(1 << 30)).otherwise(position), c["ord"], c["id"].alias("id"))
-
-    return F.array_min(F.transform(candidates, ranked))["id"]
+    best = first([])
+    for cat, sides in priority.items():
+        best = F.when(category == cat, first(sides[side])).otherwise(best)
+    return best
 
 
 def resolve_endpoints(edge_texts: DataFrame, nodes: DataFrame, priority: dict) -> DataFrame:
@@ -43,13 +44,14 @@ def resolve_endpoints(edge_texts: DataFrame, nodes: DataFrame, priority: dict) -
     ``edge_texts`` has res_id, category, src, dst, ord. Every text finds at most one index
     row, so edges are never multiplied and no window is needed to choose.
     """
-    index = _endpoint_index(nodes)
+    types = sorted({t for sides in priority.values() for side in sides for t in side})
+    index = _endpoint_index(nodes, types)
     keyed = edge_texts.withColumns({"_src": norm_key(F.col("src")), "_dst": norm_key(F.col("dst"))}).filter(
         (F.col("_src") != "") & (F.col("_dst") != ""))
     for side, (key, out) in enumerate((("_src", "source_id"), ("_dst", "target_id"))):
-        found = index.select("res_id", F.col("_key").alias(key), "_nodes")
+        found = index.withColumnRenamed("_key", key)
         keyed = keyed.join(found, ["res_id", key], "left").withColumn(
-            out, _pick("_nodes", F.col("category"), priority, side)).drop("_nodes")
+            out, _pick(types, F.col("category"), priority, side)).drop("_any", *[f"_of_{i}" for i in range(len(types))])
     return keyed.drop("_src", "_dst")
 
 

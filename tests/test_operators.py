@@ -241,3 +241,15 @@ def test_a_null_order_keeps_its_row(spark):
     raw = spark.createDataFrame([("r", "", "b", "SYMPTOM", "", "", None), ("r", "", "a", "SYMPTOM", "", "", 5)],
                                 "res_id string, id string, text string, type string, evidence string, turn_id string, ord bigint")
     assert rows(idt.merge_nodes(raw), "id", "text") == [("N_001", "a"), ("N_002", "b")]
+
+
+def test_endpoints_share_one_index_and_an_untyped_node_is_no_preferred_one(spark):
+    n = spark.createDataFrame([("r", "n1", "pets", None, 1), ("r", "n2", "pets", "TREATMENT", 2), ("r", "n3", "dust", None, 3)],
+                              "res_id string, id string, text string, type string, ord int")
+    t = spark.createDataFrame([("r", "CAUSES", "pets", "dust", 1), ("r", "OTHER", "pets", "dust", 2)],
+                              "res_id string, category string, src string, dst string, ord int")
+    found = ln.resolve_endpoints(t, n, {"CAUSES": (["DIAGNOSIS", "TREATMENT"], ["SYMPTOM"])})
+    assert rows(found, "ord", "source_id", "target_id") == [(1, "n2", "n3"), (2, "n1", "n3")]
+    # One shuffle makes the index, and both sides of an edge ask it for the same columns.
+    index = ln._endpoint_index(n, ["A", "B"])._jdf.queryExecution().executedPlan().toString()
+    assert index.count("Exchange hashpartitioning") == 1
