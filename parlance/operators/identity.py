@@ -50,7 +50,9 @@ def dedup_mentions(items: DataFrame, buckets: list[str]) -> DataFrame:
 
 def merge_and_remap(keyed: DataFrame, edges: DataFrame, edge_types: list[str]) -> tuple[DataFrame, DataFrame]:
     """Merge ``keyed`` nodes and carry edges over; a merged node's edges go to its survivor."""
-    survivors = numbered_survivors(keyed)
+    # Texts are made once; nodes and their new ids are read by the numbering and by both ends of the edges.
+    keyed = stored(keyed)
+    survivors = stored(numbered_survivors(keyed))
     moved = keyed.select("res_id", F.col("id").alias("_old"), "text", "type").join(
         survivors.select("res_id", "text", "type", F.col("id").alias("_new")), ["res_id", "text", "type"])
     id_map = moved.groupBy("res_id", "_old").agg(F.min("_new").alias("_new"))

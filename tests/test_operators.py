@@ -253,3 +253,11 @@ def test_endpoints_share_one_index_and_an_untyped_node_is_no_preferred_one(spark
     # One shuffle makes the index, and both sides of an edge ask it for the same columns.
     index = ln._endpoint_index(n, ["A", "B"])._jdf.queryExecution().executedPlan().toString()
     assert index.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_of_merged_nodes_are_made_once(spark):
+    n = nodes(spark, ("a", "The Cough", "SYMPTOM", ""), ("b", "cough", "SYMPTOM", ""), ("c", "rash", "SYMPTOM", ""))
+    _, e = idt.renumber_graph(n, edges(spark, ("a", "c", "CAUSES"), ("b", "c", "CAUSES"), ("a", "b", "CAUSES")))
+    assert rows(e, "source_id", "target_id") == [("N_001", "N_002")]
+    # Neither the numbering nor either end of an edge normalises the texts again.
+    assert "regexp" not in e._jdf.queryExecution().optimizedPlan().toString()
