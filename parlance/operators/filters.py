@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import canonicalize_text, normalize_ws, strip_ws, word_tokens
 from parlance.operators.patterns import turn_windows
 from parlance.operators.turns import turn_line
-from parlance.runtime import rule_table, stored
+from parlance.runtime import MAX_RULE_ROWS, rule_table, stored
 
 # Characters of the quotes that are judged at once beside their text.
 QUOTED = 1 << 20
@@ -159,6 +159,9 @@ def edge_validity_filter(edges: DataFrame, nodes: DataFrame, types: list[str]) -
 def type_pair_filter(edges: DataFrame, nodes: DataFrame, allowed: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
     """Edges whose (relation, source type, target type) is admissible."""
     table = rule_table(edges.sparkSession, allowed, ["type", "src_type", "tgt_type"])
+    # Relations that no rule names are dropped before their endpoints are fetched.
+    if not isinstance(allowed, DataFrame) and len(allowed) <= MAX_RULE_ROWS:
+        edges = edges.filter(F.col("type").isin(sorted({r[0] for r in allowed if r[0] is not None})))
     return with_endpoints(edges, nodes).join(table, ["type", "src_type", "tgt_type"], "left_semi")
 
 

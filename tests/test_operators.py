@@ -261,3 +261,12 @@ def test_texts_of_merged_nodes_are_made_once(spark):
     assert rows(e, "source_id", "target_id") == [("N_001", "N_002")]
     # Neither the numbering nor either end of an edge normalises the texts again.
     assert "regexp" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_type_pairs_drop_unnamed_relations_before_the_joins(spark):
+    n = nodes(spark, ("a", "x", "SYMPTOM", ""), ("b", "y", "DIAGNOSIS", ""))
+    e = edges(spark, ("a", "b", "INDICATES"), ("a", "b", "CAUSES"))
+    found = fl.type_pair_filter(e, n, [("INDICATES", "SYMPTOM", "DIAGNOSIS"), (None, "SYMPTOM", "DIAGNOSIS")])
+    assert rows(found, "type", "src_text", "tgt_text") == [("INDICATES", "x", "y")]
+    assert "= INDICATES" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert fl.type_pair_filter(e, n, []).count() == 0
