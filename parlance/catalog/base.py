@@ -278,25 +278,43 @@ def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
             .join(nation, F.col("s_nationkey") == nation["n_nationkey"])
             .select(F.col("l_orderkey").alias("res_id"), "src_text", "src_type", relation.alias("type"),
-                    "tgt_text", F.lit("NATION").alias("tgt_type"), "l_linenumber", "l_quantity"))
+                    "tgt_text", F.lit("NATION").alias("tgt_type"), "l_linenumber", "l_quantity",
+                    _key("P", "l_partkey").alias("src_id"), _key("N", "n_nationkey").alias("tgt_id")))
 
 
-def _key(kind: str, text: str):
-    return F.concat_ws(":", kind, text)
+def _key(kind: str, key: str):
+    return F.concat(F.lit(kind), F.col(key).cast("string"))
 
 
-def trade_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_mentions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Part and nation of every line. ``dealt``: by order, before a line becomes two mentions, for what is grouped by order."""
     lines = trade_lines(spark, sf_dir)
-    return lines.select("res_id", F.inline(F.array(*[
-        F.struct(_key(f"{s}_type", f"{s}_text").alias("id"), F.col(f"{s}_text").alias("text"),
-                 F.col(f"{s}_type").alias("type")) for s in ("src", "tgt")])))
+    sides = (lines.repartition("res_id") if dealt else lines).withColumn("_src", F.explode(F.array(F.lit(True), F.lit(False))))
+    return sides.select("res_id", *[
+        F.when(F.col("_src"), F.col(f"src_{c}")).otherwise(F.col(f"tgt_{c}")).alias(c) for c in ("id", "text", "type")])
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes are unique per order; edges keep one row per line."""
-    edges = trade_lines(spark, sf_dir).select(
-        "res_id", _key("src_type", "src_text").alias("source_id"), _key("tgt_type", "tgt_text").alias("target_id"), "type")
-    return trade_mentions(spark, sf_dir).distinct(), edges
+    """Nodes are unique per order, known by the key of their part or nation; edges keep one row per line.
+
+    Edges look no text up: one whose part or nation is missing finds no endpoint.
+    """
+    line = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("res_id"), "l_partkey", "l_suppkey",
+        F.concat("l_returnflag", "l_linestatus").alias("type"))
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_brand")).alias("text"), F.col("p_type").alias("type"))
+    nation = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.lower("n_name").alias("text"), F.lit("NATION").alias("type"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sold = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = sold.select("res_id", _key("P", "l_partkey").alias("source_id"), _key("N", "s_nationkey").alias("target_id"), "type")
+    parts = line.drop("type").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "res_id", _key("P", "p_partkey").alias("id"), "text", "type")
+    nations = sold.drop("type").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "res_id", _key("N", "n_nationkey").alias("id"), "text", "type")
+    # Dealt as endpoints are looked up, so that one shuffle serves both.
+    return parts.unionByName(nations).repartition("res_id", "id").dropDuplicates(["res_id", "id"]), edges
 
 
 TRADE_SQL = """

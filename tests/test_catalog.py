@@ -1,7 +1,11 @@
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from parlance.catalog.base import trade_graph, trade_lines
+from parlance.operators.filters import with_endpoints
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -21,3 +25,32 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Joins as large tables have them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def dealt(df, keys):
+    return len(re.findall(rf"Exchange hashpartitioning\({keys}", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_trade_graph_is_dealt_once_by_node(shuffled_joins):
+    nodes, edges = trade_graph(shuffled_joins, SF)
+    # Two sides, each with one shuffle of the nodes and one of the edges; nodes are unique already.
+    assert dealt(with_endpoints(edges, nodes), "res_id#") == 4
+    assert not any("part.parquet" in f for f in edges.inputFiles())
+    assert nodes.count() == nodes.select("res_id", "id").distinct().count()
+    told = with_endpoints(edges, nodes).groupBy("res_id", "src_text", "src_type", "type", "tgt_text", "tgt_type").count()
+    lines = trade_lines(shuffled_joins, SF).groupBy("res_id", "src_text", "src_type", "type", "tgt_text", "tgt_type").count()
+    assert told.exceptAll(lines).isEmpty() and lines.exceptAll(told).isEmpty()
+
+
+def test_unify_exact_deals_lines_by_order(shuffled_joins):
+    plan = QUERIES["unify_exact"](shuffled_joins, SF)
+    # Mentions are counted where an order's lines lie; no mention is shuffled by its text and order.
+    assert dealt(plan, "text#[0-9]+, type#[0-9]+, res_id#") == 0 and dealt(plan, "res_id#") == 5
