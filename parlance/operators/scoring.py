@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from parlance.functions.similarity import levenshtein_similarity
 from parlance.functions.text import norm_key
-from parlance.runtime import stored
+from parlance.runtime import TASK_ROWS, stored  # noqa: F401
+from parlance.runtime import dealt as _dealt
 from parlance.schema import EDGE_TYPES, NODE_TYPES
 
 QUANTITY_CAP = 1.5
 # Longest text that is matched by deletions, however lax the threshold, and the most rows that one may become.
 MAX_SHORT, MAX_LEFT = 64, 2400
-# Rows of a join by deletions or chunks that one task has on both sides together.
-TASK_ROWS = 1 << 20
 # Texts of one key (a transcript) are compared directly where these are no more pairs a text.
 PAIRED = 1024
 
@@ -83,12 +82,6 @@ def _left(n: Column, threshold: float) -> Column:
         depth >= 3, n * (n - 1) * (n - 2) / 6).otherwise(0)
 
 
-def _dealt(df: DataFrame, rows: float, on: list[str]) -> DataFrame:
-    """``df`` in tasks of TASK_ROWS of ``rows`` each, where Spark's own number of partitions is too small for that."""
-    parts = math.ceil(rows / TASK_ROWS)
-    return df.repartition(parts, *on) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
-
-
 def _chunk_size(n, threshold: float):
     """Characters of a chunk: a text of length n has more chunks than any similar text may differ by edits."""
     most = _budget(F.floor(n / F.lit(threshold) + F.lit(1e-9)), threshold)

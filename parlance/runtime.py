@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 MAX_RULE_ROWS = 10_000
 # Rows of one key that a single task may have to sort when numbering.
 SLOT_ROWS = 1 << 20
+# Rows of a task, where they are counted.
+TASK_ROWS = 1 << 20
 
 
 def rule_table(spark: SparkSession, rows: list[tuple] | DataFrame, names: list[str]) -> DataFrame:
@@ -51,6 +54,12 @@ def spread_small(df: DataFrame, floor: int = 1 << 20, limit: int = 256 << 20) ->
     return df.repartition(cores) if floor <= size <= limit else df
 
 
+def dealt(df: DataFrame, rows: float, on: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of ``task_rows`` of ``rows`` each, where Spark's own number of partitions is too small for that."""
+    parts = math.ceil(rows / task_rows)
+    return df.repartition(parts, *on) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def running_counts(
     df: DataFrame, keys: list[str], order: list[str], ord_col: str | list[str],
     counts: dict[str, Column | None], slot_rows: int = SLOT_ROWS,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions.text import id_from_stem, sanitize_id
+from parlance.runtime import TASK_ROWS, dealt
 from parlance.schema import BUCKET_DOC, KG_DOC
 from parlance.sources.transcripts import file_stem
 
@@ -43,33 +44,36 @@ def pack_kg(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     })
 
 
-def kg_fragments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The documents as lines of JSON in pieces (value), sorted so that a task writes one after the other: the head, a
-    piece per node, the bridge, a piece per edge, the end. No document is ever one value."""
+def kg_fragments(nodes: DataFrame, edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The documents as lines of JSON in pieces (value), sorted so that a task writes one after the other: a piece per
+    node and per edge, the first with the head, the one where the lists meet with the bridge, the last with the end. No
+    document is ever one value. Rows are counted first and dealt to tasks of about ``task_rows``, which sort them once."""
     def part(df: DataFrame, section: int, names: list[str]) -> DataFrame:
         return df.select("res_id", F.lit(section).alias("section"), "ord", F.to_json(F.struct(*names)).alias("value"))
 
     items = part(nodes, 1, _NODE).unionByName(part(edges, 3, _EDGE))
+    items = dealt(items, items.count(), ["res_id"], task_rows)
     key = F.col("res_id").cast("string")
     named = F.to_json(F.struct(key.alias("res_id"), sanitize_id(key).alias("file_id")))
     head = F.concat(F.substr(named, F.lit(1), F.length(named) - 1), F.lit(', "nodes": ['))
-    frame = F.array(*[F.struct(F.lit(s).alias("section"), v.alias("value")) for s, v in (
-        (0, head), (2, F.lit('], "edges": [')), (4, F.lit("]}\n")))])
-    frames = items.select("res_id").distinct().select("res_id", F.inline(frame)).withColumn(
-        "ord", F.lit(None).cast(items.schema["ord"].dataType))
+    bridge, end = F.lit('], "edges": ['), F.lit("]}\n")
     order = ["section", "ord", "value"]
-    before = F.lag("section").over(Window.partitionBy("res_id").orderBy(*order))
+    of_graph = Window.partitionBy("res_id").orderBy(*order)
+    around = items.withColumns({"before": F.lag("section").over(of_graph), "after": F.lead("section").over(of_graph)})
+    first, last, edge = F.col("before").isNull(), F.col("after").isNull(), F.col("section") == 3
     # A comma stands before every item but the first of its list.
-    comma = F.when(before == F.col("section"), ",").otherwise("")
-    return items.unionByName(frames).withColumn("value", F.concat(comma, "value")).sortWithinPartitions(
-        "res_id", *order).select("value")
+    between = F.when(edge & (first | (F.col("before") != F.col("section"))), bridge).when(~first, ",").otherwise("")
+    piece = F.concat(F.when(first, head).otherwise(""), between, "value", F.when(last & ~edge, bridge).otherwise(""),
+                     F.when(last, end).otherwise(""))
+    # The window has sorted the rows this way already, so Spark drops this sort.
+    return around.sortWithinPartitions("res_id", *order).select(piece.alias("value"))
 
 
 def write_kg(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "json") -> None:
     """Write documents under their own ids; Spark's commit protocol makes the write atomic.
 
     ``file_id`` is the sanitised id, for those who name files after it; two ids may share one. JSON is written from
-    sorted rows as they pass, in memory that no graph's size moves; in any other format a document is one row.
+    sorted rows as they pass, no more of them in a task than about a million or one graph; in any other format a document is one row.
     """
     if fmt == "json":
         # White space may stand between any two pieces.

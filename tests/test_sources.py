@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -64,6 +65,26 @@ def test_a_large_graph_is_written_as_it_passes(spark, tmp_path):
     assert [r.source_id for r in links.orderBy("ord").limit(3).collect()] == ["N_0", "N_1", "N_2"]
 
 
+def test_graphs_are_dealt_by_their_rows_and_sorted_once(spark, tmp_path):
+    nodes = spark.range(3000).selectExpr("concat('R', id div 3) res_id", "concat('N_', id) id", "'t' text", "'A' type", "'' evidence",
+                                         "'' turn_id", "id ord")
+    edges = nodes.filter("ord % 2 = 0").selectExpr("concat('E', res_id) res_id", "id source_id", "id target_id", "type", "evidence", "turn_id", "ord")
+    lone = nodes.filter("ord % 7 = 0").selectExpr("res_id", "id source_id", "id target_id", "type", "evidence", "turn_id", "ord")
+    pieces = kgdocs.kg_fragments(nodes, edges.unionByName(lone), task_rows=100)
+    # As many tasks as rows ask for, whatever Spark's number of partitions; one row each, sorted for the window alone.
+    assert pieces.rdd.getNumPartitions() == 50 and pieces.count() == 4929
+    assert len(re.findall(r"(?m)^[ :+-]*Sort ", pieces._jdf.queryExecution().executedPlan().toString())) == 1
+    pieces.write.text(str(tmp_path / "g"), lineSep=" ")
+    docs = kgdocs.read_kg(spark, str(tmp_path / "g"))
+    back, links = kgdocs.explode_kg(docs)
+    # Graphs of nodes, of edges and of both.
+    assert docs.count() == 2000 and docs.filter("nodes is null or edges is null").isEmpty()
+    for got, want in ((back, nodes), (links, edges.unionByName(lone))):
+        names = got.columns[:-1]
+        assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+    assert back.filter("ord <> right(id, length(id) - 2) % 3").isEmpty()
+
+
 def test_answers_as_lines(spark, tmp_path):
     out = str(tmp_path / "lines")
     spark.createDataFrame([("R_1", "SYMPTOM", [("a",)]), ("R_1", "SYMPTOM", [("b",), ("c",)]), ("R_2", "LAB", None)],
