@@ -16,7 +16,7 @@ from parlance.operators.extract import lexicon_extract
 from parlance.operators.identity import merge_nodes
 from parlance.operators.turns import dialogue_to_turns, render_transcript
 from parlance.functions.text import word_tokens
-from parlance.runtime import rule_table, spread_small
+from parlance.runtime import TASK_ROWS, dealt, rule_table, spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,10 +294,11 @@ def trade_mentions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> Dat
         F.when(F.col("_src"), F.col(f"src_{c}")).otherwise(F.col(f"tgt_{c}")).alias(c) for c in ("id", "text", "type")])
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def trade_graph(spark: SparkSession, sf_dir: str, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Nodes are unique per order, known by the key of their part or nation; edges keep one row per line.
 
-    Edges look no text up: one whose part or nation is missing finds no endpoint.
+    Edges look no text up: one whose part or nation is missing finds no endpoint. Lines are counted first; both tables are
+    dealt as endpoints are looked up, in tasks of about ``task_rows`` lines where Spark's own would be larger.
     """
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("res_id"), "l_partkey", "l_suppkey",
@@ -307,14 +308,17 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     nation = table(spark, sf_dir, "nation").select(
         "n_nationkey", F.lower("n_name").alias("text"), F.lit("NATION").alias("type"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    rows = line.count()
     sold = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = sold.select("res_id", _key("P", "l_partkey").alias("source_id"), _key("N", "s_nationkey").alias("target_id"), "type")
-    parts = line.drop("type").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    # Keys are made unique before their texts are looked up; one shuffle by part serves both.
+    by_part = dealt(line.select("res_id", "l_partkey").repartition("l_partkey"), rows, ["l_partkey"], task_rows)
+    parts = by_part.distinct().join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "res_id", _key("P", "p_partkey").alias("id"), "text", "type")
-    nations = sold.drop("type").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "res_id", _key("N", "n_nationkey").alias("id"), "text", "type")
-    # Dealt as endpoints are looked up, so that one shuffle serves both.
-    return parts.unionByName(nations).repartition("res_id", "id").dropDuplicates(["res_id", "id"]), edges
+    nations = sold.select("res_id", "s_nationkey").distinct().join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey")).select("res_id", _key("N", "n_nationkey").alias("id"), "text", "type")
+    return (dealt(parts.unionByName(nations), rows, ["res_id", "id"], task_rows),
+            dealt(edges, rows, ["res_id", "source_id"], task_rows))
 
 
 TRADE_SQL = """
