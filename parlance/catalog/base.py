@@ -286,10 +286,12 @@ def _key(kind: str, key: str):
     return F.concat(F.lit(kind), F.col(key).cast("string"))
 
 
-def trade_mentions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """Part and nation of every line. ``dealt``: by order, before a line becomes two mentions, for what is grouped by order."""
+def trade_mentions(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """Part and nation of every line. ``by_order``: dealt so, before a line becomes two mentions, for what is grouped by order."""
     lines = trade_lines(spark, sf_dir)
-    sides = (lines.repartition("res_id") if dealt else lines).withColumn("_src", F.explode(F.array(F.lit(True), F.lit(False))))
+    if by_order:
+        lines = dealt(lines.repartition("res_id"), table(spark, sf_dir, "lineitem").count(), ["res_id"])
+    sides = lines.withColumn("_src", F.explode(F.array(F.lit(True), F.lit(False))))
     return sides.select("res_id", *[
         F.when(F.col("_src"), F.col(f"src_{c}")).otherwise(F.col(f"tgt_{c}")).alias(c) for c in ("id", "text", "type")])
 

@@ -89,7 +89,7 @@ UNION ALL
 SELECT 'edge', lower(src_text) || '>' || lower(tgt_text), type, count(*), count(DISTINCT res_id) FROM lines GROUP BY 2, 3""")
 def unify_exact(spark, sf):
     nodes, edges = trade_graph(spark, sf)
-    unified, _, _ = st.unify_exact(trade_mentions(spark, sf, dealt=True), edges)
+    unified, _, _ = st.unify_exact(trade_mentions(spark, sf, by_order=True), edges)
     _, _, unified_edges = st.unify_exact(nodes, edges)
     pairs = unified_edges.groupBy(
         F.concat_ws(">", F.lower("src_text"), F.lower("tgt_text")).alias("a"), F.col("type").alias("b"), "res_id").agg(
