@@ -9,7 +9,9 @@ near 2^31 are used together, so that unequal spans of a few million positions ha
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,9 @@ class PrefixHash:
     """The prefix arrays of a text of ``n`` code points: 8 bytes a position, beside 16 of the shared powers."""
 
     def __init__(self, text: str, powers: Powers, head: PrefixHash | None = None, shared: int = 0):
-        """``head``: the arrays of a text that agrees on the first ``shared`` code points; their entries are taken."""
+        """``head``: a text that agrees on the first ``shared`` code points; what it has of them is taken."""
         points = code_points(text)
-        self.n, self.powers = len(points), powers
+        self.n, self.powers, self.head, self.shared = len(points), powers, head, shared
         powers.upto(self.n)
         self.sums = []
         for k, p in enumerate(PRIMES):
@@ -87,43 +89,66 @@ class PrefixHash:
             out = (out << np.uint64(31)) | (gap * down % np.uint64(p))
         return out
 
+    def span(self, at: int, length: int) -> int:
+        """The hash of one span, as ``spans`` has it, without the cost of arrays."""
+        out = 0
+        for p, s, d in zip(PRIMES, self.sums, self.powers.down):
+            out = out << 31 | (s.item(at + length) - s.item(at)) * d.item(at) % p
+        return out
+
     def whole(self) -> int:
-        return int(self.spans(np.zeros(1, np.int64), self.n)[0])
+        return self.span(0, self.n)
 
+    @cached_property
+    def long_spans(self) -> np.ndarray:
+        """The ``mixed`` hashes of all spans of LONG code points; those within the shared front are the head's."""
+        return mixed(self, LONG, self.head.long_spans[:max(self.shared - LONG + 1, 0)] if self.head else ())
 
-def common_extension(a: PrefixHash, i, b: PrefixHash, j) -> np.ndarray:
-    """How many code points agree from ``i`` in ``a`` and ``j`` in ``b`` on, pair by pair: a binary search each."""
-    i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
-    low, high = np.zeros(len(i), np.int64), np.minimum(a.n - i, b.n - j)
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = a.spans(i, mid) == b.spans(j, mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
-
-
-def _least(text: PrefixHash, length: int) -> list[int]:
-    """The ``KEPT`` least distinct span hashes, mixed and cut to 32 bits; of a shorter text, its one span."""
-    if not text.n:
-        return []
+
+def mixed(text: PrefixHash, length: int, known=()) -> np.ndarray:
+    """The hashes of all spans of a length, mixed and cut to 32 bits; of a shorter text, of its one span.
+
+    ``known``: those of the first spans.
+    """
     length = min(length, text.n)
-    kept = np.zeros(0, np.uint64)
-    for at in range(0, text.n - length + 1, RUN):
-        with np.errstate(over="ignore"):
-            x = text.every(length, at, min(at + RUN, text.n - length + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-        if len(x) > 8 * KEPT:
-            # Enough for KEPT distinct ones, unless spans repeat.
-            few = np.unique(np.partition(x, 4 * KEPT)[:4 * KEPT])
-            x = few if len(few) >= KEPT else x
-        kept = np.unique(np.concatenate([kept, x]))[:KEPT]
-    return kept.tolist()
+    out = np.zeros(text.n - length + 1 if text.n else 0, np.uint32)
+    out[:len(known)] = known
+    for at in range(len(known), len(out), RUN):
+        to = min(at + RUN, len(out))
+        x = text.every(length, at, to) * np.uint64(0x9E3779B97F4A7C15)
+        out[at:to] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    return out
+
+
+def common_extension(a: PrefixHash, i, b: PrefixHash, j) -> np.ndarray:
+    """How many code points agree from ``i`` in ``a`` and ``j`` in ``b`` on, pair by pair: a binary search each.
+
+    It ends below the first power of two that does not agree, so that short extensions take few comparisons.
+    """
+    def agreeing(x: int, y: int) -> int:
+        def differ(n: int) -> bool:
+            return a.span(x, n) != b.span(y, n)
+
+        most, reach = min(a.n - x, b.n - y), 1
+        while reach <= most and not differ(reach):
+            reach *= 2
+        # Lengths up to half the reach agree.
+        return bisect_left(range(most + 1), True, reach // 2 + 1, min(reach, most + 1), key=differ) - 1
+
+    return np.array([agreeing(int(x), int(y)) for x, y in zip(i, j)], np.int64)
+
+
+def _least(hashes: np.ndarray) -> list[int]:
+    """The ``KEPT`` least distinct ones."""
+    # Hashes are spread evenly, so enough of them lie below this, unless spans repeat.
+    few = np.unique(hashes[hashes < (2 * KEPT << 32) // max(len(hashes), 1)])
+    return (few if len(few) >= KEPT else np.unique(hashes))[:KEPT].tolist()
 
 
 def fingerprint(text: PrefixHash) -> str:
     """``length:whole hash:long spans:short spans`` in hexadecimal: bounded, and a function of the text alone."""
-    kinds = [_least(text, LONG), _least(text, SHORT) if text.n < FEW else []]
-    return ":".join([f"{text.n:x}", f"{text.whole():016x}", *("".join(f"{h:08x}" for h in kind) for kind in kinds)])
+    kinds = [_least(text.long_spans), _least(mixed(text, SHORT)) if text.n < FEW else []]
+    return ":".join([f"{text.n:x}", f"{text.whole():016x}", *("%08x" * len(kind) % tuple(kind) for kind in kinds)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -138,10 +163,12 @@ def likeness(a: str, b: str) -> float:
     (n, _, *mine), (m, _, *theirs) = (f.split(":") for f in (a, b))
     small = int(n, 16) < SMALL or int(m, 16) < SMALL
     kind = int(small and max(int(n, 16), int(m, 16)) < FEW)
-    x, y = ({h[kind][i:i + 8] for i in range(0, len(h[kind]), 8)} for h in (mine, theirs))
-    ends = [max(s) for s in (x, y) if len(s) == KEPT]
-    union = [h for h in x | y if not ends or h <= min(ends)]
-    both = sum(h in x and h in y for h in union) / len(union) if union else 0.0
+    x, y = ([h[kind][i:i + 8] for i in range(0, len(h[kind]), 8)] for h in (mine, theirs))
+    ends = [s[-1] for s in (x, y) if len(s) == KEPT]
+    if ends:
+        x, y = (s[:bisect_right(s, min(ends))] for s in (x, y))
+    union = set(x).union(y)
+    both = len(set(x).intersection(y)) / len(union) if union else 0.0
     return 2 * both / (1 + both)
 
 
@@ -169,7 +196,7 @@ class _Texts:
         new, stay = edited(text, following)
         other = PrefixHash(new, self.powers, own, stay)
         new_mark = fingerprint(other)
-        agree = int(common_extension(own, [0], other, [0])[0])
+        agree = stay + int(common_extension(own, [stay], other, [stay])[0])
         return (doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogateescape")).hexdigest(), mark, new_mark,
                 likeness(mark, new_mark), likeness(mark, next_mark), agree)
 
@@ -197,7 +224,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     One shuffle: rows are dealt out by ranges and sorted, and each task reads its rows in order, two texts at a time.
     What it lacks, the row behind its last one, is written beside the results and met by a small join, one row for
-    each task. A text takes about 30 bytes a code point while it is worked on.
+    each task. A text and the next take about 60 bytes a code point of theirs while they are worked on.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [*_NAMES, "part", "end", "text"]

@@ -67,6 +67,44 @@ def test_common_extensions_by_hand():
         assert P.common_extension(hashed(a), i, hashed(b), j).tolist() == [extension(x, y) for x, y in zip(i, j)]
 
 
+def test_extensions_from_none_to_whole_texts():
+    a = "ab" * 40
+    for n in range(81):
+        b = a[:n] + "x" * (80 - n)
+        assert P.common_extension(hashed(a), [0, 0], hashed(b), [0, 80]).tolist() == [n, 0]
+
+
+def test_an_edited_text_hashes_only_its_new_spans(monkeypatch):
+    rnd = random.Random(6)
+    text, following = some_text(rnd, 3000), some_text(rnd, 900)
+    asked, every = [], P.PrefixHash.every
+    monkeypatch.setattr(P.PrefixHash, "every", lambda self, k, at, to: asked.append(to - at) or every(self, k, at, to))
+    texts = P._Texts()
+    own = texts.hashed(text)
+    mark = P.fingerprint(own)
+    assert sum(asked) == 3000 - P.LONG + 1
+    asked.clear()
+    assert texts.row(1, text, own, mark, following, mark)[4] == P.fingerprint(hashed(text[:2000] + following))
+    # Those that begin in the last LONG - 1 kept code points or later; the rest is what the assertion itself hashes.
+    assert sum(asked) == 900 + 2900 - P.LONG + 1
+
+
+def test_spans_of_a_head_are_those_of_the_text():
+    rnd = random.Random(7)
+    for n, shared in ((5, 3), (15, 15), (16, 16), (17, 16), (40, 15), (40, 16), (400, 267), (3 * P.RUN, P.RUN + 9)):
+        t = some_text(rnd, n)
+        new = t[:shared] + some_text(rnd, rnd.randrange(60))
+        found = P.PrefixHash(new, POWERS, hashed(t), shared).long_spans
+        assert found.tolist() == hashed(new).long_spans.tolist() == P.mixed(hashed(new), P.LONG).tolist()
+
+
+def test_least_hashes_where_spans_repeat():
+    rnd = random.Random(8)
+    for t in ("", "a", "ab" * 5000, "x" * 300, some_text(rnd, 5000), some_text(rnd, 60) * 100):
+        spans = P.mixed(hashed(t), P.LONG).tolist()
+        assert P._least(P.mixed(hashed(t), P.LONG)) == sorted(set(spans))[:P.KEPT]
+
+
 def all_spans(text):
     return {text[i:i + P.LONG] for i in range(len(text) - P.LONG + 1)}
 
