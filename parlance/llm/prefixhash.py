@@ -12,6 +12,7 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ LONG, SHORT, SMALL, FEW = 16, 4, 64, 256
 KEPT = 48
 # Positions worked on at once.
 RUN = 1 << 16
+# Code points of short texts that are hashed together.
+GROUP = 1 << 14
 
 
 class Powers:
@@ -55,10 +58,10 @@ class PrefixHash:
     """The prefix arrays of a text of ``n`` code points: 8 bytes a position, beside 16 of the shared powers."""
 
     def __init__(self, text: str, powers: Powers, head: PrefixHash | None = None, shared: int = 0):
-        """``head``: a text that agrees on the first ``shared`` code points; what it has of them is taken."""
+        """``head``: the arrays of a text that agrees on the first ``shared`` code points; their entries are taken."""
         points = code_points(text)
-        self.n, self.powers, self.head, self.shared = len(points), powers, head, shared
-        powers.upto(self.n)
+        self.n, self.powers, self.origin = len(points), powers, head.origin if head else 0
+        powers.upto(self.origin + self.n)
         self.sums = []
         for k, p in enumerate(PRIMES):
             sums = np.zeros(self.n + 1, np.uint32)
@@ -66,18 +69,28 @@ class PrefixHash:
                 sums[:shared + 1] = head.sums[k][:shared + 1]
             for at in range(shared, self.n, RUN):
                 to = min(at + RUN, self.n)
-                terms = (points[at:to].astype(np.uint64) + np.uint64(1)) * powers.up[k][at:to] % np.uint64(p)
+                up = powers.up[k][self.origin + at:self.origin + to]
+                terms = (points[at:to].astype(np.uint64) + np.uint64(1)) * up % np.uint64(p)
                 terms[0] += sums[at]
                 sums[at + 1:to + 1] = np.cumsum(terms) % np.uint64(p)
             self.sums.append(sums)
 
+    def part(self, start: int, end: int) -> PrefixHash:
+        """The same of a part of the text, on the same arrays: where a span stands changes nothing of its hash."""
+        out = object.__new__(PrefixHash)
+        out.n, out.powers, out.origin = end - start, self.powers, self.origin + start
+        out.sums = [s[start:end + 1] for s in self.sums]
+        if out.n >= LONG:
+            out.long_spans = self.long_spans[start:end - LONG + 1]
+        return out
+
     def spans(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """The 62-bit hashes of the spans ``[at, at + length)``; spans are equal if these and their lengths are."""
-        return self._hash([(s[at], s[at + length], d[at]) for s, d in zip(self.sums, self.powers.down)])
+        return self._hash([(s[at], s[at + length], d[self.origin + at]) for s, d in zip(self.sums, self.powers.down)])
 
     def every(self, length: int, start: int, end: int) -> np.ndarray:
         """The hashes of the spans of one length that start in ``[start, end)``."""
-        return self._hash([(s[start:end], s[start + length:end + length], d[start:end])
+        return self._hash([(s[start:end], s[start + length:end + length], d[self.origin + start:self.origin + end])
                            for s, d in zip(self.sums, self.powers.down)])
 
     @staticmethod
@@ -89,31 +102,61 @@ class PrefixHash:
             out = (out << np.uint64(31)) | (gap * down % np.uint64(p))
         return out
 
-    def span(self, at: int, length: int) -> int:
-        """The hash of one span, as ``spans`` has it, without the cost of arrays."""
-        out = 0
-        for p, s, d in zip(PRIMES, self.sums, self.powers.down):
-            out = out << 31 | (s.item(at + length) - s.item(at)) * d.item(at) % p
-        return out
+    def span(self, at: int, length: int) -> list[int]:
+        """The hash of one span modulo each prime, without the cost of arrays."""
+        return [(s.item(at + length) - s.item(at)) * d.item(self.origin + at) % p
+                for p, s, d in zip(PRIMES, self.sums, self.powers.down)]
 
     def whole(self) -> int:
-        return self.span(0, self.n)
+        first, second = self.span(0, self.n)
+        return first << 31 | second
 
     @cached_property
     def long_spans(self) -> np.ndarray:
-        """The ``mixed`` hashes of all spans of LONG code points; those within the shared front are the head's."""
-        return mixed(self, LONG, self.head.long_spans[:max(self.shared - LONG + 1, 0)] if self.head else ())
+        """The ``mixed`` hashes of all spans of LONG code points."""
+        return mixed(self, LONG)
 
+    @property
+    def short_spans(self) -> np.ndarray:
+        """Those of SHORT code points, which only texts below FEW need."""
+        return mixed(self, SHORT) if self.n < FEW else np.zeros(0, np.uint32)
 
-def mixed(text: PrefixHash, length: int, known=()) -> np.ndarray:
-    """The hashes of all spans of a length, mixed and cut to 32 bits; of a shorter text, of its one span.
 
-    ``known``: those of the first spans.
+class Joined:
+    """The first ``at`` code points of one text and another text behind them, from the hashes of both.
+
+    ``back`` has to begin with the LONG - 1 code points that follow in ``front``, so that every span lies in one of the
+    two. Of a text below FEW it has to be the whole, with ``at`` 0, as has a ``back`` without more than those.
     """
+
+    def __init__(self, front: PrefixHash, at: int, back: PrefixHash):
+        self.front, self.at, self.back, self.n = front, at, back, at + back.n
+
+    def whole(self) -> int:
+        front, back = self.front.span(0, self.at), self.back.span(0, self.back.n)
+        first, second = [(a + b * up.item(self.at)) % p for a, b, up, p in zip(front, back, self.back.powers.up, PRIMES)]
+        return first << 31 | second
+
+    @property
+    def long_spans(self) -> np.ndarray:
+        return np.concatenate([self.front.long_spans[:self.at], self.back.long_spans])
+
+    @property
+    def short_spans(self) -> np.ndarray:
+        return mixed(self.back, SHORT) if self.n < FEW else np.zeros(0, np.uint32)
+
+
+def hashed_together(texts: list[str], powers: Powers) -> list[PrefixHash]:
+    """The arrays of each text, computed as those of one text: few array steps for many short texts."""
+    joint = PrefixHash("".join(texts), powers)
+    return [joint.part(end - len(t), end) for t, end in zip(texts, accumulate(map(len, texts)))]
+
+
+def mixed(text: PrefixHash, length: int) -> np.ndarray:
+    """The hashes of all spans of a length, mixed and cut to 32 bits; of a shorter text, of its one span."""
     length = min(length, text.n)
     out = np.zeros(text.n - length + 1 if text.n else 0, np.uint32)
-    out[:len(known)] = known
-    for at in range(len(known), len(out), RUN):
+    for at in range(0, len(out), RUN):
         to = min(at + RUN, len(out))
         x = text.every(length, at, to) * np.uint64(0x9E3779B97F4A7C15)
         out[at:to] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
@@ -140,14 +183,16 @@ def common_extension(a: PrefixHash, i, b: PrefixHash, j) -> np.ndarray:
 
 def _least(hashes: np.ndarray) -> list[int]:
     """The ``KEPT`` least distinct ones."""
+    if not len(hashes):
+        return []
     # Hashes are spread evenly, so enough of them lie below this, unless spans repeat.
-    few = np.unique(hashes[hashes < (2 * KEPT << 32) // max(len(hashes), 1)])
+    few = np.unique(hashes[hashes < (2 * KEPT << 32) // len(hashes)])
     return (few if len(few) >= KEPT else np.unique(hashes))[:KEPT].tolist()
 
 
-def fingerprint(text: PrefixHash) -> str:
+def fingerprint(text: PrefixHash | Joined) -> str:
     """``length:whole hash:long spans:short spans`` in hexadecimal: bounded, and a function of the text alone."""
-    kinds = [_least(text.long_spans), _least(mixed(text, SHORT)) if text.n < FEW else []]
+    kinds = [_least(text.long_spans), _least(text.short_spans)]
     return ":".join([f"{text.n:x}", f"{text.whole():016x}", *("%08x" * len(kind) % tuple(kind) for kind in kinds)])
 
 
@@ -193,12 +238,21 @@ class _Texts:
         return PrefixHash(text, self.powers)
 
     def row(self, doc, text: str, own: PrefixHash, mark: str, following: str, next_mark: str) -> tuple:
-        new, stay = edited(text, following)
-        other = PrefixHash(new, self.powers, own, stay)
-        new_mark = fingerprint(other)
-        agree = stay + int(common_extension(own, [stay], other, [stay])[0])
-        return (doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogateescape")).hexdigest(), mark, new_mark,
-                likeness(mark, new_mark), likeness(mark, next_mark), agree)
+        return self.rows([(doc, text, own, mark, following, next_mark)])[0]
+
+    def rows(self, pairs: list[tuple]) -> list[tuple]:
+        """The results of texts and their following ones, as ``row`` takes them."""
+        news = [edited(text, following) for _, text, _, _, following, _ in pairs]
+        # Only spans that reach into the new part are hashed; small texts and those without a new part are hashed whole.
+        cuts = [max(stay - LONG + 1, 0) if stay < len(new) and len(new) >= FEW else 0 for new, stay in news]
+        backs = hashed_together([new[at:] for (new, _), at in zip(news, cuts)], self.powers)
+        out = []
+        for (doc, text, own, mark, _, next_mark), (new, stay), at, back in zip(pairs, news, cuts, backs):
+            new_mark = fingerprint(Joined(own, at, back))
+            agree = stay + int(common_extension(own, [stay], back, [stay - at])[0])
+            out.append((doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogateescape")).hexdigest(), mark, new_mark,
+                        likeness(mark, new_mark), likeness(mark, next_mark), agree))
+        return out
 
 
 def _text(value: pa.Scalar) -> str:
@@ -206,6 +260,19 @@ def _text(value: pa.Scalar) -> str:
     return (value.as_py() or b"").decode("utf-8", "surrogateescape")
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The rows of a batch, as many at once as have GROUP code points."""
+    group, size = [], 0
+    for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+        group.append((doc, _text(value)))
+        size += len(group[-1][1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _batch(names: list[str], rows: list[tuple], first: pa.DataType) -> pa.RecordBatch:
     kinds = {"doc_id": first, "n_chars": pa.int64(), "agree_edited": pa.int64(), "near_edited": pa.float64(),
              "near_next": pa.float64(), "part": pa.int32(), "text": pa.binary()}
@@ -222,9 +289,9 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     both texts' beginnings. A null text is an empty one, repeated rows follow one another, one row alone follows
     itself, an empty table gives an empty one; other columns are ignored.
 
-    One shuffle: rows are dealt out by ranges and sorted, and each task reads its rows in order, two texts at a time.
-    What it lacks, the row behind its last one, is written beside the results and met by a small join, one row for
-    each task. A text and the next take about 60 bytes a code point of theirs while they are worked on.
+    One shuffle: rows are dealt out by ranges and sorted, and each task reads its rows in order, GROUP code points or a
+    longer text at a time. What it lacks, the row behind its last one, is written beside the results and met by a small
+    join, one row for each task. A text and the next take about 60 bytes a code point of theirs while they are worked on.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [*_NAMES, "part", "end", "text"]
@@ -240,15 +307,17 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         part, texts, last, first, out = TaskContext.get().partitionId(), _Texts(), None, None, []
         for batch in batches:
             first = batch.schema.field(0).type
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                now = _text(value)
-                own = texts.hashed(now)
-                mark = fingerprint(own)
+            for group in _groups(batch):
+                owns = hashed_together([now for _, now in group], texts.powers)
+                known = [(doc, now, own, fingerprint(own)) for (doc, now), own in zip(group, owns)]
                 if last is None:
-                    out.append((doc, *(None,) * 2, mark, *(None,) * 4, part, "first", value.as_py()))
+                    doc, now, _, mark = known[0]
+                    out.append((doc, *(None,) * 2, mark, *(None,) * 4, part, "first", now.encode("utf-8", "surrogateescape")))
                 else:
-                    out.append((*texts.row(*last, now, mark), None, None, None))
-                last = doc, now, own, mark
+                    known.insert(0, last)
+                pairs = [(*row, now, mark) for row, (_, now, _, mark) in pairwise(known)]
+                out += [(*row, None, None, None) for row in texts.rows(pairs)]
+                last = known[-1]
                 if len(out) >= 2000:
                     yield _batch(names, out, first)
                     out = []

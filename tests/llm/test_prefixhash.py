@@ -98,6 +98,39 @@ def test_spans_of_a_head_are_those_of_the_text():
         assert found.tolist() == hashed(new).long_spans.tolist() == P.mixed(hashed(new), P.LONG).tolist()
 
 
+def test_texts_hashed_together_are_as_alone():
+    rnd = random.Random(9)
+    texts = [some_text(rnd, n) for n in (0, 1, 15, 16, 17, 0, 255, 256, 3000, 2 * P.RUN + 7, 40)] + ["", "\udc80x"]
+    for t, part in zip(texts, P.hashed_together(texts, POWERS), strict=True):
+        alone = hashed(t)
+        assert P.fingerprint(part) == P.fingerprint(alone) and part.long_spans.tolist() == alone.long_spans.tolist()
+        at = np.arange(0, len(t), 97)
+        assert part.spans(at, len(t) - at).tolist() == alone.spans(at, len(t) - at).tolist()
+        assert P.common_extension(part, [0], alone, [0]).tolist() == [len(t)]
+        # A text that continues a part of another.
+        new = t[:len(t) // 2] + "new end"
+        assert P.fingerprint(P.PrefixHash(new, POWERS, part, len(t) // 2)) == P.fingerprint(hashed(new))
+    assert P.hashed_together([], POWERS) == []
+
+
+def test_many_rows_take_no_more_array_steps_than_one(monkeypatch):
+    rnd = random.Random(10)
+    texts = [some_text(rnd, 30 + i) for i in range(300)]
+    every, asked = P.PrefixHash.every, []
+    monkeypatch.setattr(P.PrefixHash, "every", lambda self, *a: asked.append(a[0]) or every(self, *a))
+    task = P._Texts()
+    known = [(t, own, P.fingerprint(own)) for t, own in zip(texts, P.hashed_together(texts, task.powers))]
+    asked.clear()
+    rows = task.rows([(i, *known[i], known[i + 1][0], known[i + 1][2]) for i in range(299)])
+    # One step for all; small texts need their short spans, too.
+    assert asked.count(P.LONG) == 1 and len(asked) < 300
+    monkeypatch.undo()
+    for i, row in enumerate(rows):
+        new, _ = P.edited(texts[i], texts[i + 1])
+        marks = [P.fingerprint(hashed(t)) for t in (texts[i], new, texts[i + 1])]
+        assert row[3:7] == (*marks[:2], P.likeness(*marks[:2]), P.likeness(*marks[::2]))
+
+
 def test_least_hashes_where_spans_repeat():
     rnd = random.Random(8)
     for t in ("", "a", "ab" * 5000, "x" * 300, some_text(rnd, 5000), some_text(rnd, 60) * 100):
